@@ -11,8 +11,8 @@ from stayline.operators.common import join_dimension, require
 
 #: Candidate delimiters, by name: a regular expression for one occurrence outside quotes.
 CANDIDATES = {"slash": r"/", "backslash": r"\\", "pipe": r"\|", "semicolon": r";", "comma": r",", "line": r"[\r\n]+", "over": r"(?i)\s+over\s+", "tab": r"\t", "ampersand": r"&", "and": r"(?i)\s+and\s+", "plus": r"\s\+\s", "to": r"(?i)\s+to\s+"}
-#: A piece that is one value: a number, perhaps signed, compared, with decimals and a short unit.
-PIECE = r"^[<>=~]{0,2}\s*[-+]?\d+(?:[.,]\d+)?\s*(?:%|[a-zA-Z/]{1,6})?$"
+#: A piece that is one value: a number, perhaps signed, compared or called approximate, with decimals and a short unit.
+PIECE = r"^(?:(?:approx|about|circa|ca|est)\.?\s*)?[<>=~]{0,2}\s*[-+]?\d+(?:[.,]\d+)?\s*(?:%|[a-zA-Z/]{1,6})?$"
 #: Least score of a delimiter that is accepted.
 ACCEPT = 0.5
 
@@ -45,14 +45,14 @@ def infer_delimiters(df: DataFrame, source: Sequence[str], text: str, accept: fl
 
     A candidate's score over the rows that hold it is the mean of the share of rows that it cuts into the commonest number of
     pieces, weighed by half, and the share of pieces of regular type (one number, or itself packed by another candidate,
-    then one number each). Aggregation is by source, candidate and piece count, before the shuffle; a source's rows are
+    then one number each). Pieces without a digit are remarks and count for nothing. Aggregation is by source, candidate and piece count, before the shuffle; a source's rows are
     never gathered.
     """
     rows = df.where(F.col(text).isNotNull()).select(*source, _guarded(F.col(text)).alias("t"))
     per = []
     finest = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?:{p[4:]})" for p in CANDIDATES.values())
     for name, pattern in CANDIDATES.items():
-        bits = F.filter(F.transform(F.split("t", pattern), lambda p: F.trim(p)), lambda p: p != "")
+        bits = F.filter(F.transform(F.split("t", pattern), lambda p: F.trim(p)), lambda p: p.rlike(r"\d"))
         regular = F.filter(bits, lambda p: F.forall(F.filter(F.transform(F.split(p, f"(?i){finest}"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.translate(x, _COMMA, ",").rlike(PIECE)))
         per.append(F.when(F.col("t").rlike(pattern), F.struct(F.lit(name).alias("name"), F.size(bits).alias("n"), F.size(regular).alias("ok"))))
     long = rows.select(*source, F.explode(F.filter(F.array(*per), lambda x: x.isNotNull())).alias("c")).select(*source, "c.*")

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import join_dimension, require, salted_join, sharded_neighbours
+from stayline.operators.common import cut_lineage, join_dimension, require, salted_join, sharded_neighbours
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one kind of measurement can be, and its resolution (half of which is the least scatter assumed)."""
+    """What one kind of measurement can be, and its resolution, which is the least scatter assumed."""
 
     low: float
     high: float
@@ -28,13 +28,14 @@ class SpikeRules:
     ``most`` standard deviations, since a tail fitted to few readings is wild. ``min_readings``: shortest series judged.
     ``stuck_run``: shortest run of equal readings; ``stuck_change``: share of the other steps that change the value;
     ``stuck_least``, ``stuck_expected``: a series that changes less often, but at least that often, still counts as stuck where
-    fewer such runs are expected by chance.
+    fewer such runs are expected by chance. ``prior``: readings for which the usual scatter of the kind counts beside a series' own.
     """
 
     risk: float = 1e-5
-    least: float = 5.5
+    least: float = 6.0
     most: float = 7.0
     min_readings: int = 6
+    prior: float = 2.0
     stuck_run: int = 5
     stuck_change: float = 0.8
     stuck_least: float = 0.6
@@ -42,8 +43,8 @@ class SpikeRules:
     shard_days: int = 730
 
 
-#: Grid of quantiles of the absolute residuals from which a series' scatter is read.
-GRID = [round(0.30 + 0.01 * i, 2) for i in range(21)]
+#: Grid of quantiles of the steps between neighbours from which a series' scatter is read.
+GRID = [round(0.20 + 0.01 * i, 2) for i in range(31)]
 
 
 def _median(*cols: str) -> Column:
@@ -53,6 +54,17 @@ def _median(*cols: str) -> Column:
     return F.when(n > 0, mid)
 
 
+def _run(k: int) -> Column:
+    """How many readings in a row equal this one, itself and at most ``k`` neighbours on either side counted."""
+    n = F.lit(1)
+    for side in "mp":
+        same = F.lit(True)
+        for i in range(1, k + 1):
+            same = same & F.coalesce(F.col(f"{side}{i}") == F.col("x"), F.lit(False))
+            n = n + same.cast("int")
+    return n
+
+
 def pot_cutoffs(scores: DataFrame, by: Sequence[str], score: str, rules: SpikeRules) -> DataFrame:
     """Tail cutoffs per kind by peaks over threshold: ``by, pot_u, pot_shape, pot_scale, cutoff``.
 
@@ -80,8 +92,9 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     and have no least scatter. An empty input gives no rows; short series get no ``spike``, constant ones no ``stuck``.
 
     Residuals are taken against the local level, the median of three readings on either side, which follows drifts,
-    seasons and lasting new levels; a series' scatter is a low quantile of its absolute residuals, corrected for the readings
-    under suspicion. The score of a reading is the least distance of it, or of it and a neighbour, from the levels before and
+    seasons and lasting new levels; a series' scatter comes from the steps between neighbours (stuck ones left out), of which a
+    drift or a new level moves few, at a quantile corrected for the two steps at a reading under suspicion, and is drawn towards
+    that of its kind where readings are few. The score of a reading is the least distance of it, or of it and a neighbour, from the levels before and
     after, in units of scatter. Neighbours come from time shards whose boundary rows meet in a second window.
     """
     require(df, [*series, *order, x, day])
@@ -93,35 +106,37 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     near = {f"m{i}": ("x", -i) for i in range(1, 5)} | {f"p{i}": ("x", i) for i in range(1, 5)}
 
     # stuck runs, over all readings
-    every = sharded_neighbours(base, series, order, "shard", near, 4)
-    same = {0: F.lit(0)}
-    for side in "mp":
-        run, c = F.lit(True), F.lit(0)
-        for i in range(1, 5):
-            run = run & F.coalesce(F.col(f"{side}{i}") == F.col("x"), F.lit(False))
-            c = c + run.cast("int")
-        same[side] = c
-    every = every.withColumn("run", same["m"] + same["p"] + 1).withColumn("long", F.col("run") >= rules.stuck_run)
+    every = cut_lineage(sharded_neighbours(base, series, order, "shard", near, 4))
+    every = every.withColumn("run", _run(4)).withColumn("long", F.col("run") >= rules.stuck_run)
     stats = every.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"), F.count("m1").alias("steps"), F.sum((F.col("m1") != F.col("x")).cast("int")).alias("changes"),
-        F.sum((F.col("long") & (F.col("m1") == F.col("x"))).cast("int")).alias("within"),
+        F.sum((F.col("long") & (F.col("m1") == F.col("x"))).cast("int")).alias("within"), F.sum((F.col("long") & (F.coalesce(F.col("m1") != F.col("x"), F.lit(True)))).cast("int")).alias("runs"),
     )
-    outside = F.col("steps") - F.coalesce("within", F.lit(0))
-    stats = stats.select(*series, "n", F.when(outside >= 3, F.col("changes") / outside).alias("change"))
+    share = stats.groupBy(*kind).agg((F.sum("changes") / F.sum("steps")).alias("usual"))
+    # the steps of one stuck run are left out, those of further runs count as steps without a change
+    outside = F.col("steps") - F.coalesce(F.col("within") / F.greatest("runs", F.lit(1)), F.lit(0))
+    weight = rules.prior * 2
+    change = (F.coalesce("changes", F.lit(0)) + weight * F.coalesce("usual", F.lit(0))) / (outside + weight)
+    stats = join_dimension(stats, share, kind).select(*series, "n", change.alias("change"))
     every = salted_join(every.drop(*near, "shard", "lo", "hi", "res"), stats, series, "left")
     chance = F.col("n") * F.pow(1 - F.col("change"), F.col("run") - 1)
     stuck = F.col("long") & ((F.col("change") >= rules.stuck_change) | ((F.col("change") >= rules.stuck_least) & (chance <= rules.stuck_expected)))
     flags = every.select(*cols, "x", "implausible", F.coalesce(stuck, F.lit(False)).alias("stuck"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cutoff"), F.lit(False).alias("spike"))
 
     # spikes, over the plausible readings
-    level = sharded_neighbours(base.where(~F.col("implausible")), series, order, "shard", near, 4)
-    level = level.withColumn("residual", F.abs(F.col("x") - _median("m1", "m2", "m3", "p1", "p2", "p3")))
-    scatter = level.groupBy(*series).agg(F.percentile("residual", F.array(*[F.lit(g) for g in GRID])).alias("grid"), F.count(F.lit(1)).alias("good"))
-    level = salted_join(salted_join(level, scatter, series), stats.select(*series, "n"), series)
-
-    def sigma(k: int) -> Column:
-        at = F.round((F.lit(0.5) * (F.col("good") - k) / F.col("good") - GRID[0]) * 100).cast("int")
-        return F.greatest(F.lit(1.4826) * F.get("grid", F.greatest(F.lit(0), F.least(F.lit(len(GRID) - 1), at))), F.coalesce(F.col("res") / 2, F.lit(1e-9)))
+    level = cut_lineage(sharded_neighbours(base.where(~F.col("implausible")), series, order, "shard", near, 4))
+    still = _run(4) >= rules.stuck_run
+    level = level.withColumn("step", F.when(~(still & (F.col("x") == F.col("m1"))), F.abs(F.col("x") - F.col("m1"))))
+    scatter = level.groupBy(*series).agg(F.percentile("step", F.array(*[F.lit(g) for g in GRID])).alias("grid"), F.count("step").alias("steps"), F.first("res").alias("res"))
+    at = F.round((F.lit(0.5) * F.greatest(F.col("steps") - 2, F.lit(0)) / F.col("steps") - GRID[0]) * 100).cast("int")
+    own = F.lit(1.4826 / 2**0.5) * F.get("grid", F.greatest(F.lit(0), F.least(F.lit(len(GRID) - 1), at)))
+    scatter = scatter.where("steps > 0").withColumn("own", F.greatest(own, F.coalesce("res", F.lit(1e-9))))
+    usual = scatter.where(F.col("steps") >= rules.min_readings - 1).groupBy(*kind).agg(F.percentile_approx("own", 0.5).alias("usual"))
+    scatter = join_dimension(scatter, usual, kind)
+    blend = F.exp((F.col("steps") * F.log("own") + F.lit(rules.prior) * F.log(F.coalesce("usual", "own"))) / (F.col("steps") + rules.prior))
+    sigma = F.greatest(blend, F.coalesce("res", F.lit(1e-9)))
+    scatter = scatter.select(*series, sigma.alias("sigma")).join(stats.select(*series, "n"), list(series))
+    level = salted_join(level.drop("res"), scatter, series)
 
     def away(block: list[str], left: tuple, right: tuple) -> Column:
         a, b = _median(*left), _median(*right)
@@ -131,8 +146,8 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
             there = there & F.col(c).isNotNull()
         return F.when(there, F.greatest(lo - F.greatest(a, b), F.least(a, b) - hi, F.lit(0.0)))
 
-    one = away(["x"], ("m1", "m2", "m3"), ("p1", "p2", "p3")) / sigma(1)
-    two = [away(["x", "p1"], ("m1", "m2", "m3"), ("p2", "p3", "p4")) / sigma(2), away(["m1", "x"], ("m2", "m3", "m4"), ("p1", "p2", "p3")) / sigma(2)]
+    one = away(["x"], ("m1", "m2", "m3"), ("p1", "p2", "p3")) / F.col("sigma")
+    two = [away(["x", "p1"], ("m1", "m2", "m3"), ("p2", "p3", "p4")) / F.col("sigma"), away(["m1", "x"], ("m2", "m3", "m4"), ("p1", "p2", "p3")) / F.col("sigma")]
     scored = level.withColumn("score", F.when(F.col("n") >= rules.min_readings, F.coalesce(F.greatest(one, *two), F.lit(0.0))))
     cut = pot_cutoffs(scored.where(F.col("score").isNotNull()), kind, "score", rules).select(*kind, "cutoff")
     spikes = join_dimension(scored, cut, kind).select(*cols, "x", "implausible", F.lit(False).alias("stuck"), "score", "cutoff", F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)).alias("spike"))
