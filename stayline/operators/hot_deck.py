@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import join_dimension, require
+from stayline.operators.common import broadcast_if_small, cut_lineage, join_dimension, require
 
 #: Words that say that nothing was written down. Fixed values of the data; words for a finding (none, absent) aren't among them.
 PLACEHOLDERS = ("n/a", "na", "nan", "null", "nil", "not recorded", "not available", "not charted", "not documented", "not entered", "missing", "unknown", "#n/a", "<na>")
@@ -19,13 +19,13 @@ DONORS = 3
 def usable(text: Column) -> Column:
     """Whether a text holds a measurement or an observation: not null, not blank or mere punctuation, no placeholder."""
     t = F.lower(F.trim(text))
-    return F.coalesce(t.rlike(r"[\p{L}\p{N}]") & ~t.isin(*PLACEHOLDERS), F.lit(False))
+    # a text that has letters with case is the common one; the regular expression is for the rest
+    return F.coalesce(~t.isin(*PLACEHOLDERS) & ((t != F.upper(t)) | t.rlike(r"[\p{L}\p{N}]")), F.lit(False))
 
 
 def number(text: Column) -> Column:
-    """A text's finite number, else null."""
-    x = text.try_cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < 1e300), x)
+    """A text's number, else null; NaN is none."""
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,8 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str, targets: Sequence[T
         at = at.withColumn(f"__d_{t.name}", F.when(placed & ~F.col(f"{t.name}_missing"), F.struct(F.col(near).cast("double").alias("at"), num.alias("num"), txt.alias("txt"))))
     parts = [F.col(b) for b in block] + ([F.floor(F.col(near) / shard)] if shard else [])
     # records without a place have no donors; spread them
-    tie = F.xxhash64(*[F.col(c) for c, kind in base.dtypes if not kind.startswith("map")])
-    parts.append(F.when(~placed, F.pmod(tie, F.lit(1024))))
+    tie = F.xxhash64(*[x for t in targets for x in own[t.name]])
+    parts.append(F.when(~placed, F.pmod(F.xxhash64(*[F.col(c) for c, kind in base.dtypes if not kind.startswith("map")]), F.lit(1024))))
     at = at.withColumns({f"__p{i}": p for i, p in enumerate(parts)} | {"__tie": tie})
     over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'__p{i}' for i in range(len(parts)))} ORDER BY `{near}`, __tie)"
     at = at.withColumns({f"__d_{t.name}_{side}{i}": F.expr(f"{f}(`__d_{t.name}`, {i}) {over}") for t in targets for i in range(1, k + 1) for side, f in (("b", "lag"), ("a", "lead"))})
@@ -111,15 +111,22 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str, targets: Sequence[T
             f"{t.name}_donors": F.when(F.size("__f") > 0, F.transform("__f", lambda x: x["at"])),
             f"{t.name}_level": F.when(F.size("__f") > 0, F.lit("block")),
         }).drop("__f", "__w", *[f"{d}_{side}{i}" for i in range(1, k + 1) for side in "ba"])
+    at = at.drop(*[f"__d_{t.name}" for t in targets])
+    if only_missing:
+        at = cut_lineage(at)  # few rows, made by the whole table's sort; what follows reads them several times
     for t in targets:
-        at = _fill_wide(at, base, t, own[t.name], list(wide))
-    return at.drop(*[f"__d_{t.name}" for t in targets])
+        at = _fill_wide(at, base, t, own[t.name], list(wide), only_missing)
+    return at
 
 
-def _fill_wide(at: DataFrame, base: DataFrame, t: Target, own: tuple[Column, Column], wide: list[str]) -> DataFrame:
+def _fill_wide(at: DataFrame, base: DataFrame, t: Target, own: tuple[Column, Column], wide: list[str], narrow: bool) -> DataFrame:
+    """Fill what the blocks left open from the wide groups' values. ``narrow``: only groups with an open record are counted."""
     miss, level = F.col(f"{t.name}_missing"), F.col(f"{t.name}_level")
     if wide:
         num, txt = own
+        if narrow:
+            open_ = at.where(miss & level.isNull()).select(*wide).dropna().distinct()
+            base = base.join(broadcast_if_small(open_), wide, "left_semi")
         seen = base.select(*wide, num.alias("n"), F.when(num.isNull(), txt).alias("x")).where("n IS NOT NULL OR x IS NOT NULL").groupBy(*wide, "n", "x").agg(F.count(F.lit(1)).alias("c"))
         stats = seen.groupBy(*wide).agg(F.percentile("n", F.lit(0.5), F.col("c")).alias("__n"), F.max(F.when(F.col("x").isNotNull(), F.struct("c", "x")))["x"].alias("__x"))
         at = join_dimension(at, stats, wide)

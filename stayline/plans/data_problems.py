@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
+from stayline.operators.common import cut_lineage
 from stayline.operators.hot_deck import Target, hot_deck, number, usable
 from stayline.operators.intervals import interval_gaps, merge_intervals
 from stayline.operators.linked_splits import hash_to_min, linked_split, shared_key_edges
@@ -52,7 +53,8 @@ def lab_fills(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p1_found")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    c, y = chart_fills(spark, sf), lab_fills(spark, sf)
+    # every fill is made and kept, so that the optimiser can't drop the operator's work because only the marks are shown
+    c, y = cut_lineage(chart_fills(spark, sf)), cut_lineage(lab_fills(spark, sf))
     key = lambda a, b, t: [F.col(a).cast("string").alias("stay_key"), F.col(b).cast("string").alias("item_key"), t.alias("time_key")]
     no_time = F.col("charttime").isNull()
     chart = c.withColumn("f", F.explode(F.filter(F.array(F.when(F.col("v_missing"), F.lit("chartevents.value")), F.when(no_time, F.lit("chartevents.charttime"))), lambda x: x.isNotNull())))
