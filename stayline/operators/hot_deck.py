@@ -30,11 +30,14 @@ def number(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Target:
-    """A column to fill. ``num`` holds its number where it has one, ``txt`` its text else (either may be absent)."""
+    """A column to fill. ``num`` holds its number where it has one, ``txt`` its text else (either may be absent).
+
+    Both may be names or expressions; an expression is worked out behind the shuffle, so its result needn't travel.
+    """
 
     name: str
-    num: str | None = None
-    txt: str | None = None
+    num: str | Column | None = None
+    txt: str | Column | None = None
 
 
 def _weighted(donors: Column, at: Column) -> Column:
@@ -57,7 +60,7 @@ def weighted_majority(donors: Column) -> Column:
     return F.array_min(sums)["t"]
 
 
-def hot_deck(df: DataFrame, block: Sequence[str], near: str, targets: Sequence[Target], wide: Sequence[str] = (), shard: float | None = None, k: int = DONORS, only_missing: bool = False) -> DataFrame:
+def hot_deck(df: DataFrame, block: Sequence[str], near: str | Column, targets: Sequence[Target], wide: Sequence[str] = (), shard: float | None = None, k: int = DONORS, only_missing: bool = False) -> DataFrame:
     """Fill each target from the closest donors in the record's block.
 
     Per target ``t`` these columns are added: ``t_missing`` (neither number nor text is there), ``t_num`` and ``t_txt`` (own or
@@ -72,29 +75,27 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str, targets: Sequence[T
     One shuffle and one sort serve all targets: donors are the nearest non-null neighbours of an ordered window, so no pairs
     are formed. Wide groups are pre-aggregated to value counts before their shuffle.
     """
-    require(df, [*block, near, *wide])
+    require(df, [*block, *wide, *([near] if isinstance(near, str) else [])])
     suffixes = ("missing", "num", "txt", "filled", "donors", "level")
     base = df.drop(*[f"{t.name}_{x}" for t in targets for x in suffixes])
-    own = {t.name: (F.col(t.num).cast("double") if t.num else F.lit(None).cast("double"), F.col(t.txt) if t.txt else F.lit(None).cast("string")) for t in targets}
-    cols: dict[str, Column] = {}
-    for t in targets:
-        num, txt = own[t.name]
-        cols[f"{t.name}_missing"] = num.isNull() & txt.isNull()
-    at = base.withColumns(cols)
-    placed = F.col(near).isNotNull()
+    col = lambda c, kind: F.lit(None).cast(kind) if c is None else (F.col(c) if isinstance(c, str) else c).cast(kind)
+    own = {t.name: (col(t.num, "double"), col(t.txt, "string")) for t in targets}
+    place = col(near, "double")
+    placed = place.isNotNull()
     for b in block:
         placed = placed & F.col(b).isNotNull()
+    # the hash of the block: records without a place have no donors and are spread by a hash of their own
+    apart = F.pmod(F.xxhash64(*[F.col(c) for c, kind in base.dtypes if not kind.startswith("map")]), F.lit(1024)) - 1_000_000_000
+    at = base.withColumn("__shard", F.when(placed, F.floor(place / shard) if shard else F.lit(0)).otherwise(apart).cast("int"))
+    at = at.repartition(*[F.col(b) for b in block], F.col("__shard")).withColumn("__near", F.when(placed, place))
+    at = at.withColumns({f"{t.name}_missing": own[t.name][0].isNull() & own[t.name][1].isNull() for t in targets})
     for t in targets:
         num, txt = own[t.name]
-        at = at.withColumn(f"__d_{t.name}", F.when(placed & ~F.col(f"{t.name}_missing"), F.struct(F.col(near).cast("double").alias("at"), num.alias("num"), txt.alias("txt"))))
-    parts = [F.col(b) for b in block] + ([F.floor(F.col(near) / shard)] if shard else [])
-    # records without a place have no donors; spread them
-    tie = F.xxhash64(*[x for t in targets for x in own[t.name]])
-    parts.append(F.when(~placed, F.pmod(F.xxhash64(*[F.col(c) for c, kind in base.dtypes if not kind.startswith("map")]), F.lit(1024))))
-    at = at.withColumns({f"__p{i}": p for i, p in enumerate(parts)} | {"__tie": tie})
-    over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'__p{i}' for i in range(len(parts)))} ORDER BY `{near}`, __tie)"
+        at = at.withColumn(f"__d_{t.name}", F.when(F.col("__near").isNotNull() & ~F.col(f"{t.name}_missing"), F.struct(F.col("__near").alias("at"), num.alias("num"), txt.alias("txt"))))
+    at = at.withColumn("__tie", F.xxhash64(*[x for t in targets for x in own[t.name]]))
+    over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{b}`' for b in block)}, __shard ORDER BY __near, __tie)"
     at = at.withColumns({f"__d_{t.name}_{side}{i}": F.expr(f"{f}(`__d_{t.name}`, {i}) {over}") for t in targets for i in range(1, k + 1) for side, f in (("b", "lag"), ("a", "lead"))})
-    at = at.drop("__tie", *[f"__p{i}" for i in range(len(parts))])
+    at = at.drop("__tie", "__shard")
     if only_missing:
         some = F.lit(False)
         for t in targets:
@@ -104,14 +105,14 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str, targets: Sequence[T
         d, miss = f"__d_{t.name}", F.col(f"{t.name}_missing")
         num, txt = own[t.name]
         found = F.filter(F.array(*[F.col(f"{d}_{side}{i}") for i in range(1, k + 1) for side in "ba"]), lambda x: x.isNotNull())
-        at = at.withColumn("__f", F.when(miss & placed, found)).withColumn("__w", _weighted(F.col("__f"), F.col(near).cast("double")))
+        at = at.withColumn("__f", F.when(miss & F.col("__near").isNotNull(), found)).withColumn("__w", _weighted(F.col("__f"), F.col("__near")))
         at = at.withColumns({
             f"{t.name}_num": F.when(miss, weighted_median(F.col("__w"))).otherwise(num),
             f"{t.name}_txt": F.when(miss, weighted_majority(F.col("__w"))).otherwise(txt),
             f"{t.name}_donors": F.when(F.size("__f") > 0, F.transform("__f", lambda x: x["at"])),
             f"{t.name}_level": F.when(F.size("__f") > 0, F.lit("block")),
         }).drop("__f", "__w", *[f"{d}_{side}{i}" for i in range(1, k + 1) for side in "ba"])
-    at = at.drop(*[f"__d_{t.name}" for t in targets])
+    at = at.drop("__near", *[f"__d_{t.name}" for t in targets])
     if only_missing:
         at = cut_lineage(at)  # few rows, made by the whole table's sort; what follows reads them several times
     for t in targets:

@@ -37,11 +37,11 @@ def chart_fills(spark: SparkSession, sf: str) -> DataFrame:
     rows = (
         c.withColumn("num", num)
         .withColumn("txt", F.when(F.col("num").isNull() & usable(F.col("value")), F.col("value")))
-        .withColumn("hour", micros(F.coalesce("charttime", "storetime")) / 3.6e9)
-        .withColumn("delay", (micros("storetime") - micros("charttime")) / 6e7)
         .drop("value", "valuenum")
     )
-    return hot_deck(rows, ["stay_id", "itemid"], "hour", [Target("v", "num", "txt"), Target("delay", "delay")], wide=["itemid"], shard=BLOCK_HOURS, only_missing=True)
+    hours = micros(F.coalesce("charttime", "storetime")) / 3.6e9
+    delay = (micros("storetime") - micros("charttime")) / 6e7
+    return hot_deck(rows, ["stay_id", "itemid"], hours, [Target("v", "num", "txt"), Target("delay", delay)], wide=["itemid"], shard=BLOCK_HOURS, only_missing=True)
 
 
 def lab_fills(spark: SparkSession, sf: str) -> DataFrame:
