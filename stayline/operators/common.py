@@ -63,9 +63,10 @@ def join_dimension(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     return salted_join(df, dim, keys, how)
 
 
-def without_clashes(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``df`` without the columns that an operator is about to add, so that older columns of that name don't clash."""
-    return df.drop(*[n for n in names if n in df.columns])
+def aside(names: Sequence[str]) -> tuple[list[str], list[Column], list[Column]]:
+    """Names that no user column has for ``names``, and the columns that rename to them and back."""
+    inner = [f"__key{i}" for i in range(len(names))]
+    return inner, [F.col(f"`{n}`").alias(i) for n, i in zip(names, inner)], [F.col(i).alias(n) for n, i in zip(names, inner)]
 
 
 def require(df: DataFrame, cols: Sequence[str]) -> None:

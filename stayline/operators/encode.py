@@ -71,7 +71,7 @@ def run_text(runs: DataFrame, keys: Sequence[str], now: Column, unit: str = "")
     old = _span(F.col("first"), F.col("last"), now)
     new = F.array_join(F.transform("hours", lambda h: (now - h).cast("string")), "/")
     t = F.concat(F.when(F.col("recent"), new).otherwise(old), F.lit(f"{unit}: "), F.col("value"))
-    return runs.withColumn("t", t).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "t"))), lambda x: x["t"]), ", ").alias("values"))
+    return runs.withColumn("__t", t).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "__t"))), lambda x: x["__t"]), ", ").alias("values"))
 
 
 def last_with_rest(df: DataFrame, keys: Sequence[str], hour: str, num: str, now: Column, keep: int = 1) -> DataFrame:

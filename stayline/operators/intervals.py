@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.time import micros
-from stayline.operators.common import require, sharded_neighbours
+from stayline.operators.common import aside, require, sharded_neighbours
 
 #: Days of interval starts that one task merges by itself, before only shard summaries of an entity meet.
 SHARD_DAYS = 30
@@ -27,8 +27,9 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, ro
     entity is thus spread over its shards; nothing of it is gathered in one task but these summaries.
     """
     require(df, [*keys, start, end, row_id])
+    keys, hide, show = aside(keys)
     rows = (
-        df.select(*keys, F.col(start).alias("s"), F.col(end).alias("e"), F.col(row_id).alias("id"))
+        df.select(*hide, F.col(start).alias("s"), F.col(end).alias("e"), F.col(row_id).alias("id"))
         .where(F.col("e") > F.col("s"))
         .dropna(subset=list(keys))
         .distinct()
@@ -51,7 +52,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, ro
         .agg(F.max("e").alias("end_at"), F.sum("n").alias("n_rows"), F.sum("us").alias("us"))
     )
     return whole.select(
-        *keys, "start_at", "end_at", "n_rows", (F.col("us") > micros("end_at") - micros("start_at")).alias("overlaps"),
+        *show, "start_at", "end_at", "n_rows", (F.col("us") > micros("end_at") - micros("start_at")).alias("overlaps"),
         F.floor(micros("start_at") / F.lit(86_400_000_000 * shard_days)).cast("bigint").alias("shard"),
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import join_dimension, require
+from stayline.operators.common import aside, join_dimension, require
 
 #: Candidate delimiters, by name: a regular expression for one occurrence outside quotes.
 CANDIDATES = {"slash": r"/", "backslash": r"\\", "pipe": r"\|", "semicolon": r";", "comma": r",", "line": r"[\r\n]+", "over": r"(?i)\s+over\s+", "tab": r"\t", "ampersand": r"&", "and": r"(?i)\s+and\s+", "plus": r"\s\+\s", "to": r"(?i)\s+to\s+"}
@@ -48,7 +48,8 @@ def infer_delimiters(df: DataFrame, source: Sequence[str], text: str, accept: fl
     then one number each). Pieces without a digit are remarks and count for nothing. Aggregation is by source, candidate and piece count, before the shuffle; a source's rows are
     never gathered.
     """
-    rows = df.where(F.col(text).isNotNull()).select(*source, _guarded(F.col(text)).alias("t"))
+    source, hide, show = aside(source)
+    rows = df.where(F.col(text).isNotNull()).select(*hide, _guarded(F.col(text)).alias("t"))
     per = []
     finest = "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?:{p[4:]})" for p in CANDIDATES.values())
     for name, pattern in CANDIDATES.items():
@@ -62,10 +63,11 @@ def infer_delimiters(df: DataFrame, source: Sequence[str], text: str, accept: fl
         .agg((F.max("rows") / F.sum("rows")).alias("consistency"), (F.sum("ok") / F.sum(F.greatest("n", F.lit(1)) * F.col("rows"))).alias("regularity"))
         .withColumn("score", (F.col("consistency") * 0.5 + 0.5) * F.col("regularity"))
     )
-    return score.groupBy(*source).agg(
+    done = score.groupBy(*source).agg(
         F.array_sort(F.collect_list(F.when(F.col("score") >= accept, F.col("name")))).alias("delimiters"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.round("score", 4).alias("score"))))).alias("scores"),
     )
+    return done.select(*show, "delimiters", "scores")
 
 
 def split_packed(df: DataFrame, source: Sequence[str], text: str, delimiters: DataFrame | None = None, min_values: int = 1) -> DataFrame:

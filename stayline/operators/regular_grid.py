@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.operators.common import require
+from stayline.operators.common import aside, require
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], period: str, value: str, tie: str | None = None, shard_size: int = 168) -> DataFrame:
@@ -23,12 +23,16 @@ def regular_grid(df: DataFrame, keys: Sequence[str], period: str, value: str, ti
     all shards are filled independently, so that one hot source is spread over many tasks.
     """
     require(df, [*keys, period, value])
-    rank = F.struct(F.col(tie) if tie else F.lit(0), F.col(value))
+    if taken := {"period", "value", "n_readings", "filled_value", "is_missing"} & set(keys):
+        raise ValueError(f"a key can't have the name of a result: {', '.join(taken)}")
+    keys, hide, show = aside(keys)
+    rank = F.struct((F.col(tie) if tie else F.lit(0)).alias("t"), F.col(value).alias("v"))
     read = (
-        df.where(F.col(period).isNotNull()).dropna(subset=list(keys))
-        .groupBy(*keys, F.col(period).cast("bigint").alias("period"))
-        .agg(F.max(F.when(F.col(value).isNotNull(), rank)).alias("top"), F.count(F.lit(1)).alias("n_readings"))
-        .select(*keys, "period", F.col("top")[value].alias("value"), "n_readings", F.floor(F.col("period") / shard_size).cast("bigint").alias("shard"))
+        df.select(*hide, F.col(period).cast("bigint").alias("period"), F.when(F.col(value).isNotNull(), rank).alias("rank"))
+        .dropna(subset=[*keys, "period"])
+        .groupBy(*keys, "period")
+        .agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("n_readings"))
+        .select(*keys, "period", F.col("top.v").alias("value"), "n_readings", F.floor(F.col("period") / shard_size).cast("bigint").alias("shard"))
     )
     known = F.when(F.col("value").isNotNull(), F.struct("period", "value"))
     before = Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,6 +52,6 @@ def regular_grid(df: DataFrame, keys: Sequence[str], period: str, value: str, ti
     grid = state.withColumn("p", F.explode(F.sequence(F.coalesce(F.col("prev") + 1, F.col("period")), F.col("period"))))
     here = F.col("p") == F.col("period")
     return grid.select(
-        *keys, F.col("p").alias("period"), F.when(here, F.col("value")).alias("value"), F.when(here, F.col("n_readings")).otherwise(F.lit(0)).alias("n_readings"),
+        *show, F.col("p").alias("period"), F.when(here, F.col("value")).alias("value"), F.when(here, F.col("n_readings")).otherwise(F.lit(0)).alias("n_readings"),
         F.when(here, F.coalesce("value", "old")).otherwise(F.col("old")).alias("filled_value"), (~here).alias("is_missing"),
     )

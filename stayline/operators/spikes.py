@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import cut_lineage, join_dimension, require, salted_join, sharded_neighbours
+from stayline.operators.common import aside, cut_lineage, join_dimension, require, salted_join, sharded_neighbours
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,14 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     after, in units of scatter. Neighbours come from time shards whose boundary rows meet in a second window.
     """
     require(df, [*series, *order, x, day])
-    cols = list(dict.fromkeys([*series, *order, day]))
-    base = df.select(*cols, F.col(x).cast("double").alias("x")).dropna().distinct()
-    lim = df.sparkSession.createDataFrame([(*k, float(v.low), float(v.high), float(v.resolution)) for k, v in limits.items()], ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in kind), "lo double", "hi double", "res double"]))
-    base = base.join(F.broadcast(lim), list(kind), "left").withColumn("implausible", F.coalesce((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.lit(False)))
+    names = list(dict.fromkeys([*series, *order, day]))
+    cols, hide, show = aside(names)
+    inner = dict(zip(names, cols))
+    series, kind, order, day = [inner[c] for c in series], [inner[c] for c in kind], [inner[c] for c in order], inner[day]
+    base = df.select(*hide, F.col(x).cast("double").alias("x")).dropna().distinct()
+    types = dict(base.dtypes)
+    lim = df.sparkSession.createDataFrame([(*k, float(v.low), float(v.high), float(v.resolution)) for k, v in limits.items()], ", ".join([*(f"{c} {types[c]}" for c in kind), "lo double", "hi double", "res double"]))
+    base = base.join(F.broadcast(lim), kind, "left").withColumn("implausible", F.coalesce((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.lit(False)))
     base = base.withColumn("shard", F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / rules.shard_days))
     near = {f"m{i}": ("x", -i) for i in range(1, 5)} | {f"p{i}": ("x", i) for i in range(1, 5)}
 
@@ -152,4 +156,5 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     cut = pot_cutoffs(scored.where(F.col("score").isNotNull()), kind, "score", rules).select(*kind, "cutoff")
     spikes = join_dimension(scored, cut, kind).select(*cols, "x", "implausible", F.lit(False).alias("stuck"), "score", "cutoff", F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)).alias("spike"))
     both = flags.unionByName(spikes)
-    return both.groupBy(*cols, "x").agg(*[F.bool_or(c).alias(c) for c in ("implausible", "spike", "stuck")], F.max("score").alias("score"), F.max("cutoff").alias("cutoff"))
+    done = both.groupBy(*cols, "x").agg(*[F.bool_or(c).alias(c) for c in ("implausible", "spike", "stuck")], F.max("score").alias("score"), F.max("cutoff").alias("cutoff"))
+    return done.select(*show, "x", "implausible", "spike", "stuck", "score", "cutoff")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
 from stayline.operators.common import cut_lineage
-from stayline.operators.hot_deck import Target, hot_deck, number, usable
+from stayline.operators.hot_deck import PLACEHOLDERS, Target, hot_deck, number, usable
 from stayline.operators.intervals import interval_gaps, merge_intervals
 from stayline.operators.linked_splits import hash_to_min, linked_split, shared_key_edges
 from stayline.operators.packed_values import infer_delimiters, split_packed
@@ -51,7 +51,15 @@ def lab_fills(spark: SparkSession, sf: str) -> DataFrame:
     return hot_deck(rows, ["stay_id", "label"], "at", [Target("v", "num", "txt")], wide=["label"], shard=24.0 * 30, only_missing=True)
 
 
-@R.add("p1_found")
+_WORDS = ", ".join(f"'{w}'" for w in PLACEHOLDERS)
+_GOOD = lambda v: f"coalesce(regexp_matches({v}, '[\\p{{L}}\\p{{N}}]') AND lower(trim({v})) NOT IN ({_WORDS}), false)"
+_MISSING = f"NOT ({_GOOD('value')}) AND NOT coalesce(NOT isnan(TRY_CAST(valuenum AS DOUBLE)), false)"
+
+
+@R.add("p1_found", f"""
+SELECT DISTINCT 'chartevents.value' AS field_name, stay_id::VARCHAR AS stay_key, itemid::VARCHAR AS item_key, strftime(charttime, '%Y-%m-%d %H:%M:%S') AS time_key FROM chartevents WHERE {_MISSING}
+UNION SELECT 'chartevents.charttime', stay_id::VARCHAR, itemid::VARCHAR, strftime(storetime, '%Y-%m-%d %H:%M:%S') FROM chartevents WHERE charttime IS NULL
+UNION SELECT 'patient_yaml.lab_results', stay_id, k, timepoint::VARCHAR FROM (SELECT stay_id, timepoint, unnest(map_keys(lab_results)) AS k, unnest(map_values(lab_results)) AS v FROM patient_yaml) WHERE NOT {_GOOD('v')}""")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     # every fill is made and kept, so that the optimiser can't drop the operator's work because only the marks are shown
     c, y = cut_lineage(chart_fills(spark, sf)), cut_lineage(lab_fills(spark, sf))
@@ -84,7 +92,11 @@ def patient_components(spark: SparkSession, sf: str) -> DataFrame:
     return hash_to_min(shared_key_edges(links, "patient", "adm"))
 
 
-@R.add("p2_found")
+@R.add("p2_found", """
+WITH RECURSIVE l AS (SELECT subject_id AS p, hadm_id AS a FROM admissions WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL UNION SELECT patient_id, adm_id FROM stay_to_ids_dict WHERE patient_id IS NOT NULL AND adm_id IS NOT NULL),
+e AS (SELECT DISTINCT x.p, y.p AS q FROM l x JOIN l y ON x.a = y.a AND x.p <> y.p),
+r(p, q) AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q)
+SELECT DISTINCT p AS patient_a, q AS patient_b FROM r WHERE p < q""")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     c = patient_components(spark, sf)
     a, b = c.select("component", F.col("node").alias("patient_a")), c.select("component", F.col("node").alias("patient_b"))
@@ -222,7 +234,10 @@ def p5_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- 6: packed values -----------------------------------------------------------------------------------------------
-@R.add("p6_found")
+@R.add("p6_found", r"""
+WITH o AS (SELECT DISTINCT subject_id, result_name, chartdate, seq_num, regexp_replace(result_value, '\([^)]*\)', '', 'g') AS t FROM omr),
+v AS (SELECT *, regexp_extract_all(regexp_replace(t, '["'']([0-9]+),([0-9]+)["'']', chr(1) || '\1' || chr(2) || '\2' || chr(1), 'g'), '[-+]?[0-9]+(?:[.\x02][0-9]+)?') AS vs FROM o)
+SELECT DISTINCT subject_id, result_name, strftime(chartdate, '%Y-%m-%d') AS chartdate, seq_num::INT AS seq_num, i::INT AS value_pos, replace(vs[i], chr(2), ',') AS value_text FROM v, unnest(range(1, len(vs) + 1)) AS u(i) WHERE len(vs) > 1""")
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "omr")
     v = split_packed(o, ["result_name"], "result_value", min_values=2)
