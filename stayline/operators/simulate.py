@@ -21,9 +21,9 @@ def simulate(states: DataFrame, keys: Sequence[str], predict: Callable[[DataFram
     for k in range(max_steps):
         p = predict(live).select(*keys, F.col(value).alias("__v"), F.coalesce("over", F.lit(False)).alias("__o"))
         j = live.join(p, list(keys), "left")
-        said = F.col("__o").isNotNull()
-        j = j.withColumn("__o", F.coalesce("__o", F.lit(True))).withColumn(value, F.when(said, F.col("__v")).otherwise(F.col(value)))
-        j = j.withColumn(time, F.when(said, F.col(time) + F.expr("INTERVAL 1 HOUR")).otherwise(F.col(time))).withColumn("steps", F.col("steps") + said.cast("int")).drop("__v")
+        said = F.col("__said")
+        j = j.withColumn("__said", F.col("__o").isNotNull()).withColumn("__o", F.coalesce("__o", F.lit(True))).withColumn(value, F.when(said, F.col("__v")).otherwise(F.col(value)))
+        j = j.withColumn(time, F.when(said, F.col(time) + F.expr("INTERVAL 1 HOUR")).otherwise(F.col(time))).withColumn("steps", F.col("steps") + said.cast("int")).drop("__v", "__said")
         if (k + 1) % keep_every == 0:
             j = cut_lineage(j)
         over = j.where("__o").drop("__o").withColumn("ended_by", F.lit("over"))
