@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stayline.operators.common import cut_lineage
 
 
-def simulate(states: DataFrame, keys: Sequence[str], predict: Callable[[DataFrame], DataFrame], time: str = "t", value: str = "v", max_steps: int = 24, keep_every: int = 6) -> DataFrame:
+def simulate(states: DataFrame, keys: Sequence[str], predict: Callable[[DataFrame], DataFrame], time: str = "t", value: str = "v", max_steps: int = 24, keep_every: int = 2) -> DataFrame:
     """Final states: ``states`` with ``steps`` and ``ended_by`` (``over`` or ``max_steps``).
 
     ``predict`` gets the open states and gives, per key, the next ``value`` and ``over`` (null: not over); a key that it leaves
