@@ -21,7 +21,8 @@ MAX_WEAK = 300
 MAX_TRAIN_CHARS = 20_000
 BITS = 18
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_CUT = re.compile(r"\s*\n\s*|(?<=[.!?;])['\"]?[ \t]+(?=\S)")
+#: Ends of lines, and of sentences; a German ordinal (`Am 7. Tag`) ends none.
+_CUT = re.compile(r"\s*\n\s*|(?<=[.!?;])(?<!\b[Aa]m \d\.)(?<!\b[Aa]m \d\d\.)['\"]?[ \t]+(?=\S)")
 #: A key before the text of a line: `'Care Taker 3':`, `FINDINGS:`, a list number.
 _KEY = re.compile(r"^\s*(?:[-*>]+\s*)*(?:'[^':]{1,40}':\s*|[A-Z][A-Z /]{2,40}:\s*|\d{1,2}[.)]\s+)?['\"]?")
 
