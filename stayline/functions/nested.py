@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stayline.operators.common import ship_package
+
 _LINE = re.compile(r"^( *)('(?:[^']|'')*'|[^'\s:][^:]*):(?:\s+(.*))?$")
 
 
@@ -86,6 +88,7 @@ def parse_nested(text: str) -> dict:
 
 def nested_text(facts: Column) -> Column:
     """Nested text of ARRAY<STRUCT<path ARRAY<STRING>, value STRING>>; null for null. Arrow batches, one text at a time."""
+    ship_package()
 
     @F.pandas_udf("string")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -97,6 +100,7 @@ def nested_text(facts: Column) -> Column:
 
 def nested_facts(text: Column) -> Column:
     """The facts of nested text, faults skipped; empty for null or text without any."""
+    ship_package()
 
     @F.pandas_udf("array<struct<path: array<string>, value: string>>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a side may be broadcast by hand.
@@ -15,6 +17,26 @@ BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Give the Python workers of all executors this package, once a session; they needn't have it installed."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="stayline-"), "stayline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(top)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that all executors share, so that a lost executor costs no data.
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stayline.operators.common import ship_package
+
 
 def hourly(events: DataFrame, at: str, keys: Sequence[str], value: str, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """Count, sum, least and greatest value per key and window of event time; events later than ``late`` are dropped.
@@ -30,6 +32,7 @@ def runs(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
     State is one row per key; it is arbitrary state that no built-in aggregate holds.
     """
+    ship_package(events.sparkSession)
     kind = dict(events.dtypes)[key]
     out = f"{key} {kind}, value string, since timestamp, length long"
 
