@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import require
+from stayline.operators.common import require, ship_package
 
 #: Characters of test text whose n-gram index is broadcast at once. More test text is searched for in blocks of this size.
 BLOCK_CHARS = 8_000_000
@@ -185,6 +185,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """
     require(docs, [doc_id, text])
     require(items, [item_id, item_text])
+    ship_package(docs.sparkSession)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_char int, end_char int, item_word int, n_words int, n_equal int"
     slim = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())

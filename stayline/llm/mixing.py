@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.operators.common import cut_lineage, require
+from stayline.operators.common import cut_lineage, require, ship_package
 
 #: Folder of the public vocabularies, and the rank file used.
 TOKENIZERS = "/opt/tokenizers"
@@ -40,6 +40,7 @@ def encoding(path: str):  # noqa: ANN201
 
 def n_tokens(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of a text; none of a null one. Strings of special tokens are ordinary text."""
+    ship_package()
     path = os.path.join(folder, vocabulary)
 
     @F.pandas_udf("bigint")

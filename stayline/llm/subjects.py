@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import require
+from stayline.operators.common import require, ship_package
 
 #: Most labelled documents, and most weakly labelled ones per source, that a model is fitted to (the first by hash).
 MAX_LABELLED = 12_000
@@ -246,6 +246,7 @@ def subject_areas(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_id",
     model is broadcast (features x areas floats, fixed by ``BITS``); every document is read whole; nothing is shuffled.
     """
     require(docs, [doc_id, text])
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
