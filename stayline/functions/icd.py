@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Chapters of version 9 by half-open code ranges, in canonical order. Fixed values.
 CHAPTERS = (
-    ("infectious", 1, 140), ("neoplasms", 140, 240), ("endocrine", 240, 280), ("blood", 280, 290), ("mental", 290, 319),
+    ("infection", 0, 140), ("neoplasms", 140, 240), ("endocrine", 240, 280), ("blood", 280, 290), ("mental", 290, 319),
     ("nervous", 320, 390), ("circulatory", 390, 460), ("respiratory", 460, 520), ("digestive", 520, 580), ("genitourinary", 580, 630),
     ("pregnancy", 630, 680), ("skin", 680, 710), ("musculoskeletal", 710, 740), ("congenital", 740, 760), ("perinatal", 760, 780),
-    ("symptoms", 780, 800), ("injury", 800, 1000),
+    ("ill_defined", 780, 800), ("injury", 800, 1000),
 )
 NAMES = tuple(n for n, _, _ in CHAPTERS) + ("unknown",)
 

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Headers under which a report sums up, and under which it describes. Fixed values.
-SUMMARY_HEADERS = ("IMPRESSION", "CONCLUSION", "CONCLUSIONS", "SUMMARY", "OPINION")
-FINDING_HEADERS = ("FINDINGS", "FINDING", "OBSERVATIONS", "REPORT")
-HEADER = r"(?:^|\n)([A-Z][A-Z ()/,-]*):\s"
+#: Headers under which a report sums up, and under which it describes, with their common misspellings. Fixed values.
+SUMMARY_HEADERS = (
+    "impression", "conclusion", "findings/impression", "impresson", "imprression", "imprssion", "impresion", "imperssion", "mpression",
+    "impession", "impressions", "impresions", "conclusions", "impresssion",
+)
+FINDING_HEADERS = ("findings", "views", "finding", "findins", "findindgs", "findgings", "findngs", "findnings", "finidngs")
+HEADER = r"\n([A-Z()/,-]+):\s"
 
 
 def sections(text: Column) -> Column:
     """Sections of a report in order: ARRAY of (header, body); text before the first header isn't part of any."""
     cut = F.split(F.regexp_replace(text, HEADER, "\u0001$1\u0002"), "\u0001")
     body = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
-    return F.transform(body, lambda s: F.struct(F.split_part(s, F.lit("\u0002"), F.lit(1)).alias("header"), F.trim(F.regexp_replace(F.split_part(s, F.lit("\u0002"), F.lit(2)), r"^\s+|\s+$", "")).alias("body")))
+    return F.transform(body, lambda s: F.struct(F.lower(F.split_part(s, F.lit("\u0002"), F.lit(1))).alias("header"), F.trim(F.regexp_replace(F.split_part(s, F.lit("\u0002"), F.lit(2)), r"^\s+|\s+$", "")).alias("body")))
 
 
 def impression(text: Column) -> Column:
-    """The last summary section of a report, else its last findings, else all of it; null for null."""
+    """The last summary section of a report, else its last findings, else all of it, without outer blanks; null for null."""
     s = sections(text)
     last = lambda names: F.element_at(F.filter(s, lambda x: x["header"].isin(*names)), -1)["body"]
     have = lambda names: F.exists(s, lambda x: x["header"].isin(*names))
-    return F.when(have(SUMMARY_HEADERS), last(SUMMARY_HEADERS)).when(have(FINDING_HEADERS), last(FINDING_HEADERS)).otherwise(text)
+    return F.when(have(SUMMARY_HEADERS), last(SUMMARY_HEADERS)).when(have(FINDING_HEADERS), last(FINDING_HEADERS)).otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:

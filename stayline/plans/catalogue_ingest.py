@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.icd import icd_chapter, icd_chapter_sql, ndc_key, ndc_product_key, tagged_parts
 from stayline.functions.numeric import round_half_even, to_number
-from stayline.functions.text import impression, last_match, replace_chain, strip_unit
+from stayline.functions.text import FINDING_HEADERS, SUMMARY_HEADERS, impression, last_match, replace_chain, strip_unit
 from stayline.functions.time import hour_ceil, hour_floor, hour_round, hours_between, stamp
 from stayline.plans.registry import Registry, table
 from stayline.plans.sql import at, hour, num
@@ -155,11 +155,14 @@ def replace_chain_q(s: S, sf: str) -> DF:
     return o.select("subject_id", "seq_num", F.date_format("chartdate", "yyyy-MM-dd").alias("day"), replace_chain(F.col("result_value"), [(" (estimate; see lab note)", ""), ("approx. ", ""), (", adjusted for body surface", "")]).alias("v"))
 
 
+_NAMES = lambda names: ", ".join(f"'{n}'" for n in names)
+_LAST = lambda names: f"list_filter(s, lambda x: x.h IN ({_NAMES(names)}))"
+
+
 @R.add("impression_section", rf"""
-WITH d AS (SELECT doc_id, text, (string_split(regexp_replace(text, '(?:^|\n)([A-Z][A-Z ()/,-]*):\s', chr(1) || '\1' || chr(2), 'g'), chr(1)))[2:] AS parts FROM documents WHERE lower(trim(source)) = 'radiology'),
-p AS (SELECT doc_id, text, list_transform(parts, lambda x: {{'h': string_split(x, chr(2))[1], 'b': regexp_replace(string_split(x, chr(2))[2], '^\s+|\s+$', '', 'g')}}) AS s FROM d)
-SELECT doc_id, CASE WHEN len(list_filter(s, lambda x: x.h IN ('IMPRESSION', 'CONCLUSION', 'CONCLUSIONS', 'SUMMARY', 'OPINION'))) > 0 THEN list_filter(s, lambda x: x.h IN ('IMPRESSION', 'CONCLUSION', 'CONCLUSIONS', 'SUMMARY', 'OPINION'))[-1].b
-  WHEN len(list_filter(s, lambda x: x.h IN ('FINDINGS', 'FINDING', 'OBSERVATIONS', 'REPORT'))) > 0 THEN list_filter(s, lambda x: x.h IN ('FINDINGS', 'FINDING', 'OBSERVATIONS', 'REPORT'))[-1].b ELSE text END AS impression FROM p""")
+WITH d AS (SELECT doc_id, text, (string_split(regexp_replace(text, '\n([A-Z()/,-]+):\s', chr(1) || '\1' || chr(2), 'g'), chr(1)))[2:] AS parts FROM documents WHERE lower(trim(source)) = 'radiology'),
+p AS (SELECT doc_id, text, list_transform(parts, lambda x: {{'h': lower(string_split(x, chr(2))[1]), 'b': regexp_replace(string_split(x, chr(2))[2], '^\s+|\s+$', '', 'g')}}) AS s FROM d)
+SELECT doc_id, CASE WHEN len({_LAST(SUMMARY_HEADERS)}) > 0 THEN {_LAST(SUMMARY_HEADERS)}[-1].b WHEN len({_LAST(FINDING_HEADERS)}) > 0 THEN {_LAST(FINDING_HEADERS)}[-1].b ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS impression FROM p""")
 def impression_section(s: S, sf: str) -> DF:
     d = table(s, sf, "documents").where("lower(trim(source)) = 'radiology'")
     return d.select("doc_id", impression(F.col("text")).alias("impression"))

@@ -38,8 +38,15 @@ def test_codes(spark):
 
 
 def test_sections(spark):
-    d = spark.createDataFrame([("A\nFINDINGS: x\nIMPRESSION: y\nmore\nIMPRESSION: z",), ("FINDINGS: only",), ("plain",), ("",), (None,)], "t string")
+    d = spark.createDataFrame([("A\nFINDINGS: x\nIMPRESSION: y\nmore\nIMPRESSION: z",), ("x\nFINDINGS: only",), ("plain",), ("",), (None,)], "t string")
     assert [r[0] for r in d.select(text.impression(F.col("t"))).collect()] == ["z", "only", "plain", "", None]
     assert rows(d.select(text.last_match(F.col("t"), r"IMPRESSION: (\w)"))) == [("z",), (None,), (None,), (None,), (None,)]
     m = spark.createDataFrame([("3mm 4cm",), ("4cm",)], "t string")
     assert [r[0] for r in m.select(text.strip_unit(F.col("t"))).collect()] == ["3 4cm", "4"]
+
+
+def test_codes_in_words(spark):
+    from stayline.functions.codes import INTERPRETATIONS, SERVICES, in_words
+
+    d = spark.createDataFrame([("S", "MED"), ("Q", "XYZ"), (None, None)], "i string, s string")
+    assert rows(d.select(in_words(F.col("i"), INTERPRETATIONS), in_words(F.col("s"), SERVICES, keep=True))) == [("sensitive", "Medical"), (None, "XYZ"), (None, None)]
