@@ -21,13 +21,16 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class LeakRules:
-    """``n``: words of an indexed n-gram. ``seeds``: n-grams that a document must share with an item, ``near`` words apart at
-    most, before the pair is verified. ``min_words``: words of the item that must stand in a row in the document. An isolated
+    """``n``: words of an indexed n-gram. ``seeds``: n-grams that a document must share with an item before the pair is verified,
+    in the same order and place up to ``drift`` words, neighbours at most ``near`` words apart, and spanning ``min_words`` less
+    ``slack`` words together (edits may cost a run its n-grams at either end). ``min_words``: words of the item that must stand in a row in the document. An isolated
     word changed, added or dropped is let go; ``min_equal`` is the least share of the run's words that must be equal."""
 
     n: int = 4
     seeds: int = 4
-    near: int = 48
+    near: int = 12
+    drift: int = 8
+    slack: int = 8
     min_words: int = 25
     min_equal: float = 0.7
 
@@ -99,9 +102,10 @@ class ItemIndex:
                 by.setdefault(i, []).append((p, j))
         out = []
         for i, pairs in by.items():
-            if len({p for p, _ in pairs}) < r.seeds or not _dense(pairs, r.seeds, r.near):
+            near = _chained(pairs, r)
+            if not near:
                 continue
-            for first, last, lo, hi, equal in _runs(self.items[i], x, pairs, r):
+            for first, last, lo, hi, equal in _runs(self.items[i], x, near, r):
                 out.append((self.ids[i], a[lo], b[hi], first, last - first + 1, equal))
         return out
 
@@ -117,10 +121,31 @@ def _grams(x: np.ndarray, n: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _dense(pairs: list[tuple[int, int]], seeds: int, near: int) -> bool:
-    """Whether ``seeds`` hits lie within ``near`` words of the document."""
-    j = sorted({j for _, j in pairs})
-    return any(j[k + seeds - 1] - j[k] <= near for k in range(len(j) - seeds + 1))
+def _chained(pairs: list[tuple[int, int]], r: LeakRules) -> list[tuple[int, int]]:
+    """The hits (item word, word) that stand in a chain long enough to be worth verifying.
+
+    Hits are put into buckets of ``drift`` neighbouring diagonals, twice, half a bucket apart, so that a run's hits share one.
+    """
+    if len(pairs) < r.seeds:
+        return []
+    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    half = r.drift // 2
+    for p, j in pairs:
+        d = (j - p) // half
+        by.setdefault((0, d // 2), []).append((p, j))
+        by.setdefault((1, (d + 1) // 2), []).append((p, j))
+    out: list[tuple[int, int]] = []
+    for hits in by.values():
+        if len(hits) < r.seeds:
+            continue
+        hits.sort()
+        start = 0
+        for k in range(1, len(hits) + 1):
+            if k == len(hits) or hits[k][0] - hits[k - 1][0] > r.near:
+                if k - start >= r.seeds and hits[k - 1][0] - hits[start][0] + r.n >= r.min_words - r.slack:
+                    out += hits[start:k]
+                start = k
+    return out
 
 
 def _runs(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], r: LeakRules) -> list[tuple[int, int, int, int, int]]:
