@@ -30,3 +30,15 @@ def future(events: DataFrame, points: DataFrame, keys: Sequence[str], at: str, h
 def sections_of(facts: DataFrame, dimension: DataFrame, sample: Sequence[str], path: str) -> DataFrame:
     """Sections present in each sample: facts whose path starts with a section's prefix. ``dimension`` is a short fixed list."""
     return facts.join(F.broadcast(dimension), F.startswith(F.col(path), F.col("prefix"))).select(*sample, "section").distinct()
+
+
+def top_of(counts: DataFrame, group: Sequence[str], value: str, n: str, k: Column) -> DataFrame:
+    """The ``k`` commonest values per group (least value first on ties), as an array; ``k`` is an aggregate of the group."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), F.col(value).alias("v")))), lambda x: x["v"])
+    return counts.groupBy(*group).agg(order.alias("__o"), k.alias("__k")).select(*group, F.slice("__o", 1, F.greatest(F.col("__k").cast("int"), F.lit(0))).alias("top"))
+
+
+def map_codes(codes: DataFrame, mapping: DataFrame, code: str, source: str, target: str) -> DataFrame:
+    """Codes brought over by a mapping, every target of a code; codes without one fall out. Null codes too."""
+    m = mapping.select(F.trim(source).alias("__s"), F.trim(target).alias(target)).dropna().distinct()
+    return codes.withColumn("__s", F.trim(code)).join(m, "__s").drop("__s")

@@ -88,3 +88,42 @@ def corpus_bleu(df: DataFrame, reference: str, candidate: str, n: int = 4) -> Da
         hit = hit & (F.coalesce(F.col(f"m{k}"), F.lit(0)) > 0)
     bp = F.when(F.col("__c") >= F.col("__r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("__r") / F.col("__c")))
     return sums.select(F.when(hit, bp * F.exp(logs)).otherwise(F.lit(0.0)).alias("bleu"))
+
+
+def false_positive_accuracy(df: DataFrame, gt: str, pred: str) -> DataFrame:
+    """Of all predicted names in array columns the share that is true; names that were missed don't count. NaN if none was predicted."""
+    hit = F.sum(F.size(F.array_intersect(gt, pred)))
+    miss = F.sum(F.size(F.array_except(pred, gt)))
+    return df.agg(F.when(hit + miss > 0, hit / (hit + miss)).otherwise(F.lit(float("nan"))).alias("accuracy"), hit.alias("correct"), miss.alias("incorrect"))
+
+
+def plain_words(event: Column, value: Column) -> Column:
+    """Spellings of free-text readings brought to one: pain that can't be assessed, sleep, `n/10`; paced rhythms."""
+    v = F.lower(F.trim(value))
+    pain = F.when(v.rlike("unable|uta|u/a"), "unable to assess").when(F.contains(v, F.lit("sleep")), "sleeping").when(F.contains(v, F.lit("/10")), F.concat(F.split_part(v, F.lit("/"), F.lit(1)), F.lit(".0"))).otherwise(v)
+    return F.when(event == "pain", pain).when((event == "rhythm") & F.contains(v, F.lit("avp")), "av paced").otherwise(v)
+
+
+def outcome(disposition: Column, released: Column, hours: Column, limit: int = 72) -> Column:
+    """1 if a simulated stay is longer than ``limit`` hours: by its length if it ended, null if the patient died, else 1 (out of steps)."""
+    return F.when(released, (hours > limit).cast("int")).when(disposition == "DIED", F.lit(None).cast("int")).otherwise(F.lit(1))
+
+
+def tolerant_scores(gt: DataFrame, pred: DataFrame, keys: Sequence[str], event: str, at: str, value: str, tol_seconds: int) -> DataFrame:
+    """Per event: tp, fp, fn within the tolerance, and RMSE and MAE against the nearest value, in one grouped result."""
+    from stayline.operators import joins as J
+
+    k = [*keys, event]
+    count = lambda df, name: df.groupBy(event).agg(F.count(F.lit(1)).alias(name))
+    near = J.nearest_value(pred, gt, k, at, value, tol_seconds)
+    rmse, mae = regression(F.col("gt_value"), F.col(value))
+    parts = [
+        count(J.tolerant(gt, pred, k, at, tol_seconds, "left_semi"), "tp"),
+        count(J.tolerant(pred, gt, k, at, tol_seconds, "left_anti"), "fp"),
+        count(J.tolerant(gt, pred, k, at, tol_seconds, "left_anti"), "fn"),
+        near.groupBy(event).agg(rmse.alias("rmse"), mae.alias("mae")),
+    ]
+    out = gt.select(event).union(pred.select(event)).distinct()
+    for p in parts:
+        out = out.join(p, event, "left")
+    return out.fillna(0, ["tp", "fp", "fn"])

@@ -89,3 +89,23 @@ def segments(admissions: DataFrame, icustays: DataFrame, ed: DataFrame) -> DataF
     part = lambda df, kind, sid, a, b: df.select("subject_id", "hadm_id", F.col(sid).alias("segment_id"), F.lit(kind).alias("stay_type"), F.col(a).alias("start_at"), F.col(b).alias("end_at")).distinct()
     u = part(admissions, "admission", "hadm_id", "admittime", "dischtime").unionByName(part(icustays, "icu", "stay_id", "intime", "outtime")).unionByName(part(ed, "ed", "stay_id", "intime", "outtime"))
     return u.withColumn("hours", (micros("end_at") - micros("start_at")) / F.lit(float(HOUR_US)))
+
+
+#: How each kind of source is cut at a time point: whether the trailing bound is closed, and whether it compares dates. Fixed values.
+BOUNDS = {"transfers": {"closed": True}, "services": {}, "labs": {}, "prescriptions": {}, "notes": {}, "omr": {"by_date": True}, "procedures": {"by_date": True}, "icu": {}, "ed": {}}
+
+
+def as_of(source: str, events: DataFrame, points: DataFrame, keys: Sequence[str], at: str, t: str = "t", trailing_hours: int | None = None) -> DataFrame:
+    """:func:`until` with the bounds of the source's kind."""
+    return until(events, points, keys, at, t, trailing_hours, **BOUNDS[source])
+
+
+def phase(hour_idx: Column, ed_hours: Column) -> Column:
+    """Where a stay is at an hour index: ``ed`` up to the last emergency hour, ``admitted`` for the tick after it, ``hospital`` from then on."""
+    e = F.coalesce(ed_hours, F.lit(0))
+    return F.when((e > 0) & (hour_idx <= e), "ed").when((e > 0) & (hour_idx == e + 1), "admitted").otherwise("hospital")
+
+
+def begun(events: DataFrame, t: Column, start: Column) -> DataFrame:
+    """Nothing of a part of a stay is known before it begins."""
+    return events.where(t >= start)
