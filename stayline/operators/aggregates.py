@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
+
 
 def first_known(value: Column, *order: Column) -> Column:
     """The value at the least order among those that aren't null."""
@@ -63,4 +65,4 @@ def relative_frequency(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts, shares of all rows, and shares relative to the commonest value. The total is a one-row aggregate, no global window."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("__all"), F.max("n").alias("__most"))
-    return counts.crossJoin(F.broadcast(total)).select(*by, "n", (F.col("n") / F.col("__all")).alias("share"), (F.col("n") / F.col("__most")).alias("of_most"))
+    return counts.transform(attach, total).select(*by, "n", (F.col("n") / F.col("__all")).alias("share"), (F.col("n") / F.col("__most")).alias("of_most"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
+
 #: Characters that count as a token where no tokenizer is given.
 CHARS_PER_TOKEN = 3
 
@@ -99,7 +101,7 @@ def length_blocks(df: DataFrame, order: str, length: str, tie: str, block: int =
 def row_numbers(df: DataFrame, order: str, tie: str, shards: int = 64) -> DataFrame:
     """``rn`` = 1, 2, ... in (order, tie): quantile shards numbered each for itself, offset by the rows of those before."""
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / shards) for i in range(1, shards)]), F.lit(10000)).alias("__q"))
-    d = df.crossJoin(F.broadcast(cuts)).withColumn("__s", F.size(F.filter("__q", lambda q: q < F.col(order)))).drop("__q")
+    d = df.transform(attach, cuts).withColumn("__s", F.size(F.filter("__q", lambda q: q < F.col(order)))).drop("__q")
     n = d.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
     off = n.withColumn("__off", F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).select("__s", "__off")
     return d.join(F.broadcast(off), "__s").withColumn("rn", F.row_number().over(Window.partitionBy("__s").orderBy(order, tie)) + F.col("__off")).drop("__s", "__off")
@@ -109,7 +111,7 @@ def worker_shards(df: DataFrame, key: str, workers: int) -> DataFrame:
     """Distinct keys in order, in ``workers`` parts of sizes that differ by one at most: ``key, worker``."""
     ids = row_numbers(df.select(key).dropna().distinct(), key, key)
     total = ids.agg(F.count(F.lit(1)).alias("__t"))
-    d = ids.crossJoin(F.broadcast(total))
+    d = ids.transform(attach, total)
     base, extra = F.floor(F.col("__t") / workers), F.col("__t") % workers
     head = extra * (base + 1)
     i = F.col("rn") - 1

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
+
 
 def one_hot(values: Column, names: Sequence[str]) -> Column:
     """0/1 per name, in order, by membership."""
@@ -29,7 +31,9 @@ def future(events: DataFrame, points: DataFrame, keys: Sequence[str], at: str, h
 
 def sections_of(facts: DataFrame, dimension: DataFrame, sample: Sequence[str], path: str) -> DataFrame:
     """Sections present in each sample: facts whose path starts with a section's prefix. ``dimension`` is a short fixed list."""
-    return facts.join(F.broadcast(dimension), F.startswith(F.col(path), F.col("prefix"))).select(*sample, "section").distinct()
+    names = dimension.agg(F.collect_list(F.struct("prefix", "section")).alias("__names"))
+    hit = F.filter("__names", lambda x: F.startswith(F.col(path), x["prefix"]))
+    return facts.transform(attach, names).select(*sample, F.explode(hit).alias("__x")).select(*sample, F.col("__x.section").alias("section")).distinct()
 
 
 def top_of(counts: DataFrame, group: Sequence[str], value: str, n: str, k: Column) -> DataFrame:

@@ -85,6 +85,12 @@ def join_dimension(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     return salted_join(df, dim, keys, how)
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row frame (totals, bounds), as a scalar subquery that runs once; no join takes place."""
+    row = one.select(F.struct(*[F.col(f"`{c}`") for c in one.columns]).alias("row")).scalar()
+    return df.withColumn("__one", row).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__one")[c].alias(c) for c in one.columns])
+
+
 def aside(names: Sequence[str]) -> tuple[list[str], list[Column], list[Column]]:
     """Names that no user column has for ``names``, and the columns that rename to them and back."""
     inner = [f"__key{i}" for i in range(len(names))]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
 from stayline.functions.numeric import safe_ratio
 
 
@@ -81,7 +82,7 @@ def corpus_bleu(df: DataFrame, reference: str, candidate: str, n: int = 4) -> Da
         grams = lambda a: F.when(F.size(a) >= k, F.transform(F.sequence(F.lit(1), F.size(a) - k + 1), lambda i: F.array_join(F.slice(a, i, k), " "))).otherwise(F.array().cast("array<string>"))  # noqa: B023, E731
         one = lambda side: base.select("__i", F.explode(grams(F.col(side))).alias("g")).groupBy("__i", "g").agg(F.count(F.lit(1)).alias(side))  # noqa: B023, E731
         m = one("c").join(one("r"), ["__i", "g"], "left").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias(f"m{k}"), F.sum("c").alias(f"t{k}"))
-        sums = sums.crossJoin(F.broadcast(m))
+        sums = sums.transform(attach, m)
     logs = sum((F.log(F.col(f"m{k}") / F.col(f"t{k}")) for k in range(1, n + 1)), F.lit(0.0)) / n
     hit = F.lit(True)
     for k in range(1, n + 1):

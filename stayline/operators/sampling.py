@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import uniform
-from stayline.operators.common import join_dimension
+from stayline.operators.common import attach, join_dimension
 
 
 def draw(seed: str, *keys: str) -> Column:
@@ -23,14 +23,14 @@ def rarity_weights(facts: DataFrame, sample: Sequence[str], path: str, alpha: fl
     """
     counts = facts.groupBy(path).agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n").alias("most"))
-    w = counts.crossJoin(F.broadcast(most)).select(path, (-F.log(F.col("n") / F.col("most") + eps)).alias("w"))
+    w = counts.transform(attach, most).select(path, (-F.log(F.col("n") / F.col("most") + eps)).alias("w"))
     per = join_dimension(facts.select(*sample, path), w, [path]).groupBy(*sample).agg(F.pow(F.avg(F.pow(F.greatest("w", F.lit(0.0)), F.lit(alpha))), F.lit(1 / alpha)).alias("raw"))
     return normalize(per, "raw", "weight")
 
 
 def normalize(df: DataFrame, raw: str, name: str) -> DataFrame:
     total = df.agg(F.sum(raw).alias("__t"))
-    return df.crossJoin(F.broadcast(total)).withColumn(name, F.col(raw) / F.col("__t")).drop("__t")
+    return df.transform(attach, total).withColumn(name, F.col(raw) / F.col("__t")).drop("__t")
 
 
 def weighted_without_replacement(df: DataFrame, keys: Sequence[str], weight: str, k: int, seed: str) -> DataFrame:
@@ -59,10 +59,10 @@ def weighted_with_replacement(df: DataFrame, key: str, weight: str, k: int, seed
     d = d.withColumn("__hi", F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__lo", F.col("__hi") - F.col("__w"))
     tot = d.groupBy("__b").agg(F.sum("__w").alias("__t"))
     acc = tot.withColumn("__end", F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)))
-    acc = acc.withColumn("__start", F.col("__end") - F.col("__t")).crossJoin(F.broadcast(tot.agg(F.sum("__t").alias("__all"))))
+    bounds = acc.agg(F.array_sort(F.collect_list(F.struct("__end", "__b", "__t"))).alias("__bounds"), F.max("__end").alias("__all"))  # at most ``buckets`` entries
     draws = df.sparkSession.range(k).select(F.col("id").alias("draw")).withColumn("__u", uniform(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"))))
-    picked = draws.join(F.broadcast(acc), (F.col("__u") * F.col("__all") >= F.col("__start")) & (F.col("__u") * F.col("__all") < F.col("__end")))
-    at = picked.withColumn("__p", F.col("__u") * F.col("__all") - F.col("__start")).select("draw", "__b", "__p")
+    hit = draws.transform(attach, bounds).withColumn("__x", F.filter("__bounds", lambda x: x["__end"] > F.col("__u") * F.col("__all"))[0])
+    at = hit.select("draw", F.col("__x.__b").alias("__b"), (F.col("__u") * F.col("__all") - (F.col("__x.__end") - F.col("__x.__t"))).alias("__p"))
     return at.join(d, "__b").where((F.col("__p") >= F.col("__lo")) & (F.col("__p") < F.col("__hi"))).select("draw", key)
 
 
@@ -77,7 +77,7 @@ def balance(df: DataFrame, label: str, keys: Sequence[str], seed: str, cap: int
     totals = per.groupBy(label).agg(F.sum("__n").alias("t"))
     least = totals.agg(F.min("t").alias("__k"))
     least = least.withColumn("__k", F.least("__k", F.lit(cap))) if cap else least
-    run = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(label).orderBy("__b")) - F.col("__n")).crossJoin(F.broadcast(least))
+    run = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(label).orderBy("__b")) - F.col("__n")).transform(attach, least)
     edge = run.where(F.col("__before") < F.col("__k")).withColumn("__room", F.col("__k") - F.col("__before")).select(label, "__b", "__n", "__room")
     kept = d.join(edge, [label, "__b"])
     whole = kept.where("__n <= __room")
@@ -89,7 +89,7 @@ def balance(df: DataFrame, label: str, keys: Sequence[str], seed: str, cap: int
 def inverse_prevalence(labels: DataFrame, key: str, label: str) -> DataFrame:
     """Weight per record: the mean of ln(1 + neg / (pos + 1e-5)) over its labels."""
     total = labels.agg(F.countDistinct(key).alias("__t"))
-    w = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__p")).crossJoin(F.broadcast(total)).select(label, F.log1p((F.col("__t") - F.col("__p")) / (F.col("__p") + 1e-5)).alias("__w"))
+    w = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__p")).transform(attach, total).select(label, F.log1p((F.col("__t") - F.col("__p")) / (F.col("__p") + 1e-5)).alias("__w"))
     return join_dimension(labels, w, [label]).groupBy(key).agg(F.avg("__w").alias("weight"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
 from stayline.functions.numeric import to_number
 from stayline.functions.time import hour_round, stamp
 from stayline.operators import aggregates as A
@@ -263,5 +264,5 @@ def collect_timepoints(s: S, sf: str) -> DF:
 def label_prevalence(s: S, sf: str) -> DF:
     lab = table(s, sf, "subject_labels")
     total = lab.agg(F.countDistinct("doc_id").alias("total"))
-    g = lab.groupBy("subject_area").agg(F.count(F.lit(1)).alias("pos")).crossJoin(F.broadcast(total))
+    g = lab.groupBy("subject_area").agg(F.count(F.lit(1)).alias("pos")).transform(attach, total)
     return g.select("subject_area", "pos", F.round(F.log1p((F.col("total") - F.col("pos")) / (F.col("pos") + 1e-5)), 6).alias("weight"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
 from stayline.functions.icd import icd_chapter, icd_chapter_sql
 from stayline.functions.time import stamp
 from stayline.operators import budget as B
@@ -57,7 +58,7 @@ def top_units_by_mean_count(s: S, sf: str) -> DF:
     """The k commonest units, k being the rounded mean number per stay: a baseline's guess of a list."""
     t = table(s, sf, "transfers").where("careunit IS NOT NULL AND hadm_id IS NOT NULL").select("hadm_id", "transfer_id", "careunit").distinct()
     k = t.agg(F.bround(F.count(F.lit(1)) / F.countDistinct("hadm_id"), 0).alias("k"))
-    c = t.groupBy("careunit").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(k)).withColumn("g", F.lit(0))
+    c = t.groupBy("careunit").agg(F.count(F.lit(1)).alias("n")).transform(attach, k).withColumn("g", F.lit(0))
     return C.top_of(c, ["g"], "careunit", "n", F.max("k")).select(F.explode("top").alias("careunit"))
 
 

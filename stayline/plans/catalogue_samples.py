@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stayline.operators.common import attach
 from stayline.functions.hashing import uniform, uniform_sql
 from stayline.functions.icd import CHAPTERS, icd_chapter, icd_chapter_sql
 from stayline.functions.numeric import min_max, text_of
@@ -28,7 +29,7 @@ _U = lambda seed, *keys: uniform_sql("concat_ws('|', '" + seed + "', " + ", ".jo
 @R.add("patient_split", f"WITH p AS (SELECT DISTINCT subject_id FROM admissions WHERE subject_id IS NOT NULL), r AS (SELECT subject_id, row_number() OVER (ORDER BY {_U('split', 'subject_id')}, subject_id) AS rn, count(*) OVER () AS n FROM p) SELECT subject_id, CASE WHEN rn <= floor(n * 0.95) THEN 'train' WHEN rn <= floor(n * 0.95) + floor(n * 0.025) THEN 'val' ELSE 'test' END AS split FROM r")
 def patient_split(s: S, sf: str) -> DF:
     p = table(s, sf, "admissions").select("subject_id").dropna().distinct().withColumn("u", X.draw("split", "subject_id"))
-    r = B.row_numbers(p, "u", "subject_id").crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n"))))
+    r = B.row_numbers(p, "u", "subject_id").transform(attach, p.agg(F.count(F.lit(1)).alias("n")))
     a, b = F.floor(F.col("n") * 0.95), F.floor(F.col("n") * 0.025)
     return r.select("subject_id", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test").alias("split"))
 
@@ -246,7 +247,7 @@ _BIN = "WITH d AS (SELECT DISTINCT stay_id, disposition = 'ADMITTED' AS g, ed_st
 def binary_metrics_auc(s: S, sf: str) -> DF:
     d = table(s, sf, "ed_stays").where("disposition IS NOT NULL AND ed_stay_hours IS NOT NULL").select("stay_id", (F.col("disposition") == "ADMITTED").alias("g"), F.col("ed_stay_hours").alias("s")).distinct()
     acc = d.agg(F.round(F.count_if(F.col("g") == (F.col("s") > 6)) / F.count(F.lit(1)), 6).alias("accuracy"))
-    return acc.crossJoin(M.auc_by_rank(d, [], "g", "s").select(F.round("auc", 6).alias("auc")))
+    return acc.transform(attach, M.auc_by_rank(d, [], "g", "s").select(F.round("auc", 6).alias("auc")))
 
 
 _ALN = f"{READINGS}, g AS (SELECT stay_id, hour, avg(v) AS gt FROM readings WHERE itemid = 240045 AND v IS NOT NULL GROUP BY 1, 2), p AS (SELECT stay_id, hour + INTERVAL 1 HOUR AS hour, gt AS pred FROM g), q AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM readings WHERE itemid = 240045 AND v IS NOT NULL), j AS (SELECT gt, pred, lo, hi FROM (SELECT * FROM g FULL JOIN p USING (stay_id, hour)), q), w AS (SELECT coalesce(gt, lo) AS gt, coalesce(pred, CASE WHEN abs(gt - lo) >= abs(gt - hi) THEN lo ELSE hi END) AS pred, lo, hi FROM j)"
@@ -257,7 +258,7 @@ def _aligned(s: S, sf: str) -> DF:
     g = r.groupBy("stay_id", "hour").agg(F.avg("v").alias("gt"))
     p = g.select("stay_id", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("gt").alias("pred"))
     q = r.agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
-    return M.worst_case(g.join(p, ["stay_id", "hour"], "full_outer").crossJoin(F.broadcast(q)), "gt", "pred", "lo", "hi")
+    return M.worst_case(g.join(p, ["stay_id", "hour"], "full_outer").transform(attach, q), "gt", "pred", "lo", "hi")
 
 
 @R.add("rmse_mae_worst_case", f"WITH {_ALN} SELECT round(sqrt(avg(pow(gt - pred, 2))), 6) AS rmse, round(avg(abs(gt - pred)), 6) AS mae, count(*) AS n FROM w")
@@ -294,9 +295,9 @@ def baseline_frequency_hash(s: S, sf: str) -> DF:
     """Each event of the fixed item list predicted for a stay with the probability with which it occurs; one row per stay."""
     f = table(s, sf, "chartevents").where("stay_id IS NOT NULL").select("stay_id", "itemid").distinct()
     n = f.agg(F.countDistinct("stay_id").alias("n"))
-    q = f.groupBy("itemid").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n)).select("itemid", (F.col("c") / F.col("n")).alias("p"))
+    q = f.groupBy("itemid").agg(F.count(F.lit(1)).alias("c")).transform(attach, n).select("itemid", (F.col("c") / F.col("n")).alias("p"))
     items = q.agg(F.array_sort(F.collect_list(F.struct("itemid", "p"))).alias("items"))  # one entry per item of the dictionary
-    g = f.select("stay_id").distinct().crossJoin(F.broadcast(items)).select("stay_id", F.explode("items").alias("i"))
+    g = f.select("stay_id").distinct().transform(attach, items).select("stay_id", F.explode("items").alias("i"))
     u = uniform(F.concat_ws("|", F.lit("bern"), F.col("stay_id").cast("string"), F.col("i.itemid").cast("string")))
     return g.where(u < F.col("i.p")).groupBy("stay_id").agg(F.count(F.lit(1)).alias("events"))
 

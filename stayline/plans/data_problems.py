@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
-from stayline.operators.common import cut_lineage
+from stayline.operators.common import attach, cut_lineage
 from stayline.operators.hot_deck import PLACEHOLDERS, Target, hot_deck, number, usable
 from stayline.operators.intervals import interval_gaps, merge_intervals
 from stayline.operators.linked_splits import hash_to_min, linked_split, shared_key_edges
@@ -115,7 +115,7 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
 def p2_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     p = p2_splits(spark, sf).where("patient IS NOT NULL").select("patient", "split").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("patients"))
     total = p.agg(F.sum("patients").alias("total"))
-    return p.crossJoin(F.broadcast(total)).select("split", "patients", F.round(F.col("patients") / F.col("total"), 6).alias("share"))
+    return p.transform(attach, total).select("split", "patients", F.round(F.col("patients") / F.col("total"), 6).alias("share"))
 
 
 # -- 3: orphan references -------------------------------------------------------------------------------------------
