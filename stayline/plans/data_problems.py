@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.functions.hashing import uniform_sql
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
 from stayline.operators.common import attach, cut_lineage
 from stayline.operators.hot_deck import PLACEHOLDERS, Target, hot_deck, number, usable
@@ -15,6 +16,7 @@ from stayline.operators.references import count_by_period, late_references, orph
 from stayline.operators.regular_grid import regular_grid
 from stayline.operators.spikes import Limits, flag_readings
 from stayline.plans.registry import Registry, table
+from stayline.plans.sql import num
 
 R = Registry()
 WEIGHTS = {"train": 0.95, "validation": 0.025, "test": 0.025}
@@ -103,7 +105,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "component").where("patient_a < patient_b").select("patient_a", "patient_b")
 
 
-@R.add("p2_splits")
+_SCORE = lambda split, w: f"(-{w} / ln({uniform_sql(chr(39) + 'split|' + split + '|' + chr(39) + ' || component::VARCHAR')}))"
+_T, _V, _E = (_SCORE(n, w) for n, w in WEIGHTS.items())
+
+
+@R.add("p2_splits", f"""
+WITH RECURSIVE l AS (SELECT subject_id AS p, hadm_id AS a FROM admissions WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL UNION SELECT patient_id, adm_id FROM stay_to_ids_dict WHERE patient_id IS NOT NULL AND adm_id IS NOT NULL),
+e AS (SELECT DISTINCT x.p, y.p AS q FROM l x JOIN l y ON x.a = y.a AND x.p <> y.p),
+r(p, q) AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q), m AS (SELECT p, min(q) AS q FROM r GROUP BY p),
+t AS (SELECT 'admissions' AS tbl, hadm_id::VARCHAR AS row_key, subject_id AS patient FROM admissions UNION ALL SELECT 'stay_to_ids_dict', stay_id, patient_id FROM stay_to_ids_dict),
+c AS (SELECT t.*, least(coalesce(m.q, patient), patient) AS component FROM t LEFT JOIN m ON m.p = t.patient)
+SELECT *, CASE WHEN component IS NULL THEN NULL WHEN {_T} >= {_V} AND {_T} >= {_E} THEN 'train' WHEN {_V} >= {_E} THEN 'validation' ELSE 'test' END AS split FROM c""")
 def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     c = patient_components(spark, sf)
     a = linked_split(table(spark, sf, "admissions"), "subject_id", c, WEIGHTS).select(F.lit("admissions").alias("tbl"), F.col("hadm_id").cast("string").alias("row_key"), F.col("subject_id").alias("patient"), "component", "split")
@@ -283,11 +295,18 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return c.unionByName(e)
 
 
-@R.add("p7_hourly")
+def _grid_sql(source: str, keys: str, start: str) -> str:
+    """Every period of a source's range with its latest value and the last one known; ``source`` gives keys, p, v, o."""
+    return f"""WITH r AS ({source}), g AS (SELECT {keys}, p, arg_max(v, struct_pack(a := o, b := v)) FILTER (v IS NOT NULL) AS value, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT {keys}, unnest(range(min(p), max(p) + 1)) AS p FROM g GROUP BY {keys}), j AS (SELECT s.*, value, coalesce(n, 0) AS n_readings, n IS NULL AS is_missing FROM s LEFT JOIN g USING ({keys}, p))
+SELECT {keys}, {start} AS period_start, value, last_value(value IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY p) AS filled_value, n_readings, is_missing FROM j"""
+
+
+@R.add("p7_hourly", _grid_sql(f"SELECT stay_id, itemid, {HOUR_SQL} AS p, coalesce({num('valuenum')}, {num('value')}) AS v, charttime AS o FROM chartevents WHERE itemid IN (240045, 240210, 240052) AND charttime IS NOT NULL AND stay_id IS NOT NULL", "stay_id, itemid", "strftime(make_timestamp(p * 3600000000), '%Y-%m-%d %H:%M:%S')"))
 def p7_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return chart_grid(spark, sf).select("stay_id", "itemid", stamp(from_micros(F.col("period") * 3_600_000_000)).alias("period_start"), "value", "filled_value", "n_readings", "is_missing")
 
 
-@R.add("p7_monthly")
+@R.add("p7_monthly", _grid_sql("SELECT subject_id, (year(intime) * 12 + month(intime) - 1)::BIGINT AS p, ed_stay_hours AS v, intime AS o FROM ed_stays WHERE ed_stay_hours IS NOT NULL AND intime IS NOT NULL AND subject_id IS NOT NULL", "subject_id", "printf('%04d-%02d-01 00:00:00', p // 12, p % 12 + 1)"))
 def p7_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return visit_grid(spark, sf).select("subject_id", stamp(month_start(F.col("period"))).alias("period_start"), "value", "filled_value", "n_readings", "is_missing")
