@@ -46,3 +46,14 @@ def map_codes(codes: DataFrame, mapping: DataFrame, code: str, source: str, targ
     """Codes brought over by a mapping, every target of a code; codes without one fall out. Null codes too."""
     m = mapping.select(F.trim(source).alias("__s"), F.trim(target).alias(target)).dropna().distinct()
     return codes.withColumn("__s", F.trim(code)).join(m, "__s").drop("__s")
+
+
+def rank_split(keys: DataFrame, key: str, seed: str, train: float = 0.95, val: float = 0.025) -> DataFrame:
+    """Distinct keys in hash order, the first ``int(n * train)`` in train, the next ``int(n * val)`` in val, the rest in test: ``key, split``."""
+    from stayline.operators.budget import row_numbers
+    from stayline.operators.sampling import draw
+
+    p = keys.select(key).dropna().distinct().withColumn("__u", draw(seed, key))
+    r = row_numbers(p, "__u", key).transform(attach, p.agg(F.count(F.lit(1)).alias("__n")))
+    a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
+    return r.select(key, F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test").alias("split"))

@@ -28,10 +28,7 @@ _U = lambda seed, *keys: uniform_sql("concat_ws('|', '" + seed + "', " + ", ".jo
 # -- cohorts --------------------------------------------------------------------------------------------------------------
 @R.add("patient_split", f"WITH p AS (SELECT DISTINCT subject_id FROM admissions WHERE subject_id IS NOT NULL), r AS (SELECT subject_id, row_number() OVER (ORDER BY {_U('split', 'subject_id')}, subject_id) AS rn, count(*) OVER () AS n FROM p) SELECT subject_id, CASE WHEN rn <= floor(n * 0.95) THEN 'train' WHEN rn <= floor(n * 0.95) + floor(n * 0.025) THEN 'val' ELSE 'test' END AS split FROM r")
 def patient_split(s: S, sf: str) -> DF:
-    p = table(s, sf, "admissions").select("subject_id").dropna().distinct().withColumn("u", X.draw("split", "subject_id"))
-    r = B.row_numbers(p, "u", "subject_id").transform(attach, p.agg(F.count(F.lit(1)).alias("n")))
-    a, b = F.floor(F.col("n") * 0.95), F.floor(F.col("n") * 0.025)
-    return r.select("subject_id", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test").alias("split"))
+    return C.rank_split(table(s, sf, "admissions"), "subject_id", "split")
 
 
 @R.add("first_timepoint_label", "SELECT DISTINCT stay_id, CASE WHEN disposition = 'ADMITTED' THEN 1 ELSE 0 END AS label FROM ed_stays WHERE disposition IN ('ADMITTED', 'HOME') AND ed_stay_hours > 0")

@@ -105,3 +105,13 @@ def test_row_numbers_and_shards(spark):
     w = dict(rows(B.worker_shards(spark.range(10).withColumnRenamed("id", "k"), "k", 4).groupBy("worker").count()))
     assert w == {0: 3, 1: 3, 2: 2, 3: 2}
     assert B.worker_shards(spark.range(0).withColumnRenamed("id", "k"), "k", 4).count() == 0
+
+
+def test_split_sizes(spark):
+    from stayline.operators.cohorts import rank_split
+
+    d = spark.range(1000).withColumnRenamed("id", "k")
+    got = rank_split(d.union(d), "k", "s")
+    assert rows(got.groupBy("split").count()) == [("test", 25), ("train", 950), ("val", 25)]
+    assert rows(got) == rows(rank_split(d.repartition(9), "k", "s"))
+    assert rank_split(d.limit(0), "k", "s").count() == 0
