@@ -29,8 +29,9 @@ def rarity_weights(facts: DataFrame, sample: Sequence[str], path: str, alpha: fl
 
 
 def normalize(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Shares of the sum; null where the sum is 0."""
     total = df.agg(F.sum(raw).alias("__t"))
-    return df.transform(attach, total).withColumn(name, F.col(raw) / F.col("__t")).drop("__t")
+    return df.transform(attach, total).withColumn(name, F.try_divide(F.col(raw), F.col("__t"))).drop("__t")
 
 
 def weighted_without_replacement(df: DataFrame, keys: Sequence[str], weight: str, k: int, seed: str) -> DataFrame:
@@ -61,7 +62,7 @@ def weighted_with_replacement(df: DataFrame, key: str, weight: str, k: int, seed
     acc = tot.withColumn("__end", F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)))
     bounds = acc.agg(F.array_sort(F.collect_list(F.struct("__end", "__b", "__t"))).alias("__bounds"), F.max("__end").alias("__all"))  # at most ``buckets`` entries
     draws = df.sparkSession.range(k).select(F.col("id").alias("draw")).withColumn("__u", uniform(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"))))
-    hit = draws.transform(attach, bounds).withColumn("__x", F.filter("__bounds", lambda x: x["__end"] > F.col("__u") * F.col("__all"))[0])
+    hit = draws.transform(attach, bounds).withColumn("__x", F.get(F.filter("__bounds", lambda x: x["__end"] > F.col("__u") * F.col("__all")), F.lit(0)))
     at = hit.select("draw", F.col("__x.__b").alias("__b"), (F.col("__u") * F.col("__all") - (F.col("__x.__end") - F.col("__x.__t"))).alias("__p"))
     return at.join(d, "__b").where((F.col("__p") >= F.col("__lo")) & (F.col("__p") < F.col("__hi"))).select("draw", key)
 

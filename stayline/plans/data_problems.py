@@ -193,7 +193,7 @@ def omr_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Per omr reading: implausible, spike, stuck, with the largest score of its components."""
     n = omr_numbers(spark, sf)
     f = flag_readings(n, ["subject_id", "result_name", "component"], ["result_name", "component"], ["chartdate", "seq_num"], "x", OMR_LIMITS, "chartdate")
-    crossed = n.where((F.col("result_name") == "Blood Pressure") & (F.size("nums") > 1) & (F.col("nums")[1] >= F.col("nums")[0]))
+    crossed = n.where((F.col("result_name") == "Blood Pressure") & (F.size("nums") > 1) & (F.get("nums", F.lit(1)) >= F.get("nums", F.lit(0))))
     one = ["subject_id", "result_name", "chartdate", "seq_num"]
     c = crossed.select(*one, F.lit(True).alias("implausible"), F.lit(False).alias("spike"), F.lit(False).alias("stuck"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cutoff"))
     every = f.select(*one, "implausible", "spike", "stuck", "score", "cutoff").unionByName(c)

@@ -16,7 +16,7 @@ Convert = Callable[[Column], Column]
 
 def _int(kind: str) -> Convert:
     """Whole numbers that may be written as decimals; what is no number becomes null."""
-    return lambda c: to_number(c).cast(kind)
+    return lambda c: to_number(c).try_cast(kind)
 
 
 def _time(c: Column) -> Column:
@@ -39,8 +39,8 @@ RULES: list[tuple[str, Convert]] = [
     (r"chartdate|storedate|dod", _day),
     (r"\w*time", _time),
     (r"temperature|heartrate|resprate|o2sat|amount|rate|original\w+|doses_per_24_hrs|ref_range_\w+", lambda c: round_half_even(to_number(c), 2)),
-    (r"sbp|dbp", lambda c: F.floor(to_number(c)).cast("int")),
-    (r"los", lambda c: F.bround(to_number(c), 1).cast("smallint")),
+    (r"sbp|dbp", lambda c: F.floor(to_number(c)).try_cast("int")),
+    (r"los", lambda c: F.bround(to_number(c), 1).try_cast("smallint")),
 ]
 
 

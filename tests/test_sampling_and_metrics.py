@@ -115,3 +115,10 @@ def test_split_sizes(spark):
     assert rows(got.groupBy("split").count()) == [("test", 25), ("train", 950), ("val", 25)]
     assert rows(got) == rows(rank_split(d.repartition(9), "k", "s"))
     assert rank_split(d.limit(0), "k", "s").count() == 0
+
+
+def test_nothing_to_weigh(spark):
+    f = spark.createDataFrame([(1, "a"), (2, "a")], "s int, p string")
+    assert rows(X.rarity_weights(f, ["s"], "p"), "s", "weight") == [(1, None), (2, None)]
+    assert rows(X.log_group_weights(f, "s"), "s", "p") == [(1, None), (2, None)]
+    assert X.rarity_weights(f.limit(0), ["s"], "p").count() == 0

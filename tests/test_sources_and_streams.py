@@ -90,3 +90,8 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.u for r in spark.table("once").collect()} == {1, 2, 3}
+
+
+def test_numbers_too_large_become_null(spark):
+    d = spark.createDataFrame([("3e12", "99999999", "12.5")], "subject_id string, seq_num string, sbp string")
+    assert rows(T.typed(d)) == [(None, None, 12)]
