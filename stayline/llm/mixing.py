@@ -106,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: s
 
     Documents of no target source (a null source too) and documents without tokens are not used. ``targets`` has ``source,
     target_share, max_repeats``, at most ``MAX_SOURCES`` rows; of repeated sources shares add up and the least cap holds. Repeated
-    documents count each. Tokens are counted once, over whole texts. Per source only sums reach the driver. The fractional
+    documents count each. Without any document shares are null. Tokens are counted once, over whole texts. Per source only sums reach the driver. The fractional
     repetition takes documents by a seeded hash: whole hash buckets as far as the wanted tokens go, and in the one bucket
     that passes them documents in hash order; no source is sorted or gathered.
     """
@@ -145,6 +145,6 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: s
     sums = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.count(F.lit(1)).alias("docs_used"), F.max("repeats").alias("most_repeats"))
     all_ = Window.partitionBy()
     report = F.broadcast(goals).join(sums, "source", "left").fillna(0, ["tokens_used", "docs_used", "most_repeats"])
-    report = report.withColumn("feasible_share", F.col("tokens_wanted") / F.sum("tokens_wanted").over(all_)).withColumn("actual_share", F.col("tokens_used") / F.sum("tokens_used").over(all_))
+    report = report.withColumn("feasible_share", F.try_divide(F.col("tokens_wanted"), F.sum("tokens_wanted").over(all_))).withColumn("actual_share", F.try_divide(F.col("tokens_used"), F.sum("tokens_used").over(all_)))
     return mixture, report.drop("tokens_wanted")
 

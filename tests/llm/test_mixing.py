@@ -49,4 +49,5 @@ def test_mixture(spark):
     assert rep["zz"].tokens_used == 0 and abs(sum(r.actual_share for r in rep.values()) - 1) < 1e-9
     again = {(r.doc_id, r.repeats) for r in mix(d.repartition(7), t)[0].collect()}
     assert again == {(r.doc_id, r.repeats) for r in got}
-    assert mix(d.limit(0), t)[0].count() == 0
+    m, report = mix(d.limit(0), t)
+    assert m.count() == 0 and {r.actual_share for r in report.collect()} == {None}
