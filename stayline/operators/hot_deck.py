@@ -127,10 +127,12 @@ def _fill_wide(at: DataFrame, base: DataFrame, t: Target, own: tuple[Column, Col
         num, txt = own
         if narrow:
             open_ = at.where(miss & level.isNull()).select(*wide).dropna().distinct()
+            if open_.isEmpty():
+                return at.withColumn(f"{t.name}_filled", miss & level.isNotNull())
             base = base.join(broadcast_if_small(open_), wide, "left_semi")
         seen = base.select(*wide, num.alias("__a"), F.when(num.isNull(), txt).alias("__b")).where("__a IS NOT NULL OR __b IS NOT NULL").groupBy(*wide, "__a", "__b").agg(F.count(F.lit(1)).alias("__c"))
         stats = seen.groupBy(*wide).agg(F.percentile("__a", F.lit(0.5), F.col("__c")).alias("__n"), F.max(F.when(F.col("__b").isNotNull(), F.struct("__c", "__b")))["__b"].alias("__x"))
-        at = join_dimension(at, stats, wide)
+        at = join_dimension(at, cut_lineage(stats), wide)  # counted, then joined: one pass over the table for both
         use = miss & level.isNull() & (F.col("__n").isNotNull() | F.col("__x").isNotNull())
         at = at.withColumns({f"{t.name}_num": F.when(use, F.col("__n")).otherwise(F.col(f"{t.name}_num")), f"{t.name}_txt": F.when(use, F.col("__x")).otherwise(F.col(f"{t.name}_txt")), f"{t.name}_level": F.when(use, F.lit("wide")).otherwise(level)}).drop("__n", "__x")
     return at.withColumn(f"{t.name}_filled", miss & F.col(f"{t.name}_level").isNotNull())
