@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Rows and bytes up to which a side may be broadcast by hand.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
-#: Copies of the smaller side in a salted join, that is, tasks that a hot key is spread over.
+#: Tasks that a hot key is spread over in a salted join.
 SALTS = 16
+#: A key is hot from one in so many rows on; there are at most so many such keys.
+HOT_KEYS = 100
 
 
 _shipped: set[str] = set()
@@ -64,8 +66,17 @@ def row_hash(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in (cols or [c for c, t in df.dtypes if not t.startswith("map")])])
 
 
+def _hot(df: DataFrame, code: Column) -> Column:
+    """Hashes of the keys that hold a hundredth of the rows or more, as a scalar subquery.
+
+    A mergeable frequent-items sketch over the key columns; it decides only how rows are spread, never which rows there are.
+    """
+    top = df.select(code.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_KEYS}, {HOT_KEYS * 100})").alias("t"))
+    return top.select(F.transform(F.filter("t", lambda x: x["count"] * HOT_KEYS >= F.col("n")), lambda x: x["item"]).alias("hot")).scalar()
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join with a hot key of ``big`` spread over ``salts`` tasks; ``small`` is copied once per salt.
+    """Join with the hot keys of ``big`` spread over ``salts`` tasks each; ``small`` has copies of these keys' rows only.
 
     ``small`` must be the side that is small per key (best: unique keys). ``how`` may be inner, left, left_semi or
     left_anti with ``big`` on the left, as each row of ``big`` meets every matching row of ``small`` exactly once.
@@ -73,8 +84,11 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join can't do {how}")
     s = "__salt"
-    left = big.withColumn(s, F.pmod(row_hash(big), F.lit(salts)).cast("int"))
-    right = small.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kinds = dict(big.dtypes)
+    code = F.xxhash64(*[F.col(f"`{k}`").cast(kinds[k]) for k in keys])
+    hot = _hot(big, code)
+    left = big.withColumn(s, F.when(F.array_contains(hot, code), F.pmod(row_hash(big), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    right = small.withColumn(s, F.explode(F.when(F.array_contains(hot, code), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, s], how).drop(s)
 
 
