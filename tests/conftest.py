@@ -18,8 +18,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("OFF")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     return s
-
-
-def rows(df, *cols):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)

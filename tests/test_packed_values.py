@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from stayline.operators.packed_values import infer_delimiters, split_packed
 

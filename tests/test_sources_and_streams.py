@@ -1,7 +1,7 @@
 import gzip
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from stayline.functions.nested import emit, nested_facts, nested_text, parse

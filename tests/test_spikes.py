@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from stayline.operators.spikes import Limits, flag_readings
