@@ -17,7 +17,7 @@ from stayline.operators.common import require, ship_package
 #: Most labelled documents, and most weakly labelled ones per source, that a model is fitted to (the first by hash).
 MAX_LABELLED = 12_000
 MAX_WEAK = 300
-#: Characters of a training document that count; documents to be judged are read whole.
+#: Longest document that a model is fitted to, in characters. Documents to be judged may be of any length.
 MAX_TRAIN_CHARS = 20_000
 BITS = 18
 _WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[f
     docs, y0 = [], []
     conf = []
     for t, ls, c in zip(texts, labels, sure or [1.0] * len(texts)):
-        s = sentences((t or "")[:MAX_TRAIN_CHARS])
+        s = sentences(t or "")
         if s:
             docs.append(s)
             conf.append(c)
@@ -216,9 +216,10 @@ def _calibrate(said: np.ndarray, y0: np.ndarray, use: np.ndarray, r: SubjectRule
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, weak: dict[str, str], doc_id: str, text: str, source: str) -> list[tuple[str, set[str], float]]:
-    """(text, labels, weight) of at most ``MAX_LABELLED`` labelled and ``MAX_WEAK`` weakly labelled documents per source."""
+    """(text, labels, weight) of at most ``MAX_LABELLED`` labelled and ``MAX_WEAK`` weakly labelled documents per source, whole,
+    of at most ``MAX_TRAIN_CHARS`` characters each."""
     per = labels.dropna().distinct().groupBy("doc_id").agg(F.collect_set("subject_area").alias("areas"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, MAX_TRAIN_CHARS).alias("t"), F.lower(F.trim(F.col(source))).alias("s")).where(F.col("t").isNotNull())
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.lower(F.trim(F.col(source))).alias("s")).where(F.length("t") <= MAX_TRAIN_CHARS)
     known = base.join(per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED), "doc_id").select("doc_id", "t", "areas")
     rows = [(r.t, set(r.areas), 1.0) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     for s, area in sorted(weak.items()):
