@@ -104,11 +104,12 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     cols, hide, show = aside(names)
     inner = dict(zip(names, cols))
     series, kind, order, day = [inner[c] for c in series], [inner[c] for c in kind], [inner[c] for c in order], inner[day]
-    base = df.select(*hide, F.col(x).cast("double").alias("x")).dropna().distinct()
+    base = df.select(*hide, F.col(x).cast("double").alias("x")).dropna().withColumn("shard", F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / rules.shard_days))
+    # one shuffle serves both the repeats, which are few, and the windows of the shards
+    base = base.repartition(*series, "shard").distinct()
     types = dict(base.dtypes)
     lim = df.sparkSession.createDataFrame([(*k, float(v.low), float(v.high), float(v.resolution)) for k, v in limits.items()], ", ".join([*(f"{c} {types[c]}" for c in kind), "lo double", "hi double", "res double"]))
     base = base.join(F.broadcast(lim), kind, "left").withColumn("implausible", F.coalesce((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.lit(False)))
-    base = base.withColumn("shard", F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / rules.shard_days))
     near = {f"m{i}": ("x", -i) for i in range(1, 5)} | {f"p{i}": ("x", i) for i in range(1, 5)}
 
     # stuck runs, over all readings
