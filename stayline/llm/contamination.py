@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -14,26 +15,28 @@ from pyspark.sql import functions as F
 
 from stayline.operators.common import require, ship_package
 
-#: Characters of test text whose n-gram index is broadcast at once. More test text is searched for in blocks of this size.
+#: Characters of test text whose index is broadcast at once. More test text is searched for in blocks of this size.
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class LeakRules:
-    """``n``: words of an indexed n-gram. ``seeds``: n-grams that a document must share with an item before the pair is verified,
-    in the same order and place up to ``drift`` words, neighbours at most ``near`` words apart, and spanning ``min_words`` less
-    ``slack`` words together (edits may cost a run its n-grams at either end). ``min_words``: words of the item that must stand in a row in the document. An isolated
-    word changed, added or dropped is let go; ``min_equal`` is the least share of the run's words that must be equal."""
-
-    n: int = 4
-    seeds: int = 4
-    near: int = 12
-    drift: int = 8
-    slack: int = 8
+    """``min_words``: words of the item that must stand in a row in the document. An isolated word changed, added or dropped is let
+    go; ``min_equal`` is the least share of the run's words that must be equal. ``seeds``: pairs of neighbouring words that a document must
+    share with an item, each in reach of the next by equal words or one edit, before the two are verified; more than ``chain`` never are asked for."""
+
+    seeds: int = 8
     min_words: int = 25
     min_equal: float = 0.7
 
+    @property
+    def chain(self) -> int:
+        """Seeds that every run has: between two edits stand two equal words at least, at either end one, so e equal words make at
+        most e // 2 + 1 pieces, and a piece of m words has m - 1 pairs of neighbours."""
+        equal = math.ceil(self.min_equal * self.min_words - 1e-9)
+        return min(self.seeds, equal - equal // 2 - 1)
+
 
 def words(text: str) -> tuple[list[str], list[int], list[int]]:
     """Normalised words of a text with the bounds of each in the text as it was: no case, no punctuation, no spacing.
@@ -53,16 +56,23 @@ def words(text: str) -> tuple[list[str], list[int], list[int]]:
     return out, a, b
 
 
+#: Word offsets of two pairs of neighbours, the second of which follows at once (``NEXT``), after a third word (``SKIP``) or right behind (``PAIRS``).
+NEXT, SKIP, PAIRS = (0, 1, 2), (0, 1, 3, 4), (0, 1, 2, 3)
+#: How far each takes the pair on.
+STEP = {NEXT: 1, SKIP: 3, PAIRS: 2}
+#: What the words of a document and of an item look like from one seed to the next: no edit, a word changed, added, dropped.
+MOVES = ((NEXT, NEXT), (SKIP, SKIP), (SKIP, PAIRS), (PAIRS, SKIP))
+
+
 @dataclass
 class ItemIndex:
-    """Test items as word numbers, and their n-grams as sorted keys with postings; it is what gets broadcast."""
+    """Test items as word numbers, laid end to end, and the sorted keys of each pattern of their words with postings; it is what gets broadcast."""
 
     ids: list[int]
     items: list[np.ndarray]
     vocab: dict[str, int]
-    keys: np.ndarray
-    start: np.ndarray
-    post: np.ndarray
+    first: np.ndarray
+    patterns: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]
     rules: LeakRules = field(default_factory=LeakRules)
 
     @classmethod
@@ -71,84 +81,87 @@ class ItemIndex:
         ids, items = [], []
         for item, text in rows:
             w = words(text or "")[0]
-            if len(w) >= rules.n:
+            if len(w) >= rules.min_words:
                 ids.append(item)
                 items.append(np.array([vocab.setdefault(x, len(vocab) + 1) for x in w], dtype=np.int64))
-        grams = [_grams(x, rules.n) for x in items]
-        keys = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        owner = np.concatenate([np.stack([np.full(len(g), i), np.arange(len(g))], 1) for i, g in enumerate(grams)]) if grams else np.zeros((0, 2), np.int64)
-        order = np.argsort(keys, kind="stable")
-        uniq, start = np.unique(keys[order], return_index=True)
-        return cls(ids, items, vocab, uniq, np.append(start, len(keys)), owner[order].astype(np.int32), rules)
+        first = np.cumsum([0, *(len(x) for x in items)])
+        patterns = {}
+        for shape in (NEXT, SKIP, PAIRS):
+            keys = np.concatenate([np.zeros(0, np.int64), *(_keys(x, shape) for x in items)])
+            post = np.concatenate([np.zeros(0, np.int64), *(first[i] + np.arange(max(0, len(x) - shape[-1])) for i, x in enumerate(items))])
+            order = np.argsort(keys, kind="stable")
+            uniq, start = np.unique(keys[order], return_index=True)
+            patterns[shape] = uniq, np.append(start, len(keys)), post[order].astype(np.int32)
+        return cls(ids, items, vocab, first, patterns, rules)
 
     def search(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
         """Leaks in a text: (item id, first character, end character, first item word, item words, equal words), one per run."""
         r = self.rules
         w, a, b = words(text)
-        if len(w) < r.n or not len(self.keys):
+        if not self.items or not w:
             return []
         get = self.vocab.get
         x = np.fromiter((get(t, 0) for t in w), np.int64, len(w))
-        g = _grams(x, r.n)
-        at = np.searchsorted(self.keys, g)
-        at[at == len(self.keys)] = 0
-        hits = np.flatnonzero(self.keys[at] == g)
-        if len(hits) < r.seeds:
-            return []
-        by: dict[int, list[tuple[int, int]]] = {}
-        for j in hits.tolist():
-            k = at[j]
-            for i, p in self.post[self.start[k] : self.start[k + 1]].tolist():
-                by.setdefault(i, []).append((p, j))
         out = []
-        for i, pairs in by.items():
-            near = _chained(pairs, r)
-            if not near:
-                continue
-            for first, last, lo, hi, equal in _runs(self.items[i], x, near, r):
+        for i, seeds in self.seeds(x).items():
+            for first, last, lo, hi, equal in _runs(self.items[i], x, seeds, r):
                 out.append((self.ids[i], a[lo], b[hi], first, last - first + 1, equal))
         return out
 
-
-def _grams(x: np.ndarray, n: int) -> np.ndarray:
-    """Hash keys of all n-grams of word numbers; 64 bits, multiplicative."""
-    if len(x) < n:
+    def seeds(self, x: np.ndarray) -> dict[int, list[int]]:
+        """By item worth verifying, the words at which a chain of shared pairs has come to ``chain`` of them."""
+        need = self.rules.chain
+        if need < 2:  # runs so short that they needn't hold two pairs
+            return {i: list(range(len(x))) for i in range(len(self.items))}
+        width = len(x) + 8
+        sources, targets = [], []
+        for doc, item in MOVES:
+            keys, start, post = self.patterns[item]
+            g = _keys(x, doc)
+            if not len(keys) or not len(g):
+                continue
+            at = np.searchsorted(keys, g)
+            at[at == len(keys)] = 0
+            j = np.flatnonzero(keys[at] == g)
+            if not len(j):
+                continue
+            at = at[j]
+            n = start[at + 1] - start[at]
+            j = np.repeat(j, n)
+            p = post[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(len(j))].astype(np.int64)
+            sources.append(p * width + j)
+            targets.append((p + STEP[item]) * width + j + STEP[doc])
+        if sum(map(len, sources)) < need - 1:
+            return {}
+        src, dst = np.concatenate(sources), np.concatenate(targets)
+        ends = dst
+        for _ in range(need - 2):
+            go = np.isin(src, ends)
+            src, dst = src[go], dst[go]
+            ends = dst
+            if not len(ends):
+                return {}
+        ends = np.unique(ends)
+        owner = np.searchsorted(self.first, ends // width, side="right") - 1
+        by: dict[int, list[int]] = {}
+        for i, j in zip(owner.tolist(), (ends % width).tolist()):
+            by.setdefault(i, []).append(j)
+        return by
+
+
+def _keys(x: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hash keys of the words at the offsets ``shape`` from every word; 64 bits, multiplicative."""
+    n = len(x) - shape[-1]
+    if n <= 0:
         return np.zeros(0, np.int64)
-    key = np.zeros(len(x) - n + 1, np.uint64)
-    for k in range(n):
-        key = (key ^ x[k : len(x) - n + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    key = np.zeros(n, np.uint64)
+    for k in shape:
+        key = (key ^ x[k : n + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
-def _chained(pairs: list[tuple[int, int]], r: LeakRules) -> list[tuple[int, int]]:
-    """The hits (item word, word) that stand in a chain long enough to be worth verifying.
-
-    Hits are put into buckets of ``drift`` neighbouring diagonals, twice, half a bucket apart, so that a run's hits share one.
-    """
-    if len(pairs) < r.seeds:
-        return []
-    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    half = r.drift // 2
-    for p, j in pairs:
-        d = (j - p) // half
-        by.setdefault((0, d // 2), []).append((p, j))
-        by.setdefault((1, (d + 1) // 2), []).append((p, j))
-    out: list[tuple[int, int]] = []
-    for hits in by.values():
-        if len(hits) < r.seeds:
-            continue
-        hits.sort()
-        start = 0
-        for k in range(1, len(hits) + 1):
-            if k == len(hits) or hits[k][0] - hits[k - 1][0] > r.near:
-                if k - start >= r.seeds and hits[k - 1][0] - hits[start][0] + r.n >= r.min_words - r.slack:
-                    out += hits[start:k]
-                start = k
-    return out
-
-
-def _runs(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], r: LeakRules) -> list[tuple[int, int, int, int, int]]:
+def _runs(item: np.ndarray, doc: np.ndarray, seeds: list[int], r: LeakRules) -> list[tuple[int, int, int, int, int]]:
     """Runs of at least ``min_words`` item words in the document around the seeds: (first, last item word, first, last word, equal).
 
     Over the equal word pairs in reach of a seed, the longest chain ends at each pair, where the next pair follows at once or
@@ -159,8 +172,9 @@ def _runs(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], r: Le
         pos.setdefault(v, []).append(p)
     lo, hi = len(doc), 0
     reach = np.zeros(len(doc) + 1, bool)
-    for _, j in pairs:
-        a, b = max(0, j - r.min_words), min(len(doc), j + r.n + r.min_words)
+    before = max(r.min_words, 3 * r.chain + 2)  # a chain's first pair stands at most three words a seed before
+    for j in seeds:
+        a, b = max(0, j - before), min(len(doc), j + 2 + r.min_words)
         reach[a:b] = True
         lo, hi = min(lo, a), max(hi, b)
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}  # pair -> (equal words, edits since a pair, first item word, first word)
@@ -203,9 +217,9 @@ def _blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[l
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: LeakRules = LeakRules(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, start_char, end_char, item_word, n_words, n_equal``: every run of test words in a document.
 
-    All documents are scanned whole, in one pass per block of test items, without a shuffle: the n-grams of a block are broadcast
-    (``block_chars`` bounds them; test text beyond it makes further blocks) and documents with enough hits are verified word by
-    word. Null and empty texts, and items shorter than an n-gram, give no rows; a document that repeats gives its rows again;
+    All documents are scanned whole, in one pass per block of test items, without a shuffle: the word patterns of a block are broadcast
+    (``block_chars`` bounds them; test text beyond it makes further blocks) and documents with a chain of hits are verified word by
+    word. Null and empty texts, and items shorter than a run, give no rows; a document that repeats gives its rows again;
     an item that leaks twice into a document gives two rows; overlapping runs of an item are reported once, the longest.
     """
     require(docs, [doc_id, text])

@@ -61,6 +61,39 @@ def test_brute_force_on_random_texts():
         assert got or best < 12
 
 
+class Whole(ItemIndex):
+    """Verification of every item over the whole text, without a prefilter."""
+
+    def seeds(self, x):
+        return {i: list(range(len(x))) for i in range(len(self.items))}
+
+
+def test_three_words_changed_of_25():
+    run = ITEM[40:65]
+    for k in (3, 7, 21):
+        run[k] = "changed"
+    assert found(FILL[:100] + run + FILL[100:]) == {7}
+
+
+def test_prefilter_loses_no_run_with_isolated_edits():
+    """Changed, added and dropped words at least three equal words apart: the same runs as without a prefilter."""
+    r = random.Random(3)
+    runs = 0
+    for _ in range(400):
+        item, around = ([f"v{r.randrange(60)}" for _ in range(80)] for _ in range(2))
+        at, n = r.randrange(50), r.randrange(25, 30)
+        doc, k = [], r.randrange(1, 4)
+        for i, w in enumerate(item[at : at + n]):
+            edit = "cad"[r.randrange(3)] if i == k and i < n - 1 else ""
+            k += r.randrange(4, 9) if edit else 0
+            doc += {"": [w], "c": ["new"], "a": ["new", w], "d": []}[edit]
+        text, rows = " ".join(around[:40] + doc + around[40:]), [(1, " ".join(item))]
+        want = Whole.build(rows, LeakRules()).search(text)
+        runs += bool(want)
+        assert sorted(ItemIndex.build(rows, LeakRules()).search(text)) == sorted(want)
+    assert runs > 300
+
+
 def test_words_keep_their_places():
     t = "Ａ straße İx—don't stop ___ ﬁn"
     w, a, b = words(t)
