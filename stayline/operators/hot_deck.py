@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.operators.common import broadcast_if_small, cut_lineage, join_dimension, require
@@ -66,14 +66,15 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str | Column, targets: S
     Per target ``t`` these columns are added: ``t_missing`` (neither number nor text is there), ``t_num`` and ``t_txt`` (own or
     filled), ``t_filled``, ``t_donors`` (positions of the donors that gave the value) and ``t_level`` (``block``, ``wide`` or
     null). ``near`` is the numeric position in which closeness is measured; ``block`` the features that must be equal. With
-    ``shard`` a block is hashed further by windows of that width of ``near``, so that no block outgrows a task. Of up to ``k`` donors
+    ``shard`` a block is hashed further by windows of that width of ``near``, so that no block outgrows a task; records near a window's
+    bounds take the donors behind them too. Of up to ``k`` donors
     before and ``k`` after, numbers give the median and texts the majority, both weighted by 1 / (1 + distance); ties take the
     least value. A record without donors there takes the median or the commonest text of its ``wide`` group; failing that
     it stays missing, with ``t_missing`` true and ``t_filled`` false. Records with a null in ``block`` or ``near`` give nothing and
     go to the wide group at once. Repeated rows are kept; extra columns pass through; older columns of the new names are replaced.
 
     One shuffle and one sort serve all targets: donors are the nearest non-null neighbours of an ordered window, so no pairs
-    are formed. Wide groups are pre-aggregated to value counts before their shuffle.
+    are formed; of shards, only the first and last ``k`` donors are exchanged. Wide groups are pre-aggregated to value counts before their shuffle.
     """
     require(df, [*block, *wide, *([near] if isinstance(near, str) else [])])
     suffixes = ("missing", "num", "txt", "filled", "donors", "level")
@@ -87,32 +88,38 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str | Column, targets: S
     # the hash of the block: records without a place have no donors and are spread by a hash of their own
     apart = F.pmod(F.xxhash64(*[F.col(c) for c, kind in base.dtypes if not kind.startswith("map")]), F.lit(1024)) - 1_000_000_000
     at = base.withColumn("__shard", F.when(placed, F.floor(place / shard) if shard else F.lit(0)).otherwise(apart).cast("int"))
+    donor = {t.name: F.when(~(own[t.name][0].isNull() & own[t.name][1].isNull()), F.struct(F.col("__near").alias("at"), own[t.name][0].alias("num"), own[t.name][1].alias("txt"))) for t in targets}
+    tie = F.xxhash64(*[x for t in targets for x in own[t.name]])
+    sharded = at.where(placed).withColumn("__near", place).withColumn("__tie", tie)
     at = at.repartition(*[F.col(b) for b in block], F.col("__shard")).withColumn("__near", F.when(placed, place))
     at = at.withColumns({f"{t.name}_missing": own[t.name][0].isNull() & own[t.name][1].isNull() for t in targets})
     for t in targets:
-        num, txt = own[t.name]
-        at = at.withColumn(f"__d_{t.name}", F.when(F.col("__near").isNotNull() & ~F.col(f"{t.name}_missing"), F.struct(F.col("__near").alias("at"), num.alias("num"), txt.alias("txt"))))
-    at = at.withColumn("__tie", F.xxhash64(*[x for t in targets for x in own[t.name]]))
+        at = at.withColumn(f"__d_{t.name}", F.when(F.col("__near").isNotNull(), donor[t.name]))
+    at = at.withColumn("__tie", tie)
     over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{b}`' for b in block)}, __shard ORDER BY __near, __tie)"
     at = at.withColumns({f"__d_{t.name}_{side}{i}": F.expr(f"{f}(`__d_{t.name}`, {i}) {over}") for t in targets for i in range(1, k + 1) for side, f in (("b", "lag"), ("a", "lead"))})
-    at = at.drop("__tie", "__shard")
+    at = at.drop("__tie", *[f"__d_{t.name}" for t in targets])
     if only_missing:
         some = F.lit(False)
         for t in targets:
             some = some | F.col(f"{t.name}_missing")
         at = at.where(some)
+    sides = {(t.name, side): F.filter(F.array(*[F.col(f"__d_{t.name}_{side}{i}") for i in range(1, k + 1)]), lambda x: x.isNotNull()) for t in targets for side in "ba"}
+    at = at.withColumns({f"__{side}_{n}": x for (n, side), x in sides.items()}).drop(*[f"__d_{n}_{side}{i}" for n, side in sides for i in range(1, k + 1)])
+    if shard:
+        at = _carry_over(cut_lineage(at), sharded, list(block), donor, k)
     for t in targets:
-        d, miss = f"__d_{t.name}", F.col(f"{t.name}_missing")
+        miss = F.col(f"{t.name}_missing")
         num, txt = own[t.name]
-        found = F.filter(F.array(*[F.col(f"{d}_{side}{i}") for i in range(1, k + 1) for side in "ba"]), lambda x: x.isNotNull())
+        found = F.filter(F.array(*[F.get(f"__{side}_{t.name}", F.lit(i)) for i in range(k) for side in "ba"]), lambda x: x.isNotNull())
         at = at.withColumn("__f", F.when(miss & F.col("__near").isNotNull(), found)).withColumn("__w", _weighted(F.col("__f"), F.col("__near")))
         at = at.withColumns({
             f"{t.name}_num": F.when(miss, weighted_median(F.col("__w"))).otherwise(num),
             f"{t.name}_txt": F.when(miss, weighted_majority(F.col("__w"))).otherwise(txt),
             f"{t.name}_donors": F.when(F.size("__f") > 0, F.transform("__f", lambda x: x["at"])),
             f"{t.name}_level": F.when(F.size("__f") > 0, F.lit("block")),
-        }).drop("__f", "__w", *[f"{d}_{side}{i}" for i in range(1, k + 1) for side in "ba"])
-    at = at.drop("__near", *[f"__d_{t.name}" for t in targets])
+        }).drop("__f", "__w", f"__b_{t.name}", f"__a_{t.name}")
+    at = at.drop("__near", "__shard")
     if only_missing:
         at = cut_lineage(at)  # few rows, made by the whole table's sort; what follows reads them several times
     for t in targets:
@@ -120,6 +127,39 @@ def hot_deck(df: DataFrame, block: Sequence[str], near: str | Column, targets: S
     return at
 
 
+def _carry_over(at: DataFrame, rows: DataFrame, block: list[str], donor: dict[str, Column], k: int) -> DataFrame:
+    """Lengthen the donors before and after (``__b_t``, ``__a_t``, nearest first) to ``k`` with those of the block's other shards.
+
+    The boundary states are each shard's first and last ``k`` donors. They are taken only of the blocks and the side of them where
+    a record lacks donors, and only they meet in a window over a whole block: one row a shard.
+    """
+    short = {s: F.lit(False) for s in "ba"}
+    for n in donor:
+        short = {s: c | (F.col(f"{n}_missing") & (F.size(f"__{s}_{n}") < k)) for s, c in short.items()}
+    lacking = at.where(F.col("__near").isNotNull() & (short["b"] | short["a"]))
+    open_ = lacking.groupBy(*block).agg(F.max(F.when(short["b"], F.col("__shard"))).alias("__hi"), F.min(F.when(short["a"], F.col("__shard"))).alias("__lo"))
+    others = rows.join(broadcast_if_small(open_), block).where("__shard < __hi OR __shard > __lo")
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("t"), d.alias("d")) for n, d in donor.items()]), lambda x: x["d"].isNotNull()))
+    each = others.select(*block, "__shard", "__near", "__tie", each.alias("__e")).select(*block, "__shard", "__near", "__tie", "__e.t", "__e.d")
+    part = Window.partitionBy(*block, "__shard", "t")
+    each = each.withColumn("__i", F.row_number().over(part.orderBy("__near", "__tie"))).withColumn("__n", F.count(F.lit(1)).over(part)).withColumn("__z", F.col("__n") + 1 - F.col("__i")).where((F.col("__i") <= k) | (F.col("__z") <= k))
+    pick = lambda n, i: F.transform(F.array_sort(F.collect_list(F.when((F.col("t") == n) & (F.col(i) <= k), F.struct(F.col(i), F.col("d"))))), lambda x: x["d"])
+    ends = each.groupBy(*block, "__shard").agg(*[pick(n, i).alias(f"{s}_{n}") for n in donor for s, i in (("b", "__z"), ("a", "__i"))])
+    # shards without donors of their own take part, as their records may lack some
+    states = ends.unionByName(lacking.select(*block, "__shard").distinct(), allowMissingColumns=True)
+    cols = [f"{s}_{n}" for n in donor for s in "ba"]
+    states = states.groupBy(*block, "__shard").agg(*[F.first(F.when(F.size(c) > 0, F.col(c)), ignorenulls=True).alias(c) for c in cols])
+    over = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{b}`' for b in block)} ORDER BY __shard)"
+    for c in cols:
+        f = "lag" if c.startswith("b_") else "lead"
+        found = F.filter(F.array(*[F.expr(f"{f}(`{c}`, {i}) {over}") for i in range(1, k + 1)]), lambda x: x.isNotNull())
+        states = states.withColumn(f"__x{c}", F.slice(F.flatten(found), 1, k))
+    states = states.select(*block, "__shard", *[f"__x{c}" for c in cols])
+    at = join_dimension(at, cut_lineage(states), [*block, "__shard"])
+    more = {f"__{c}": F.slice(F.concat(F.col(f"__{c}"), F.coalesce(F.col(f"__x{c}"), F.array().cast(dict(at.dtypes)[f"__{c}"]))), 1, k) for c in cols}
+    return at.withColumns(more).drop(*[f"__x{c}" for c in cols])
+
+
 def _fill_wide(at: DataFrame, base: DataFrame, t: Target, own: tuple[Column, Column], wide: list[str], narrow: bool) -> DataFrame:
     """Fill what the blocks left open from the wide groups' values. ``narrow``: only groups with an open record are counted."""
     miss, level = F.col(f"{t.name}_missing"), F.col(f"{t.name}_level")

@@ -52,6 +52,21 @@ def test_only_missing_shards_duplicates_empty(spark):
     assert fill(spark, []).count() == 0 and fill(spark, [], only_missing=True).count() == 0
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_shards_give_the_same_fills_as_whole_blocks(spark, few):
+    """Donors behind the bounds of a window count, over windows with few donors or none."""
+    import random
+
+    r = random.Random(4)
+    data = [(s, 1, r.uniform(-90, 90), r.choice([None, None, r.uniform(0, 9)]), r.choice([None, None, None, "x", "y"]), str(n)) for s in range(8) for n in range(60)]
+    data += [(9, 1, 1.0, 4.0, None, "a"), (9, 1, 99.0, None, None, "b"), (10, 1, 5.0, None, None, "c")]
+    cols = ["s", "extra", "v_num", "v_txt", "v_donors", "v_level", "v_filled"]
+    whole = rows(fill(spark, data, only_missing=few), *cols)
+    assert rows(fill(spark, data, shard=7.0, only_missing=few), *cols) == whole
+    got = {x[1]: x for x in whole}
+    assert got["b"][2] == 4.0 and got["b"][5] == "block" and got["c"][5] == "wide"
+
+
 def test_old_result_columns_are_replaced(spark):
     d = spark.createDataFrame([(1, 1, 0.0, 1.0, None, "e")], SCHEMA).withColumn("v_num", F.lit("old"))
     assert hot_deck(d, ["s", "i"], "at", [Target("v", "num", "txt")]).first().v_num == 1.0
