@@ -25,8 +25,8 @@ class SpikeRules:
     """Parameters of the rules.
 
     ``risk``: share of ordinary readings that the fitted tail may pass. The fitted cutoff is held within ``least`` and
-    ``most`` standard deviations, since a tail fitted to few readings is wild, and raised by the factor 1 + ``few`` / n^2 for a series
-    of n readings, whose own scatter is known the less the fewer it has. ``min_readings``: shortest series judged.
+    ``most`` standard deviations, since a tail fitted to few readings is wild. ``min_readings``: shortest series judged; the cutoff is the same
+    for all of them, whatever their length.
     ``stuck_run``: shortest run of equal readings; ``stuck_change``: share of the other steps that change the value;
     ``stuck_least``, ``stuck_expected``: a series that changes less often, but at least that often, still counts as stuck where
     fewer such runs are expected by chance. ``prior``: readings for which the usual scatter of the kind counts beside a series' own.
@@ -35,7 +35,6 @@ class SpikeRules:
     risk: float = 1e-5
     least: float = 7.0
     most: float = 8.0
-    few: float = 8.0
     min_readings: int = 6
     prior: float = 2.0
     stuck_run: int = 5
@@ -157,7 +156,7 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     two = [away(["x", "p1"], ("m1", "m2", "m3"), ("p2", "p3", "p4")) / F.col("sigma"), away(["m1", "x"], ("m2", "m3", "m4"), ("p1", "p2", "p3")) / F.col("sigma")]
     scored = level.withColumn("score", F.when(F.col("n") >= rules.min_readings, F.coalesce(F.greatest(one, *two), F.lit(0.0))))
     cut = pot_cutoffs(scored.where(F.col("score").isNotNull()), kind, "score", rules).select(*kind, "cutoff")
-    scored = join_dimension(scored, cut, kind).withColumn("cutoff", F.col("cutoff") * (1 + F.lit(rules.few) / (F.col("n") * F.col("n"))))
+    scored = join_dimension(scored, cut, kind)
     spikes = scored.select(*cols, "x", "implausible", F.lit(False).alias("stuck"), "score", "cutoff", F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)).alias("spike"))
     both = flags.unionByName(spikes)
     done = both.groupBy(*cols, "x").agg(*[F.bool_or(c).alias(c) for c in ("implausible", "spike", "stuck")], F.max("score").alias("score"), F.max("cutoff").alias("cutoff"))

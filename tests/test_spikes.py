@@ -37,6 +37,16 @@ def test_impossible_spike_and_drift(spark):
     assert f.count() == 600
 
 
+def test_cutoff_is_not_raised_for_short_series(spark):
+    """Spikes of 8 to 9 scatters count in series of six readings as in long ones."""
+    xs = [noise(6, seed=s) for s in range(60)]
+    for s, series in enumerate(xs):
+        series[3] = round(series[3] + 6 + s / 6, 1)
+    f = flags(spark, xs)
+    assert f.where("score > 8 AND score < 8.5").count() > 0
+    assert f.where("score > 8 AND NOT spike").count() == 0 and f.where("cutoff > 8").count() == 0
+
+
 def test_stuck_only_where_values_usually_change(spark):
     xs = [noise(20, seed=s) for s in range(10)]
     xs[0][5:11] = [201.1] * 6
