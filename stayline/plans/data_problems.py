@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import uniform_sql
@@ -189,11 +189,22 @@ def omr_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("subject_id", "chartdate", "seq_num", "result_name", "nums", parts.alias("i", "x")).withColumn("component", (F.col("i") + 1).cast("int")).drop("i")
 
 
+def impossible(name: Column, nums: Column) -> Column:
+    """Whether any number of a text is outside its range or a diastolic isn't below its systolic; blood pressures come in pairs."""
+    part = lambda k: F.filter(nums, lambda v, i: i % 2 == k - 1)
+    bad = (name == "Blood Pressure") & F.exists(F.zip_with(part(1), part(2), lambda high, low: low >= high), lambda x: F.coalesce(x, F.lit(False)))
+    outside = lambda lim: lambda v: (v < lim.low) | (v > lim.high)
+    for (kind, component), lim in OMR_LIMITS.items():
+        values = part(component) if kind == "Blood Pressure" else nums
+        bad = bad | ((name == kind) & F.exists(values, outside(lim)))
+    return F.coalesce(bad, F.lit(False))
+
+
 def omr_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Per omr reading: implausible, spike, stuck, with the largest score of its components."""
     n = omr_numbers(spark, sf)
     f = flag_readings(n, ["subject_id", "result_name", "component"], ["result_name", "component"], ["chartdate", "seq_num"], "x", OMR_LIMITS, "chartdate")
-    crossed = n.where((F.col("result_name") == "Blood Pressure") & (F.size("nums") > 1) & (F.get("nums", F.lit(1)) >= F.get("nums", F.lit(0))))
+    crossed = n.where((F.col("component") == 1) & impossible(F.col("result_name"), F.col("nums")))
     one = ["subject_id", "result_name", "chartdate", "seq_num"]
     c = crossed.select(*one, F.lit(True).alias("implausible"), F.lit(False).alias("spike"), F.lit(False).alias("stuck"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cutoff"))
     every = f.select(*one, "implausible", "spike", "stuck", "score", "cutoff").unionByName(c)

@@ -4,6 +4,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from stayline.operators.spikes import Limits, flag_readings
+from stayline.plans.data_problems import omr_flags
 
 LIMITS = {("w",): Limits(50, 700, 0.1), ("h",): Limits(36, 90, 0.25)}
 
@@ -65,3 +66,15 @@ def test_short_empty_null_duplicate_and_clashing(spark):
     d = spark.createDataFrame(data, "sid int, kind string, seq int, v double").withColumn("day", F.lit("2150-01-01").cast("timestamp_ntz"))
     f = flag_readings(d, ["sid", "kind"], ["kind"], ["day", "seq"], "v", LIMITS, "day")
     assert f.count() == 2 and f.where("implausible").count() == 0
+
+
+def test_all_numbers_of_a_text_are_judged(spark, tmp_path):
+    texts = {
+        "Weight (Lbs)": ["154.4 | 154.3", "154.4 | 1543", '"154,4";"9,3"'],
+        "Blood Pressure": ["130/77 | 131/76", "130/77 | 76/131", "130/77, 131/76, 999/80", "130/77, 131", "77/77"],
+    }
+    data = [(n, k, i, v) for n, (k, vs) in enumerate(texts.items()) for i, v in enumerate(vs)]
+    d = spark.createDataFrame(data, "subject_id int, result_name string, seq_num int, result_value string")
+    d.withColumn("chartdate", F.lit("2150-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "omr.parquet"))
+    f = omr_flags(spark, str(tmp_path))
+    assert rows(f.where("implausible"), "subject_id", "seq_num") == [(0, 1), (0, 2), (1, 1), (1, 2), (1, 4)] and f.count() == 8
