@@ -377,10 +377,11 @@ def head_limits(s: S, sf: str) -> DF:
 
 @R.add("simulate_stub")
 def simulate_stub(s: S, sf: str) -> DF:
-    """Stays rolled forward from their last reading, the last value carried, until discharge or 24 steps."""
-    r = readings(s, sf).where("itemid = 240045 AND v IS NOT NULL")
-    start = r.groupBy("stay_id").agg(F.max("hour").alias("t"), F.max_by("v", F.struct("charttime", "v")).alias("v"))
+    """Stays rolled forward from their last reading, the last value of every item carried, until discharge or 24 steps."""
+    r = readings(s, sf).where("v IS NOT NULL")
+    last = r.groupBy("stay_id", "itemid").agg(F.max("hour").alias("h"), F.max_by("v", F.struct("charttime", "v")).alias("v"))
+    start = last.join(last.groupBy("stay_id").agg(F.max("h").alias("t")), "stay_id").drop("h")
     ends = table(s, sf, "icustays").groupBy("stay_id").agg(F.max("outtime").alias("end_at"))
     state = start.join(ends, "stay_id", "left")
-    carry = lambda st: st.select("stay_id", F.col("v"), (F.col("t") + F.expr("INTERVAL 1 HOUR") >= F.col("end_at")).alias("over"))
-    return simulate(state, ["stay_id"], carry, max_steps=24).select("stay_id", stamp("t").alias("t"), "v", "steps", "ended_by")
+    carry = lambda st: st.select("stay_id", "itemid", F.col("v"), (F.col("t") + F.expr("INTERVAL 1 HOUR") >= F.col("end_at")).alias("over"))
+    return simulate(state, ["stay_id", "itemid"], carry, max_steps=24).select("stay_id", "itemid", stamp("t").alias("t"), "v", "steps", "ended_by")

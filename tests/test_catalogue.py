@@ -56,3 +56,10 @@ def test_contract(spark):
 
 def test_nested_text_returns_all_facts(spark):
     assert QUERIES["yaml_roundtrip"](spark, SF).where("NOT same").count() == 0
+
+
+def test_simulation_rolls_every_item_on(spark):
+    got = QUERIES["simulate_stub"](spark, SF)
+    want = catalogue_samples.readings(spark, SF).where("v IS NOT NULL").select("stay_id", "itemid").distinct()
+    assert want.select("itemid").distinct().count() > 1
+    assert sorted(map(tuple, got.select("stay_id", "itemid").collect())) == sorted(map(tuple, want.collect()))
