@@ -1,9 +1,9 @@
 """Every registered query of the core against its SQL on the smallest tables, and the driver's contract."""
 
-import math
 import os
 
 import pytest
+from helpers import duck_of, same_rows
 
 import __spark_entry__
 from stayline.plans import catalogue_history, catalogue_ingest, catalogue_joins, catalogue_more, catalogue_records, catalogue_samples, data_problems
@@ -16,32 +16,14 @@ ORACLE = {n: s for m in MODULES for n, s in m.R.oracle.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return None
-    if isinstance(v, float):
-        return round(v, 6) + 0.0
-    return [plain(x) for x in v] if isinstance(v, list | tuple) else v
-
-
 @pytest.fixture(scope="module")
 def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    for f in sorted(os.listdir(SF)):
-        con.execute(f"CREATE VIEW {f.split('.')[0]} AS FROM '{SF}/{f}'")
-    return con
+    return duck_of(SF)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF)
-    rel = duck.execute(ORACLE[name])
-    names = [d[0] for d in rel.description]
-    assert sorted(got.columns) == sorted(names)
-    key = lambda r: repr([plain(x) for x in r])
-    assert sorted(map(key, got.select(*[f"`{c}`" for c in names]).collect())) == sorted(map(key, rel.fetchall()))
+    same_rows(QUERIES[name](spark, SF), duck, ORACLE[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
