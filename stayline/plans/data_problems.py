@@ -1,16 +1,14 @@
-"""Queries of the data-quality operators (problems 1 to 7) over their whole tables."""
+"""Queries of the data-quality operators (problems 1 and 3 to 7) over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.functions.hashing import uniform_sql
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
-from stayline.operators.common import attach, cut_lineage
+from stayline.operators.common import cut_lineage
 from stayline.operators.hot_deck import PLACEHOLDERS, Target, hot_deck, number, usable
 from stayline.operators.intervals import interval_gaps, merge_intervals
-from stayline.operators.linked_splits import hash_to_min, linked_split, shared_key_edges
 from stayline.operators.packed_values import infer_delimiters, split_packed
 from stayline.operators.references import count_by_period, late_references, orphan_references
 from stayline.operators.regular_grid import regular_grid
@@ -19,7 +17,6 @@ from stayline.plans.registry import Registry, table
 from stayline.plans.sql import num
 
 R = Registry()
-WEIGHTS = {"train": 0.95, "validation": 0.025, "test": 0.025}
 #: Width, in hours, of the windows into which a stay's item is hashed as a block of donors.
 BLOCK_HOURS = 24.0 * 14
 #: Hourly items put onto a grid.
@@ -86,50 +83,6 @@ def p1_filled_labs(spark: SparkSession, sf: str) -> DataFrame:
     return y.select("stay_id", "label", "timepoint", F.round("v_num", 4).alias("valuenum"), F.col("v_txt").alias("value"), "v_filled", "v_level", F.size(F.coalesce("v_donors", F.array().cast("array<double>"))).alias("n_donors"))
 
 
-# -- 2: linked splits -----------------------------------------------------------------------------------------------
-def patient_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of patients tied by a shared admission number, within or across the two tables."""
-    a, s = table(spark, sf, "admissions"), table(spark, sf, "stay_to_ids_dict")
-    links = a.select(F.col("subject_id").alias("patient"), F.col("hadm_id").alias("adm")).union(s.select("patient_id", "adm_id"))
-    return hash_to_min(shared_key_edges(links, "patient", "adm"))
-
-
-@R.add("p2_found", """
-WITH RECURSIVE l AS (SELECT subject_id AS p, hadm_id AS a FROM admissions WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL UNION SELECT patient_id, adm_id FROM stay_to_ids_dict WHERE patient_id IS NOT NULL AND adm_id IS NOT NULL),
-e AS (SELECT DISTINCT x.p, y.p AS q FROM l x JOIN l y ON x.a = y.a AND x.p <> y.p),
-r(p, q) AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q)
-SELECT DISTINCT p AS patient_a, q AS patient_b FROM r WHERE p < q""")
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    c = patient_components(spark, sf)
-    a, b = c.select("component", F.col("node").alias("patient_a")), c.select("component", F.col("node").alias("patient_b"))
-    return a.join(b, "component").where("patient_a < patient_b").select("patient_a", "patient_b")
-
-
-_SCORE = lambda split, w: f"(-{w} / ln({uniform_sql(chr(39) + 'split|' + split + '|' + chr(39) + ' || component::VARCHAR')}))"
-_T, _V, _E = (_SCORE(n, w) for n, w in WEIGHTS.items())
-
-
-@R.add("p2_splits", f"""
-WITH RECURSIVE l AS (SELECT subject_id AS p, hadm_id AS a FROM admissions WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL UNION SELECT patient_id, adm_id FROM stay_to_ids_dict WHERE patient_id IS NOT NULL AND adm_id IS NOT NULL),
-e AS (SELECT DISTINCT x.p, y.p AS q FROM l x JOIN l y ON x.a = y.a AND x.p <> y.p),
-r(p, q) AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q), m AS (SELECT p, min(q) AS q FROM r GROUP BY p),
-t AS (SELECT 'admissions' AS tbl, hadm_id::VARCHAR AS row_key, subject_id AS patient FROM admissions UNION ALL SELECT 'stay_to_ids_dict', stay_id, patient_id FROM stay_to_ids_dict),
-c AS (SELECT t.*, least(coalesce(m.q, patient), patient) AS component FROM t LEFT JOIN m ON m.p = t.patient)
-SELECT *, CASE WHEN component IS NULL THEN NULL WHEN {_T} >= {_V} AND {_T} >= {_E} THEN 'train' WHEN {_V} >= {_E} THEN 'validation' ELSE 'test' END AS split FROM c""")
-def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
-    c = patient_components(spark, sf)
-    a = linked_split(table(spark, sf, "admissions"), "subject_id", c, WEIGHTS).select(F.lit("admissions").alias("tbl"), F.col("hadm_id").cast("string").alias("row_key"), F.col("subject_id").alias("patient"), "component", "split")
-    s = linked_split(table(spark, sf, "stay_to_ids_dict"), "patient_id", c, WEIGHTS).select(F.lit("stay_to_ids_dict").alias("tbl"), F.col("stay_id").alias("row_key"), F.col("patient_id").alias("patient"), "component", "split")
-    return a.unionByName(s)
-
-
-@R.add("p2_split_shares")
-def p2_split_shares(spark: SparkSession, sf: str) -> DataFrame:
-    p = p2_splits(spark, sf).where("patient IS NOT NULL").select("patient", "split").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("patients"))
-    total = p.agg(F.sum("patients").alias("total"))
-    return p.transform(attach, total).select("split", "patients", F.round(F.col("patients") / F.col("total"), 6).alias("share"))
-
-
 # -- 3: orphan references -------------------------------------------------------------------------------------------
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     """tbl, row_key, ref_key, kind, month of the transfers and diagnoses whose reference has no record (yet)."""
