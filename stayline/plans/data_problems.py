@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
-from stayline.operators.common import cut_lineage
-from stayline.operators.hot_deck import PLACEHOLDERS, Target, hot_deck, number, usable
+from stayline.operators.common import attach, cut_lineage
+from stayline.operators.hot_deck import Feature, Target, hot_deck, missing_codes, number, usable
 from stayline.operators.intervals import interval_gaps, merge_intervals
 from stayline.operators.packed_values import infer_delimiters, split_packed
 from stayline.operators.references import count_by_period, late_references, orphan_references
@@ -17,8 +17,6 @@ from stayline.plans.registry import Registry, table
 from stayline.plans.sql import num
 
 R = Registry()
-#: Width, in hours, of the windows into which a stay's item is hashed as a block of donors.
-BLOCK_HOURS = 24.0 * 14
 #: Hourly items put onto a grid.
 GRID_ITEMS = (240045, 240210, 240052)
 #: Plausible ranges and resolutions of the five measures; component 2 of blood pressure is diastolic. Fixed values.
@@ -29,36 +27,60 @@ OMR_LIMITS = {
 
 
 # -- 1: missing values ----------------------------------------------------------------------------------------------
+def reading(value: Column, valuenum: Column | None, group: str) -> tuple[Column, Column]:
+    """(number, text) of a reading, both null where it holds none; the inferred ``words``, ``numbers`` and ``codes`` stand beside it."""
+    x = number(value) if valuenum is None else F.coalesce(number(valuenum), number(value))
+    code = F.coalesce(F.array_contains("numbers", x) & F.array_contains("codes", F.struct(F.col(group).alias("g"), x.alias("x"))), F.lit(False))
+    return F.when(~code, x), F.when(x.isNull() & usable(value, F.col("words")), value)
+
+
+def _read(df: DataFrame, group: str, value: str, valuenum: str | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``num`` and ``txt`` instead of the raw values, and the counts of these per group; one pass counts the raw texts."""
+    raw = [c for c in (value, valuenum) if c]
+    counts = cut_lineage(df.groupBy(group, *raw).agg(F.count(F.lit(1)).alias("n")))
+    codes = cut_lineage(missing_codes(counts.withColumn("__t", F.coalesce(*[F.when(number(F.col(c)).isNotNull(), F.col(c)) for c in reversed(raw)], F.col(value))), group, "__t", "n"))
+    num, txt = reading(F.col(value), F.col(valuenum) if valuenum else None, group)
+    done = lambda d: attach(d, codes).withColumns({"num": num, "txt": txt}).drop(*raw, "words", "numbers", "codes")
+    return done(df), done(counts)
+
+
 def chart_fills(spark: SparkSession, sf: str) -> DataFrame:
-    """chartevents rows that lack value or charttime, filled from the nearest readings of the same stay and item."""
-    c = table(spark, sf, "chartevents").select("stay_id", "itemid", "charttime", "storetime", "value", "valuenum")
-    num = F.coalesce(number(F.col("valuenum")), number(F.col("value")))
-    rows = (
-        c.withColumn("num", num)
-        .withColumn("txt", F.when(F.col("num").isNull() & usable(F.col("value")), F.col("value")))
-        .drop("value", "valuenum")
-    )
+    """chartevents rows that lack value or charttime, filled from the nearest readings of the same stay and item.
+
+    Nearness: hours, the hour of the day, and whether the same caregiver took the reading.
+    """
+    c = table(spark, sf, "chartevents").select("stay_id", "itemid", "charttime", "storetime", "caregiver_id", "value", "valuenum")
+    rows, counts = _read(c, "itemid", "value", "valuenum")
     hours = micros(F.coalesce("charttime", "storetime")) / 3.6e9
     delay = (micros("storetime") - micros("charttime")) / 6e7
-    return hot_deck(rows, ["stay_id", "itemid"], hours, [Target("v", "num", "txt"), Target("delay", delay)], wide=["itemid"], shard=BLOCK_HOURS, only_missing=True)
+    features = [Feature("cycle", scale=24.0, weight=0.5), Feature("category", "caregiver_id", weight=0.25)]
+    return hot_deck(rows, ["stay_id", "itemid"], hours, [Target("v", "num", "txt"), Target("delay", delay)], wide=["itemid"], features=features, only_missing=True, counts={"v": counts})
 
 
 def lab_fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Listed labs of patient_yaml without a value, filled from the same stay's nearest hours of that lab."""
+    """Listed labs of patient_yaml without a value, filled from the same stay's nearest hours of that lab; the hour of the day counts too."""
     y = table(spark, sf, "patient_yaml").select("stay_id", "timepoint", F.explode("lab_results").alias("label", "value"))
-    rows = y.withColumn("num", number(F.col("value"))).withColumn("txt", F.when(F.col("num").isNull() & usable(F.col("value")), F.col("value"))).withColumn("at", F.col("timepoint").cast("double"))
-    return hot_deck(rows, ["stay_id", "label"], "at", [Target("v", "num", "txt")], wide=["label"], shard=24.0 * 30, only_missing=True)
+    rows, counts = _read(y, "label", "value", None)
+    return hot_deck(rows, ["stay_id", "label"], F.col("timepoint").cast("double"), [Target("v", "num", "txt")], wide=["label"], features=[Feature("cycle", scale=24.0, weight=0.5)], only_missing=True, counts={"v": counts})
 
 
-_WORDS = ", ".join(f"'{w}'" for w in PLACEHOLDERS)
-_GOOD = lambda v: f"coalesce(regexp_matches({v}, '[\\p{{L}}\\p{{N}}]') AND lower(trim({v})) NOT IN ({_WORDS}), false)"
-_MISSING = f"NOT ({_GOOD('value')}) AND NOT coalesce(NOT isnan(TRY_CAST(valuenum AS DOUBLE)), false)"
+# The check knows no list of words: what is no number and stands in place of one, in whatever item or lab that is measured in numbers, is no observation anywhere.
+_SEEN = f"""lab AS (SELECT stay_id, timepoint, unnest(map_keys(lab_results)) AS label, unnest(map_values(lab_results)) AS value FROM patient_yaml),
+seen AS (SELECT 'c' || itemid::VARCHAR AS g, value AS t, coalesce({num('valuenum')}, {num('value')}) AS x FROM chartevents UNION ALL SELECT 'l' || label, value, {num('value')} FROM lab),
+grp AS (SELECT g, count(x) / count(*) > 0.8 AS measured, median(abs(x)) AS usual FROM seen GROUP BY g),
+wrd AS (SELECT DISTINCT lower(trim(t)) AS w FROM seen JOIN grp USING (g) WHERE measured AND x IS NULL AND t IS NOT NULL),
+cod AS (SELECT DISTINCT g, x FROM seen JOIN grp USING (g) WHERE measured AND abs(x) >= 9999 AND usual < 1000)"""
+_OWN = lambda g, x, v: f"CASE WHEN NOT EXISTS (SELECT 1 FROM cod WHERE cod.g = {g} AND cod.x = {x}) THEN {x} END AS num, CASE WHEN {x} IS NULL AND regexp_matches({v}, '[\\p{{L}}\\p{{N}}]') AND lower(trim({v})) NOT IN (SELECT w FROM wrd) THEN {v} END AS txt"
+_CH = f"""ch0 AS (SELECT stay_id, itemid, charttime, storetime, caregiver_id, value, 'c' || itemid::VARCHAR AS g, coalesce({num('valuenum')}, {num('value')}) AS x FROM chartevents),
+ch AS (SELECT stay_id, itemid, charttime, storetime, caregiver_id, {_OWN('ch0.g', 'ch0.x', 'value')} FROM ch0)"""
+_LB = f"""lb0 AS (SELECT stay_id, label, timepoint, value, 'l' || label AS g, {num('value')} AS x FROM lab), lb AS (SELECT stay_id, label, timepoint, {_OWN('lb0.g', 'lb0.x', 'value')} FROM lb0)"""
 
 
 @R.add("p1_found", f"""
-SELECT DISTINCT 'chartevents.value' AS field_name, stay_id::VARCHAR AS stay_key, itemid::VARCHAR AS item_key, strftime(charttime, '%Y-%m-%d %H:%M:%S') AS time_key FROM chartevents WHERE {_MISSING}
-UNION SELECT 'chartevents.charttime', stay_id::VARCHAR, itemid::VARCHAR, strftime(storetime, '%Y-%m-%d %H:%M:%S') FROM chartevents WHERE charttime IS NULL
-UNION SELECT 'patient_yaml.lab_results', stay_id, k, timepoint::VARCHAR FROM (SELECT stay_id, timepoint, unnest(map_keys(lab_results)) AS k, unnest(map_values(lab_results)) AS v FROM patient_yaml) WHERE NOT {_GOOD('v')}""")
+WITH {_SEEN}, {_CH}, {_LB}
+SELECT DISTINCT 'chartevents.value' AS field_name, stay_id::VARCHAR AS stay_key, itemid::VARCHAR AS item_key, strftime(charttime, '%Y-%m-%d %H:%M:%S') AS time_key FROM ch WHERE num IS NULL AND txt IS NULL
+UNION SELECT 'chartevents.charttime', stay_id::VARCHAR, itemid::VARCHAR, strftime(storetime, '%Y-%m-%d %H:%M:%S') FROM ch WHERE charttime IS NULL
+UNION SELECT 'patient_yaml.lab_results', stay_id, label, timepoint::VARCHAR FROM lb WHERE num IS NULL AND txt IS NULL""")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     # every fill is made and kept, so that the optimiser can't drop the operator's work because only the marks are shown
     c, y = cut_lineage(chart_fills(spark, sf)), cut_lineage(lab_fills(spark, sf))
@@ -70,14 +92,41 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return chart.select(F.col("f").alias("field_name"), *key("stay_id", "itemid", when)).unionByName(labs).distinct()
 
 
-@R.add("p1_filled_chart")
+def _fills_sql(rows: str, block: str, order: str, name: str, number_: str, text: str, distance: str, wide: str) -> str:
+    """Tables ``name``_d (rid, donors used, number, text) and ``name``_w (wide group's number, text) by pairing every gap with every record of its block."""
+    b = " AND ".join(f"d.{c} = m.{c}" for c in block.split(", "))
+    return f"""{name}_o AS (SELECT *, {number_} AS dn, {text} AS dt, row_number() OVER (PARTITION BY {block} ORDER BY {order}) AS pos FROM {rows} WHERE near IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in block.split(', '))}),
+{name}_p AS (SELECT m.rid, d.pos < m.pos AS before, d.near AS at, d.dn, d.dt, round({distance}, 9) AS gap, row_number() OVER (PARTITION BY m.rid, d.pos < m.pos ORDER BY abs(d.pos - m.pos)) AS k FROM {name}_o m JOIN {name}_o d ON {b} AND d.pos <> m.pos AND (d.dn IS NOT NULL OR d.dt IS NOT NULL) WHERE m.dn IS NULL AND m.dt IS NULL),
+{name}_c AS (SELECT *, 1 / (1 + gap) AS w, row_number() OVER (PARTITION BY rid ORDER BY gap, k, NOT before) AS j FROM {name}_p WHERE k <= 3),
+{name}_u AS (SELECT * FROM {name}_c WHERE j <= 4),
+{name}_m AS (SELECT rid, min(dn) AS num FROM (SELECT rid, dn, sum(w) OVER (PARTITION BY rid ORDER BY dn, w, j) AS run, sum(w) OVER (PARTITION BY rid) AS tot FROM {name}_u WHERE dn IS NOT NULL) WHERE run * 2 >= tot - 1e-9 GROUP BY rid),
+{name}_t AS (SELECT rid, dt AS txt FROM (SELECT rid, dt, row_number() OVER (PARTITION BY rid ORDER BY round(sum(w), 9) DESC, dt) AS r FROM {name}_u WHERE dt IS NOT NULL GROUP BY rid, dt) WHERE r = 1),
+{name}_d AS (SELECT u.rid, u.n, m.num, t.txt FROM (SELECT rid, count(*) AS n FROM {name}_u GROUP BY rid) u LEFT JOIN {name}_m m USING (rid) LEFT JOIN {name}_t t USING (rid)),
+{name}_w AS (SELECT g.{wide}, g.num, t.txt FROM (SELECT {wide}, quantile_cont({number_}, 0.5) AS num FROM {rows} GROUP BY {wide}) g LEFT JOIN (SELECT {wide}, x AS txt FROM (SELECT {wide}, {text} AS x, row_number() OVER (PARTITION BY {wide} ORDER BY count(*) DESC, {text}) AS r FROM {rows} WHERE {text} IS NOT NULL AND {number_} IS NULL GROUP BY {wide}, {text}) WHERE r = 1) t USING ({wide}))"""
+
+
+_GAP = "abs(d.near - m.near)"
+_DAY = "least({g} % 24, 24 - {g} % 24) / 12 * 0.5".format(g=_GAP)
+_NURSE = "0.25 * coalesce((d.caregiver_id <> m.caregiver_id)::INT::DOUBLE, 0.5)"
+_CHART_ROWS = "cr AS (SELECT *, row_number() OVER () AS rid, epoch_us(coalesce(charttime, storetime)) / 3.6e9 AS near, (epoch_us(storetime) - epoch_us(charttime)) / 6e7 AS delay FROM ch)"
+_CHART_ORDER = "near NULLS FIRST, num NULLS FIRST, txt NULLS FIRST, delay NULLS FIRST"
+_USE = lambda c, a, w: f"coalesce({a}.{c}, CASE WHEN {a}.rid IS NULL THEN {w}.{c} END)"
+
+
+@R.add("p1_filled_chart", f"""WITH {_SEEN}, {_CH}, {_CHART_ROWS}, {_fills_sql('cr', 'stay_id, itemid', _CHART_ORDER, 'v', 'num', 'txt', f'{_GAP} + {_DAY} + {_NURSE}', 'itemid')}, {_fills_sql('cr', 'stay_id, itemid', _CHART_ORDER, 'l', 'delay', 'NULL::VARCHAR', f'{_GAP} + {_DAY} + {_NURSE}', 'itemid')},
+f AS (SELECT cr.*, num IS NULL AND txt IS NULL AS gone, vd.rid AS vr, vd.n AS vn, CASE WHEN cr.num IS NULL AND cr.txt IS NULL THEN {_USE('num', 'vd', 'vw')} ELSE cr.num END AS n2, CASE WHEN cr.num IS NULL AND cr.txt IS NULL THEN {_USE('txt', 'vd', 'vw')} ELSE cr.txt END AS t2, {_USE('num', 'ld', 'lw')} AS lag
+  FROM (SELECT * FROM cr WHERE (num IS NULL AND txt IS NULL) OR delay IS NULL) cr LEFT JOIN (SELECT rid, n, num, txt FROM v_d) vd ON vd.rid = cr.rid LEFT JOIN v_w vw ON vw.itemid = cr.itemid LEFT JOIN l_d ld ON ld.rid = cr.rid LEFT JOIN l_w lw ON lw.itemid = cr.itemid)
+SELECT stay_id, itemid, strftime(coalesce(charttime, make_timestamp(epoch_us(storetime) - (lag * 6e7)::BIGINT)), '%Y-%m-%d %H:%M:%S') AS charttime, charttime IS NULL AND storetime IS NOT NULL AND lag IS NOT NULL AS charttime_filled, round(n2, 4) AS valuenum, t2 AS value, gone AND (n2 IS NOT NULL OR t2 IS NOT NULL) AS value_filled,
+CASE WHEN NOT gone THEN NULL WHEN vr IS NOT NULL THEN 'block' WHEN n2 IS NOT NULL OR t2 IS NOT NULL THEN 'wide' END AS value_level, coalesce(CASE WHEN gone THEN vn END, 0)::INT AS n_donors FROM f""".replace("num IS NULL AND txt IS NULL AS gone", "cr.num IS NULL AND cr.txt IS NULL AS gone"))
 def p1_filled_chart(spark: SparkSession, sf: str) -> DataFrame:
     c = chart_fills(spark, sf)
     time = F.when(F.col("delay_filled") & F.col("charttime").isNull(), from_micros(micros("storetime") - (F.col("delay_num") * 6e7).cast("bigint")))
     return c.select("stay_id", "itemid", stamp(F.coalesce("charttime", time)).alias("charttime"), time.isNotNull().alias("charttime_filled"), F.round("v_num", 4).alias("valuenum"), F.col("v_txt").alias("value"), F.col("v_filled").alias("value_filled"), F.col("v_level").alias("value_level"), F.size(F.coalesce("v_donors", F.array().cast("array<double>"))).alias("n_donors"))
 
 
-@R.add("p1_filled_labs")
+@R.add("p1_filled_labs", f"""WITH {_SEEN}, {_LB}, lr AS (SELECT *, row_number() OVER () AS rid, timepoint::DOUBLE AS near FROM lb), {_fills_sql('lr', 'stay_id, label', 'near NULLS FIRST, num NULLS FIRST, txt NULLS FIRST', 'v', 'num', 'txt', f'{_GAP} + {_DAY}', 'label')}
+SELECT stay_id, lr.label, timepoint, round({_USE('num', 'vd', 'vw')}, 4) AS valuenum, {_USE('txt', 'vd', 'vw')} AS value, ({_USE('num', 'vd', 'vw')} IS NOT NULL OR {_USE('txt', 'vd', 'vw')} IS NOT NULL) AS v_filled, CASE WHEN vd.rid IS NOT NULL THEN 'block' WHEN vw.num IS NOT NULL OR vw.txt IS NOT NULL THEN 'wide' END AS v_level, coalesce(vd.n, 0)::INT AS n_donors
+FROM lr LEFT JOIN v_d vd ON vd.rid = lr.rid LEFT JOIN v_w vw ON vw.label = lr.label WHERE lr.num IS NULL AND lr.txt IS NULL""")
 def p1_filled_labs(spark: SparkSession, sf: str) -> DataFrame:
     y = lab_fills(spark, sf).where("v_missing")
     return y.select("stay_id", "label", "timepoint", F.round("v_num", 4).alias("valuenum"), F.col("v_txt").alias("value"), "v_filled", "v_level", F.size(F.coalesce("v_donors", F.array().cast("array<double>"))).alias("n_donors"))
