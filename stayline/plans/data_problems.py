@@ -181,14 +181,14 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- 4: spikes ------------------------------------------------------------------------------------------------------
 def omr_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """omr rows, exact duplicates once, with the numbers of their text; one row per component (two for blood pressure)."""
-    o = table(spark, sf, "omr").select("subject_id", "chartdate", "seq_num", "result_name", "result_value").distinct()
+    """omr rows with the numbers of their text, and whether one of them is impossible; one row per component (two for blood pressure)."""
+    o = table(spark, sf, "omr").select("subject_id", "chartdate", "seq_num", "result_name", "result_value")
     text = F.regexp_replace("result_value", r"([\"'])\s*([-+]?\d+),(\d+)\s*\1", "$2.$3")
     nums = F.transform(F.regexp_extract_all(text, F.lit(r"((?<![\d.])-?\d+(?:\.\d+)?)"), F.lit(1)), lambda v: v.cast("double"))
-    n = o.withColumn("nums", nums).where(F.size("nums") > 0)
+    n = o.withColumn("nums", nums).where(F.size("nums") > 0).withColumn("bad", impossible(F.col("result_name"), F.col("nums")))
     two = F.col("result_name") == "Blood Pressure"
     parts = F.posexplode(F.when(two, F.slice("nums", 1, 2)).otherwise(F.slice("nums", 1, 1)))
-    return n.select("subject_id", "chartdate", "seq_num", "result_name", "nums", parts.alias("i", "x")).withColumn("component", (F.col("i") + 1).cast("int")).drop("i")
+    return n.select("subject_id", "chartdate", "seq_num", "result_name", "bad", parts.alias("i", "x")).withColumn("component", (F.col("i") + 1).cast("int")).drop("i")
 
 
 def impossible(name: Column, nums: Column) -> Column:
@@ -203,25 +203,21 @@ def impossible(name: Column, nums: Column) -> Column:
 
 
 def omr_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Per omr reading: implausible, spike, stuck, with the largest score of its components."""
-    n = omr_numbers(spark, sf)
-    f = flag_readings(n, ["subject_id", "result_name", "component"], ["result_name", "component"], ["chartdate", "seq_num"], "x", OMR_LIMITS, "chartdate")
-    crossed = n.where((F.col("component") == 1) & impossible(F.col("result_name"), F.col("nums")))
-    one = ["subject_id", "result_name", "chartdate", "seq_num"]
-    c = crossed.select(*one, F.lit(True).alias("implausible"), F.lit(False).alias("spike"), F.lit(False).alias("stuck"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cutoff"))
-    every = f.select(*one, "implausible", "spike", "stuck", "score", "cutoff").unionByName(c)
-    return every.groupBy(*one).agg(*[F.bool_or(x).alias(x) for x in ("implausible", "spike", "stuck")], F.max("score").alias("score"), F.max("cutoff").alias("cutoff"))
+    """Per omr reading and component: implausible, spike, stuck, score, cutoff."""
+    series = ["subject_id", "result_name", "component"]
+    return flag_readings(omr_numbers(spark, sf), series, ["result_name", "component"], ["chartdate", "seq_num"], "x", OMR_LIMITS, "chartdate", bad="bad")
 
 
 @R.add("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     f = omr_flags(spark, sf).where("implausible OR spike OR stuck")
-    return f.select("subject_id", "result_name", F.date_format("chartdate", "yyyy-MM-dd").alias("chartdate"), F.col("seq_num").cast("int").alias("seq_num"))
+    return f.select("subject_id", "result_name", F.date_format("chartdate", "yyyy-MM-dd").alias("chartdate"), F.col("seq_num").cast("int").alias("seq_num")).distinct()
 
 
 @R.add("p4_flags")
 def p4_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return omr_flags(spark, sf).select("subject_id", "result_name", F.date_format("chartdate", "yyyy-MM-dd").alias("chartdate"), "seq_num", "implausible", "spike", "stuck", F.round("score", 3).alias("score"), F.round("cutoff", 3).alias("cutoff"))
+    f = omr_flags(spark, sf).groupBy("subject_id", "result_name", F.date_format("chartdate", "yyyy-MM-dd").alias("chartdate"), "seq_num")
+    return f.agg(*[F.bool_or(x).alias(x) for x in ("implausible", "spike", "stuck")], F.round(F.max("score"), 3).alias("score"), F.round(F.max("cutoff"), 3).alias("cutoff"))
 
 
 # -- 5: intervals ---------------------------------------------------------------------------------------------------
