@@ -86,7 +86,7 @@ def last_with_rest(df: DataFrame, keys: Sequence[str], hour: str, num: str, now:
     item = F.when(~old, F.struct((-F.col("rd")).alias("o"), F.concat((now - F.col(hour)).cast("string"), F.lit(": "), text_of(F.col(num))).alias("t")))
     g = d.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(old, F.col(num))).alias("hi"), F.min(F.when(old, F.col(num))).alias("lo"), F.avg(F.when(old, F.col(num))).alias("m"), F.array_sort(F.collect_list(item)).alias("r"))
     late = F.array_join(F.transform("r", lambda x: x["t"]), ", ")
-    past = F.concat(F.lit("past: "), text_of(F.col("hi")), F.lit("-"), text_of(F.col("lo")), F.lit(", mean: "), text_of(F.col("m")), F.lit(", recent: "), late)
+    past = F.concat(F.lit("past: "), text_of(F.col("hi")), F.lit("-"), text_of(F.col("lo")), F.lit(", mean: "), text_of(F.round("m", 6)), F.lit(", recent: "), late)
     return g.select(*keys, F.when(F.col("n") > keep + 3, past).otherwise(late).alias("values"))
 
 

@@ -41,22 +41,39 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], at: str, tie: str) -> Dat
     return top.select(*keys, *[F.col("__t")[c].alias(c) for c in rest])
 
 
+def append_addenda(notes: DataFrame, links: DataFrame, note_id: str, parent_id: str, text: str, at: str, sep: str = "\n") -> DataFrame:
+    """Notes with the texts of their addenda appended in order of ``at``; the addenda themselves are left out.
+
+    ``links`` names each addendum (``note_id``) and its parent; one whose parent isn't there vanishes with it. Notes without text count as
+    empty, addenda without text add nothing. A parent's addenda are few. An addendum of an addendum goes to that one and vanishes.
+    """
+    n = notes.select(F.col(note_id).alias("__n"), F.col(text).alias("__x"), F.col(at).alias("__at"))
+    pairs = links.select(F.col(note_id).alias("__n"), F.col(parent_id).alias("__p")).distinct()
+    more = pairs.join(n, "__n").groupBy("__p").agg(F.array_sort(F.collect_list(F.when(F.col("__x").isNotNull(), F.struct("__at", "__n", "__x")))).alias("__m"))
+    own = notes.join(links.select(note_id).distinct(), note_id, "left_anti")
+    joined = own.join(more.withColumnRenamed("__p", note_id), note_id, "left")
+    parts = F.concat(F.array(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.transform("__m", lambda m: m["__x"]), F.array().cast("array<string>")))
+    return joined.withColumn(text, F.array_join(parts, sep)).drop("__m")
+
+
 def within_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, tie: str, strict: bool = False) -> DataFrame:
     """Each point with the first interval of its key that contains it (``start <= at <= end``, or ``<`` if strict), else nulls.
 
     An equi-join on the key and on the days that an interval touches keeps a hot key spread over its days; intervals
-    longer than a day are listed once per day. ``points`` must be free of the intervals' columns other than the keys.
+    longer than a day are listed once per day. ``points`` must be free of the intervals' columns other than the keys, and of maps.
+    Equal points are answered once and given back as often as they came.
     """
-    p = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__day", F.to_date(at))
+    same = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    p = same.withColumn("__day", F.to_date(at))
     ok = intervals.where(F.col(end) >= F.col(start))
     days = F.sequence(F.to_date(start), F.to_date(end), F.expr("INTERVAL 1 DAY"))
     spans = ok.withColumn("__day", F.explode(days))
     inside = ((F.col(start) < F.col(at)) & (F.col(at) < F.col(end))) if strict else F.col(at).between(F.col(start), F.col(end))
     cols = [c for c in intervals.columns if c not in keys]
     j = p.join(spans, [*keys, "__day"], "left").withColumn("__in", inside)
-    first = Window.partitionBy("__id").orderBy(F.col("__in").desc_nulls_last(), start, tie)
-    best = j.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
-    return best.select(*points.columns, *[F.when(F.col("__in"), F.col(c)).alias(c) for c in cols])
+    best = j.groupBy(*points.columns, "__copies").agg(F.min(F.when(F.col("__in"), F.struct(F.col(start).alias("__s"), F.col(tie).alias("__t"), *cols))).alias("__b"))
+    out = best.select(*points.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__c"), *[F.col("__b")[c].alias(c) for c in cols])
+    return out.drop("__c")
 
 
 def _band(df: DataFrame, at: str, tol: int) -> Column:

@@ -29,14 +29,14 @@ def lead_interval_end(s: S, sf: str) -> DF:
 
 
 _H = "(round_even(epoch_us({c}) / 3600000000.0, 0))::BIGINT"
-_ISL = f"""WITH o AS (SELECT DISTINCT stay_id, itemid, {_H.format(c='charttime')} AS h FROM chartevents WHERE charttime IS NOT NULL AND stay_id IS NOT NULL AND itemid IN (240045, 240210, 240052)),
+_ISL = f"""WITH o AS (SELECT DISTINCT stay_id, itemid, {_H.format(c='charttime')} AS h FROM chartevents WHERE charttime IS NOT NULL AND stay_id IS NOT NULL AND itemid IS NOT NULL),
 m AS (SELECT stay_id, max(h) AS now FROM o GROUP BY stay_id),
 i AS (SELECT stay_id, itemid, min(h) AS first, max(h) AS last FROM (SELECT *, h - row_number() OVER (PARTITION BY stay_id, itemid ORDER BY h) AS g FROM o) GROUP BY stay_id, itemid, g),
 s AS (SELECT i.*, now, CASE WHEN first = last THEN (now - first)::VARCHAR ELSE (now - first)::VARCHAR || '-' || (now - last)::VARCHAR END AS t, row_number() OVER (PARTITION BY i.stay_id, itemid ORDER BY first DESC) AS rd, count(*) OVER (PARTITION BY i.stay_id, itemid) AS n FROM i JOIN m ON m.stay_id = i.stay_id)"""
 
 
 def _islands(s: S, sf: str) -> DF:
-    o = table(s, sf, "chartevents").where("charttime IS NOT NULL AND stay_id IS NOT NULL").where(F.col("itemid").isin(240045, 240210, 240052)).select("stay_id", "itemid", hour_index("charttime").alias("h"))
+    o = table(s, sf, "chartevents").where("charttime IS NOT NULL AND stay_id IS NOT NULL AND itemid IS NOT NULL").select("stay_id", "itemid", hour_index("charttime").alias("h"))
     now = o.groupBy("stay_id").agg(F.max("h").alias("now"))
     return E.islands(o, ["stay_id", "itemid"], "h").join(now, "stay_id")
 
@@ -56,38 +56,38 @@ def interleaved_periods(s: S, sf: str) -> DF:
     return E.interleaved_text(_islands(s, sf).withColumn("label", F.col("itemid").cast("string")), ["stay_id"], "label", F.col("now"))
 
 
-_HV = f"WITH {READINGS}, h AS (SELECT stay_id, itemid, hour, {_H.format(c='hour')} AS h, avg(v) AS v FROM readings WHERE itemid = 240045 AND v IS NOT NULL GROUP BY stay_id, itemid, hour), m AS (SELECT *, max(h) OVER (PARTITION BY stay_id) AS now, {text_sql('v')} AS t, row_number() OVER (PARTITION BY stay_id ORDER BY h DESC) AS rd, count(*) OVER (PARTITION BY stay_id) AS n FROM h)"
+_HV = f"WITH {READINGS}, h AS (SELECT stay_id, itemid, hour, {_H.format(c='hour')} AS h, round(avg(v), 6) AS v FROM readings WHERE v IS NOT NULL AND itemid IS NOT NULL GROUP BY stay_id, itemid, hour), m AS (SELECT *, max(h) OVER (PARTITION BY stay_id) AS now, {text_sql('v')} AS t, row_number() OVER (PARTITION BY stay_id, itemid ORDER BY h DESC) AS rd, count(*) OVER (PARTITION BY stay_id, itemid) AS n FROM h)"
 
 
 def _hourly(s: S, sf: str) -> DF:
-    h = readings(s, sf).where("itemid = 240045 AND v IS NOT NULL").groupBy("stay_id", "hour").agg(F.avg("v").alias("v")).withColumn("h", hour_index("hour")).withColumn("t", text_of(F.col("v")))
+    h = readings(s, sf).where("v IS NOT NULL AND itemid IS NOT NULL").groupBy("stay_id", "itemid", "hour").agg(F.round(F.avg("v"), 6).alias("v")).withColumn("h", hour_index("hour")).withColumn("t", text_of(F.col("v")))
     return h.join(h.groupBy("stay_id").agg(F.max("h").alias("now")), "stay_id")
 
 
-@R.add("value_runs", _HV + """, f AS (SELECT *, rd <= 5 AS recent, CASE WHEN lag(t) OVER w = t AND (lag(rd) OVER w <= 5) = (rd <= 5) THEN 0 ELSE 1 END AS fresh FROM m WINDOW w AS (PARTITION BY stay_id ORDER BY h)),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY stay_id ORDER BY h) AS run FROM f),
-g AS (SELECT stay_id, run, any_value(t) AS t, any_value(recent) AS recent, min(h) AS a, max(h) AS b, any_value(now) AS now, string_agg((now - h)::VARCHAR, '/' ORDER BY h) AS hs FROM r GROUP BY stay_id, run)
-SELECT stay_id, string_agg(CASE WHEN recent THEN hs WHEN a = b THEN (now - a)::VARCHAR ELSE (now - a)::VARCHAR || '-' || (now - b)::VARCHAR END || ': ' || t, ', ' ORDER BY run) AS "values" FROM g GROUP BY stay_id""")
+@R.add("value_runs", _HV + """, f AS (SELECT *, rd <= 5 AS recent, CASE WHEN lag(t) OVER w = t AND (lag(rd) OVER w <= 5) = (rd <= 5) THEN 0 ELSE 1 END AS fresh FROM m WINDOW w AS (PARTITION BY stay_id, itemid ORDER BY h)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY stay_id, itemid ORDER BY h) AS run FROM f),
+g AS (SELECT stay_id, itemid, run, any_value(t) AS t, any_value(recent) AS recent, min(h) AS a, max(h) AS b, any_value(now) AS now, string_agg((now - h)::VARCHAR, '/' ORDER BY h) AS hs FROM r GROUP BY stay_id, itemid, run)
+SELECT stay_id, itemid, string_agg(CASE WHEN recent THEN hs WHEN a = b THEN (now - a)::VARCHAR ELSE (now - a)::VARCHAR || '-' || (now - b)::VARCHAR END || ': ' || t, ', ' ORDER BY run) AS "values" FROM g GROUP BY stay_id, itemid""")
 def value_runs(s: S, sf: str) -> DF:
     h = _hourly(s, sf)
-    runs = E.value_runs(h, ["stay_id", "now"], "h", "t")
-    return E.run_text(runs, ["stay_id", "now"], F.col("now")).drop("now")
+    runs = E.value_runs(h, ["stay_id", "itemid", "now"], "h", "t")
+    return E.run_text(runs, ["stay_id", "itemid", "now"], F.col("now")).drop("now")
 
 
-@R.add("last_n_with_rest", _HV + f""" SELECT stay_id, CASE WHEN max(n) > 4 THEN 'past: ' || {text_sql('max(v) FILTER (rd > 1)')} || '-' || {text_sql('min(v) FILTER (rd > 1)')} || ', mean: ' || {text_sql('round(avg(v) FILTER (rd > 1), 6)')} || ', recent: ' || max((now - h)::VARCHAR || ': ' || t) FILTER (rd = 1) ELSE string_agg((now - h)::VARCHAR || ': ' || t, ', ' ORDER BY h) END AS "values" FROM m GROUP BY stay_id""")
+@R.add("last_n_with_rest", _HV + f""" SELECT stay_id, itemid, CASE WHEN max(n) > 4 THEN 'past: ' || {text_sql('max(v) FILTER (rd > 1)')} || '-' || {text_sql('min(v) FILTER (rd > 1)')} || ', mean: ' || {text_sql('round(avg(v) FILTER (rd > 1), 6)')} || ', recent: ' || max((now - h)::VARCHAR || ': ' || t) FILTER (rd = 1) ELSE string_agg((now - h)::VARCHAR || ': ' || t, ', ' ORDER BY h) END AS "values" FROM m GROUP BY stay_id, itemid""")
 def last_n_with_rest(s: S, sf: str) -> DF:
-    return E.last_with_rest(_hourly(s, sf), ["stay_id"], "h", "v", F.col("now"), 1)
+    return E.last_with_rest(_hourly(s, sf), ["stay_id", "itemid"], "h", "v", F.col("now"), 1)
 
 
-@R.add("majority_with_recent", f"""WITH w AS (SELECT stay_id, {_H.format(c='charttime')} AS h, max(value) AS v FROM chartevents WHERE itemid = 240048 AND value IS NOT NULL AND charttime IS NOT NULL AND stay_id IS NOT NULL GROUP BY 1, 2),
-m AS (SELECT *, max(h) OVER (PARTITION BY stay_id) AS now, row_number() OVER (PARTITION BY stay_id ORDER BY h DESC) AS rd, count(*) OVER (PARTITION BY stay_id) AS n FROM w),
-c AS (SELECT stay_id, v, row_number() OVER (PARTITION BY stay_id ORDER BY count(*) DESC, trim(v)) AS k FROM m WHERE rd > 1 GROUP BY stay_id, v)
-SELECT m.stay_id, CASE WHEN max(n) > 4 THEN 'past: majority: ' || max(trim(c.v)) || ', recent: ' || max((now - h)::VARCHAR || ': ' || trim(m.v)) FILTER (rd = 1) ELSE string_agg((now - h)::VARCHAR || ': ' || trim(m.v), ', ' ORDER BY h) END AS "values"
-FROM m LEFT JOIN c ON c.stay_id = m.stay_id AND c.k = 1 GROUP BY m.stay_id""")
+@R.add("majority_with_recent", f"""WITH w AS (SELECT stay_id, itemid, {_H.format(c='charttime')} AS h, max(value) AS v FROM chartevents WHERE value IS NOT NULL AND valuenum IS NULL AND charttime IS NOT NULL AND stay_id IS NOT NULL AND itemid IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT *, max(h) OVER (PARTITION BY stay_id) AS now, row_number() OVER (PARTITION BY stay_id, itemid ORDER BY h DESC) AS rd, count(*) OVER (PARTITION BY stay_id, itemid) AS n FROM w),
+c AS (SELECT stay_id, itemid, trim(v) AS v, row_number() OVER (PARTITION BY stay_id, itemid ORDER BY count(*) DESC, trim(v)) AS k FROM m WHERE rd > 1 GROUP BY stay_id, itemid, trim(v))
+SELECT m.stay_id, m.itemid, CASE WHEN max(n) > 4 THEN 'past: majority: ' || max(trim(c.v)) || ', recent: ' || max((now - h)::VARCHAR || ': ' || trim(m.v)) FILTER (rd = 1) ELSE string_agg((now - h)::VARCHAR || ': ' || trim(m.v), ', ' ORDER BY h) END AS "values"
+FROM m LEFT JOIN c ON c.stay_id = m.stay_id AND c.itemid = m.itemid AND c.k = 1 GROUP BY m.stay_id, m.itemid""")
 def majority_with_recent(s: S, sf: str) -> DF:
-    w = table(s, sf, "chartevents").where("itemid = 240048 AND value IS NOT NULL AND charttime IS NOT NULL AND stay_id IS NOT NULL").groupBy("stay_id", hour_index("charttime").alias("h")).agg(F.max("value").alias("v"))
+    w = table(s, sf, "chartevents").where("value IS NOT NULL AND valuenum IS NULL AND charttime IS NOT NULL AND stay_id IS NOT NULL AND itemid IS NOT NULL").groupBy("stay_id", "itemid", hour_index("charttime").alias("h")).agg(F.max("value").alias("v"))
     w = w.join(w.groupBy("stay_id").agg(F.max("h").alias("now")), "stay_id")
-    return E.majority_with_recent(w.withColumn("h", F.col("h") - F.col("now")), ["stay_id"], "h", "v", F.lit(0).cast("bigint"), 1)
+    return E.majority_with_recent(w.withColumn("h", F.col("h") - F.col("now")), ["stay_id", "itemid"], "h", "v", F.lit(0).cast("bigint"), 1)
 
 
 @R.add("first_unit", f"SELECT stay_id, itemid, arg_min(valueuom, struct_pack(a := charttime, b := valueuom)) FILTER (valueuom IS NOT NULL) AS unit FROM chartevents WHERE charttime IS NOT NULL AND stay_id IS NOT NULL GROUP BY stay_id, itemid")
@@ -102,12 +102,12 @@ def latest_per_modality(s: S, sf: str) -> DF:
     return latest_per_key(d, ["hadm_id", "source"], "charttime", "doc_id").withColumn("charttime", stamp("charttime"))
 
 
-@R.add("days_ago_text", "WITH o AS (SELECT subject_id, chartdate, min(result_value) AS v FROM omr WHERE result_name = 'Weight (Lbs)' AND TRY_CAST(result_value AS DOUBLE) IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, max(chartdate) OVER (PARTITION BY subject_id) AS now FROM o) SELECT subject_id, string_agg(date_diff('day', chartdate, now)::VARCHAR || ' days: ' || v, ', ' ORDER BY chartdate) AS v FROM m GROUP BY subject_id")
+@R.add("days_ago_text", "WITH o AS (SELECT subject_id, result_name, chartdate, min(result_value) AS v FROM omr WHERE result_value IS NOT NULL AND chartdate IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT *, max(chartdate) OVER (PARTITION BY subject_id) AS now FROM o) SELECT subject_id, result_name, string_agg(date_diff('day', chartdate, now)::VARCHAR || ' days: ' || v, ', ' ORDER BY chartdate) AS v FROM m GROUP BY subject_id, result_name")
 def days_ago_text(s: S, sf: str) -> DF:
-    o = table(s, sf, "omr").where("result_name = 'Weight (Lbs)'").where(F.col("result_value").try_cast("double").isNotNull()).groupBy("subject_id", "chartdate").agg(F.min("result_value").alias("v"))
+    o = table(s, sf, "omr").where("result_value IS NOT NULL AND chartdate IS NOT NULL").groupBy("subject_id", "result_name", "chartdate").agg(F.min("result_value").alias("v"))
     m = o.join(o.groupBy("subject_id").agg(F.max("chartdate").alias("now")), "subject_id")
     t = F.concat(F.datediff("now", "chartdate").cast("string"), F.lit(" days: "), F.col("v"))
-    return m.groupBy("subject_id").agg(A.ordered_text(t, F.col("chartdate"), ", ").alias("v"))
+    return m.groupBy("subject_id", "result_name").agg(A.ordered_text(t, F.col("chartdate"), ", ").alias("v"))
 
 
 # -- grid and snapshots -------------------------------------------------------------------------------------------------
@@ -136,13 +136,13 @@ def stay_segments(s: S, sf: str) -> DF:
 
 
 def _points(s: S, sf: str) -> DF:
-    """Time points every 12 hours of an ICU stay's reading times, as t."""
+    """Every hour of an ICU stay from its first to its last reading, as t."""
     r = readings(s, sf)
     b = r.groupBy("stay_id").agg(F.min("hour").alias("a"), F.max("hour").alias("z"))
-    return b.select("stay_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 12 HOURS"))).alias("t"))
+    return b.select("stay_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 HOUR"))).alias("t"))
 
 
-_PTS = f"WITH {READINGS}, pts AS (SELECT stay_id, unnest(generate_series(min(hour), max(hour), INTERVAL 12 HOUR)) AS t FROM readings GROUP BY stay_id)"
+_PTS = f"WITH {READINGS}, pts AS (SELECT stay_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS t FROM readings GROUP BY stay_id)"
 
 
 @R.add("trailing_24h", _PTS + f" SELECT p.stay_id, {at('p.t')} AS t, r.itemid, count(*) AS n, round(avg(v), 4) AS mean FROM pts p JOIN readings r ON r.stay_id = p.stay_id AND r.hour <= p.t AND r.hour > p.t - INTERVAL 24 HOUR WHERE v IS NOT NULL GROUP BY p.stay_id, p.t, r.itemid")
@@ -177,10 +177,10 @@ def exact_hour(s: S, sf: str) -> DF:
 _TP = "WITH st AS (SELECT DISTINCT stay_id, patient_id, hosp_stay_hours AS hh, ed_stay_hours AS eh FROM stay_to_ids_dict WHERE hosp_stay_hours IS NOT NULL), tp AS (SELECT stay_id, hh, eh, unnest(range(0, greatest(floor(hh)::BIGINT, 0) + 2)) AS timepoint FROM st)"
 
 
-@R.add("timepoints_grid", _TP + " SELECT stay_id, timepoint, timepoint - 1 AS hour_idx, CASE WHEN eh > 0 THEN timepoint - 1 - (eh + 2) ELSE timepoint - 1 END::DOUBLE AS hosp_hour FROM tp WHERE timepoint % 24 = 0")
+@R.add("timepoints_grid", _TP + " SELECT stay_id, timepoint, timepoint - 1 AS hour_idx, CASE WHEN eh > 0 THEN timepoint - 1 - (eh + 2) ELSE timepoint - 1 END::DOUBLE AS hosp_hour FROM tp")
 def timepoints_grid(s: S, sf: str) -> DF:
     st = table(s, sf, "stay_to_ids_dict").where("hosp_stay_hours IS NOT NULL").select("stay_id", "patient_id", "hosp_stay_hours", "ed_stay_hours").distinct()
-    p = N.timepoints(st.withColumn("start", F.lit("2150-01-01 00:00:00").cast("timestamp_ntz")), "start", F.col("hosp_stay_hours")).where("timepoint % 24 = 0")
+    p = N.timepoints(st.withColumn("start", F.lit("2150-01-01 00:00:00").cast("timestamp_ntz")), "start", F.col("hosp_stay_hours"))
     return p.select("stay_id", F.col("timepoint").cast("bigint").alias("timepoint"), F.col("hour_idx").cast("bigint").alias("hour_idx"), N.hospital_hour(F.col("hour_idx"), F.col("ed_stay_hours")).cast("double").alias("hosp_hour"))
 
 

@@ -63,13 +63,14 @@ def anti_addendum(s: S, sf: str) -> DF:
     return table(s, sf, "documents").select("doc_id", "hadm_id").join(a, "hadm_id", "left_anti").select("doc_id", F.col("hadm_id").cast("string").alias("hadm_id"))
 
 
-@R.add("self_join_concat", f"WITH d AS (SELECT DISTINCT hadm_id, doc_id, substr(md5(text), 1, 8) AS h, charttime FROM documents WHERE hadm_id IS NOT NULL AND charttime IS NOT NULL), n AS (SELECT *, lead(h) OVER (PARTITION BY hadm_id ORDER BY charttime, doc_id) AS nxt FROM d) SELECT doc_id, h || coalesce(nxt, '') AS joined FROM n WHERE h IS NOT NULL")
+@R.add("self_join_concat", f"WITH d AS (SELECT hadm_id, author_id, lower(trim(source)) AS kind, doc_id, text, charttime, first_value(doc_id) OVER (PARTITION BY hadm_id, author_id, lower(trim(source)) ORDER BY charttime, doc_id) AS parent FROM documents WHERE hadm_id IS NOT NULL AND author_id IS NOT NULL AND charttime IS NOT NULL AND source IS NOT NULL), a AS (SELECT parent, string_agg(text, chr(10) ORDER BY charttime, doc_id) AS more FROM d WHERE doc_id <> parent AND text IS NOT NULL GROUP BY parent), j AS (SELECT d.doc_id, coalesce(text, '') || CASE WHEN more IS NULL THEN '' ELSE chr(10) || more END AS t FROM d LEFT JOIN a ON a.parent = d.doc_id WHERE d.doc_id = d.parent) SELECT doc_id, length(t) AS n, md5(t) AS joined FROM j")
 def self_join_concat(s: S, sf: str) -> DF:
-    d = table(s, sf, "documents").where("hadm_id IS NOT NULL AND charttime IS NOT NULL").select("hadm_id", "doc_id", F.substring(F.md5("text"), 1, 8).alias("h"), "charttime").distinct()
-    from pyspark.sql import Window
-
-    n = d.withColumn("next", F.lead("h").over(Window.partitionBy("hadm_id").orderBy("charttime", "doc_id")))
-    return n.where("h IS NOT NULL").select("doc_id", F.concat("h", F.coalesce("next", F.lit(""))).alias("joined"))
+    """Documents with the later ones of the same admission, author and source (their addenda) appended in order."""
+    d = table(s, sf, "documents").where("hadm_id IS NOT NULL AND author_id IS NOT NULL AND charttime IS NOT NULL AND source IS NOT NULL").select("hadm_id", "author_id", F.lower(F.trim("source")).alias("kind"), "doc_id", "text", "charttime")
+    k = ["hadm_id", "author_id", "kind"]
+    first = d.groupBy(*k).agg(F.min_by("doc_id", F.struct("charttime", "doc_id")).alias("parent_id"))
+    link = d.select(*k, "doc_id").join(first, k).where("doc_id <> parent_id").select("doc_id", "parent_id")
+    return J.append_addenda(d.select("doc_id", "text", "charttime"), link, "doc_id", "parent_id", "text", "charttime").select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("joined"))
 
 
 @R.add("latest_linked", f"SELECT hadm_id, stay_id, {at('intime')} AS intime FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY intime DESC, stay_id DESC) AS rn FROM ed_stays WHERE hadm_id IS NOT NULL AND intime IS NOT NULL) WHERE rn = 1")
@@ -147,7 +148,11 @@ def aligned_full_outer(s: S, sf: str) -> DF:
 
 
 # -- aggregations -----------------------------------------------------------------------------------------------------
-_PIV = (240045, 240210, 240052)
+#: The charted items. Fixed values.
+_PIV = (
+    240045, 240048, 240052, 240054, 240074, 240084, 240092, 240120, 240126, 240168, 240179, 240180, 240188, 240210, 240224, 240226, 240277, 240339, 240442, 240545,
+    240600, 240602, 240615, 240639, 240645, 240650, 240664, 240695, 240739, 240761, 240765, 240791, 240813, 240835, 240900, 240901, 240986,
+)
 
 
 def _pivot_sql(agg: str) -> str:

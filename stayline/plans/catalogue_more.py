@@ -20,10 +20,10 @@ R = Registry()
 DF, S = DataFrame, SparkSession
 
 
-@R.add("timepoint_phase", "WITH d AS (SELECT DISTINCT stay_id, coalesce(ed_stay_hours, 0) AS e FROM stay_to_ids_dict WHERE adm_id IS NOT NULL), h AS (SELECT stay_id, e, unnest(range(-1, 12)) AS hour_idx FROM d) SELECT stay_id, hour_idx, CASE WHEN e > 0 AND hour_idx <= e THEN 'ed' WHEN e > 0 AND hour_idx = e + 1 THEN 'admitted' ELSE 'hospital' END AS phase FROM h")
+@R.add("timepoint_phase", "WITH d AS (SELECT DISTINCT stay_id, coalesce(ed_stay_hours, 0) AS e, greatest(floor(coalesce(hosp_stay_hours, 0))::BIGINT, 0) AS n FROM stay_to_ids_dict WHERE adm_id IS NOT NULL), h AS (SELECT stay_id, e, unnest(range(-1, n + 1)) AS hour_idx FROM d) SELECT stay_id, hour_idx, CASE WHEN e > 0 AND hour_idx <= e THEN 'ed' WHEN e > 0 AND hour_idx = e + 1 THEN 'admitted' ELSE 'hospital' END AS phase FROM h")
 def timepoint_phase(s: S, sf: str) -> DF:
-    d = table(s, sf, "stay_to_ids_dict").where("adm_id IS NOT NULL").select("stay_id", F.coalesce("ed_stay_hours", F.lit(0.0)).alias("e")).distinct()
-    h = d.withColumn("hour_idx", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(11).cast("bigint"))))
+    d = table(s, sf, "stay_to_ids_dict").where("adm_id IS NOT NULL").select("stay_id", F.coalesce("ed_stay_hours", F.lit(0.0)).alias("e"), F.greatest(F.floor(F.coalesce("hosp_stay_hours", F.lit(0.0))), F.lit(0).cast("bigint")).alias("n")).distinct()
+    h = d.withColumn("hour_idx", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("n"))))
     return h.select("stay_id", "hour_idx", N.phase(F.col("hour_idx"), F.col("e")).alias("phase"))
 
 

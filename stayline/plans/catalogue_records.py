@@ -20,12 +20,12 @@ DF, S = DataFrame, SparkSession
 
 
 def points(s: S, sf: str) -> DF:
-    """A time point every 24 hours of the readings of an ICU stay."""
+    """Every hour of an ICU stay from its first to its last reading."""
     b = readings(s, sf).groupBy("stay_id").agg(F.min("hour").alias("a"), F.max("hour").alias("z"))
-    return b.select("stay_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 24 HOURS"))).alias("t"))
+    return b.select("stay_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 HOUR"))).alias("t"))
 
 
-_PTS = f"WITH {READINGS}, pts AS (SELECT stay_id, unnest(generate_series(min(hour), max(hour), INTERVAL 24 HOUR)) AS t FROM readings GROUP BY stay_id)"
+_PTS = f"WITH {READINGS}, pts AS (SELECT stay_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS t FROM readings GROUP BY stay_id)"
 _VALUE = f"CASE WHEN count(v) > 0 THEN {text_sql('round(avg(v), 6)')} ELSE arg_max(value, struct_pack(a := charttime, b := value)) FILTER (value IS NOT NULL) END"
 
 
@@ -62,11 +62,11 @@ def yaml_roundtrip(s: S, sf: str) -> DF:
     return back.select("stay_id", "timepoint", "text", F.size("back").alias("n"), (F.col("back") == F.col("facts")).alias("same"))
 
 
-@R.add("state_integrate", f"WITH {READINGS}, g AS (SELECT stay_id, hour, itemid FROM readings GROUP BY ALL) SELECT stay_id, count(*) AS n FROM (SELECT stay_id FROM readings UNION ALL SELECT stay_id FROM g WHERE itemid = 240045) GROUP BY stay_id")
+@R.add("state_integrate", f"WITH {READINGS}, g AS (SELECT stay_id, hour, itemid FROM readings GROUP BY ALL) SELECT stay_id, count(*) AS n FROM (SELECT stay_id FROM readings UNION ALL SELECT stay_id FROM g) GROUP BY stay_id")
 def state_integrate(s: S, sf: str) -> DF:
     r = readings(s, sf)
     every = r.select("stay_id", (F.col("hour") - F.expr("INTERVAL 1 HOUR")).alias("t")).distinct()
-    c = D.change_log(r.where("itemid = 240045"), every, ["stay_id"], "itemid")
+    c = D.change_log(r, every, ["stay_id"], "itemid")
     return D.integrate(r, c, ["stay_id"], "itemid").groupBy("stay_id").agg(F.count(F.lit(1)).alias("n"))
 
 
