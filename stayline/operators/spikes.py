@@ -50,11 +50,10 @@ class SpikeRules:
 GRID = [round(0.20 + 0.01 * i, 2) for i in range(31)]
 
 
-def _median(*cols: str) -> Column:
-    a = F.array_sort(F.filter(F.array(*[F.col(c) for c in cols]), lambda v: v.isNotNull()))
-    n = F.size(a)
-    mid = (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, mid)
+def _median(a: str, b: str, c: str) -> Column:
+    """Median of the neighbours at hand: the farther ones may be missing. Plain comparisons, so that it stays within generated code."""
+    x, y, z = F.col(a), F.col(b), F.col(c)
+    return F.when(z.isNotNull(), F.greatest(F.least(x, y), F.least(F.greatest(x, y), z))).when(y.isNotNull(), (x + y) / 2).otherwise(x)
 
 
 def _run(k: int) -> Column:
@@ -101,7 +100,7 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     and have no least scatter. An empty input gives no rows; short series get no ``spike``, constant ones no ``stuck``. Implausible readings are
     taken out of the series before the others are judged; ``cutoff`` is null where a score isn't in the tail.
 
-    Residuals are taken against the local level, the median of three readings on either side, which follows drifts
+    Residuals are taken against the local level, the medians of three readings on either side, which follows drifts
     and lasting new levels, and against the usual residual of the kind in that month of the year; a series' scatter comes from the steps between neighbours (stuck ones left out), of which a
     drift or a new level moves few, at a quantile corrected for the two steps at a reading under suspicion, and is drawn towards
     that of its kind where readings are few. The score of a reading is the least distance of it, or of it and a neighbour, from the levels before and
@@ -156,7 +155,8 @@ def flag_readings(df: DataFrame, series: Sequence[str], kind: Sequence[str], ord
     stuck = F.col("long") & ((change >= rules.stuck_change) | ((change >= rules.stuck_least) & (chance <= rules.stuck_expected)))
     blend = F.exp((F.col("steps") * F.log("own") + F.lit(rules.prior) * F.log(F.coalesce("usual", "own"))) / (F.col("steps") + rules.prior))
     every = every.withColumns({"stuck": F.coalesce(stuck, F.lit(False)), "sigma": F.greatest(blend, F.coalesce("res", F.lit(1e-9))), "month": F.month(day)})
-    every = every.withColumn("level", _median(*near)).drop("changes", "moves", "within", "runs", "steps", "own", "usual", "usual_change", "run", "long", "res")
+    before, after = _median("m1", "m2", "m3"), _median("p1", "p2", "p3")
+    every = every.withColumn("level", F.coalesce((before + after) / 2, before, after)).drop("changes", "moves", "within", "runs", "steps", "own", "usual", "usual_change", "run", "long", "res")
 
     # seasons: the kind's usual residual in a month, in units of scatter
     season = every.where("level IS NOT NULL AND sigma IS NOT NULL").groupBy(*kind, "month").agg(F.percentile_approx((F.col("x") - F.col("level")) / F.col("sigma"), 0.5).alias("s"), F.count(F.lit(1)).alias("c"))

@@ -211,8 +211,9 @@ def per_subject_stats(s: S, sf: str) -> DF:
 
 @R.add("dedupe_keep_first", f"SELECT hadm_id::VARCHAR AS hadm_id, doc_id, {at('charttime')} AS charttime FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY charttime NULLS FIRST, doc_id) AS rn FROM documents) WHERE rn = 1 AND text IS NOT NULL")
 def dedupe_keep_first(s: S, sf: str) -> DF:
-    d = table(s, sf, "documents").where("text IS NOT NULL").select("text", "hadm_id", "doc_id", "charttime")
-    return A.keep_first(d, ["text"], ["charttime", "doc_id"]).select(F.col("hadm_id").cast("string").alias("hadm_id"), "doc_id", stamp("charttime").alias("charttime"))
+    # texts are told apart by their SHA-256, so that no text is shuffled
+    d = table(s, sf, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("code"), "hadm_id", "doc_id", "charttime")
+    return A.keep_first(d, ["code"], ["charttime", "doc_id"]).select(F.col("hadm_id").cast("string").alias("hadm_id"), "doc_id", stamp("charttime").alias("charttime"))
 
 
 @R.add("path_counts", "SELECT path, count(*) AS n FROM (SELECT unnest(['chart.' || itemid::VARCHAR, 'chart']) AS path FROM chartevents WHERE itemid IS NOT NULL) GROUP BY path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stayline.operators.common import attach
+from stayline.operators.common import attach, join_dimension
 from stayline.functions.hashing import uniform, uniform_sql
 from stayline.functions.icd import CHAPTERS, icd_chapter, icd_chapter_sql
 from stayline.functions.numeric import min_max, text_of
@@ -247,27 +247,27 @@ def binary_metrics_auc(s: S, sf: str) -> DF:
     return acc.transform(attach, M.auc_by_rank(d, [], "g", "s").select(F.round("auc", 6).alias("auc")))
 
 
-_ALN = f"{READINGS}, g AS (SELECT stay_id, hour, avg(v) AS gt FROM readings WHERE itemid = 240045 AND v IS NOT NULL GROUP BY 1, 2), p AS (SELECT stay_id, hour + INTERVAL 1 HOUR AS hour, gt AS pred FROM g), q AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM readings WHERE itemid = 240045 AND v IS NOT NULL), j AS (SELECT gt, pred, lo, hi FROM (SELECT * FROM g FULL JOIN p USING (stay_id, hour)), q), w AS (SELECT coalesce(gt, lo) AS gt, coalesce(pred, CASE WHEN abs(gt - lo) >= abs(gt - hi) THEN lo ELSE hi END) AS pred, lo, hi FROM j)"
+_ALN = f"{READINGS}, g AS (SELECT stay_id, itemid, hour, avg(v) AS gt FROM readings WHERE v IS NOT NULL GROUP BY 1, 2, 3), p AS (SELECT stay_id, itemid, hour + INTERVAL 1 HOUR AS hour, gt AS pred FROM g), q AS (SELECT itemid, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM readings WHERE v IS NOT NULL GROUP BY itemid), j AS (SELECT itemid, gt, pred, lo, hi FROM (SELECT * FROM g FULL JOIN p USING (stay_id, itemid, hour)) JOIN q USING (itemid)), w AS (SELECT itemid, coalesce(gt, lo) AS gt, coalesce(pred, CASE WHEN abs(gt - lo) >= abs(gt - hi) THEN lo ELSE hi END) AS pred, lo, hi FROM j)"
 
 
 def _aligned(s: S, sf: str) -> DF:
-    r = readings(s, sf).where("itemid = 240045 AND v IS NOT NULL")
-    g = r.groupBy("stay_id", "hour").agg(F.avg("v").alias("gt"))
-    p = g.select("stay_id", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("gt").alias("pred"))
-    q = r.agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
-    return M.worst_case(g.join(p, ["stay_id", "hour"], "full_outer").transform(attach, q), "gt", "pred", "lo", "hi")
+    r = readings(s, sf).where("v IS NOT NULL AND itemid IS NOT NULL")
+    g = r.groupBy("stay_id", "itemid", "hour").agg(F.avg("v").alias("gt"))
+    p = g.select("stay_id", "itemid", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("gt").alias("pred"))
+    q = r.groupBy("itemid").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
+    return M.worst_case(join_dimension(g.join(p, ["stay_id", "itemid", "hour"], "full_outer"), q, ["itemid"]), "gt", "pred", "lo", "hi")
 
 
-@R.add("rmse_mae_worst_case", f"WITH {_ALN} SELECT round(sqrt(avg(pow(gt - pred, 2))), 6) AS rmse, round(avg(abs(gt - pred)), 6) AS mae, count(*) AS n FROM w")
+@R.add("rmse_mae_worst_case", f"WITH {_ALN} SELECT itemid, round(sqrt(avg(pow(gt - pred, 2))), 4) AS rmse, round(avg(abs(gt - pred)), 4) AS mae, count(*) AS n FROM w GROUP BY itemid")
 def rmse_mae_worst_case(s: S, sf: str) -> DF:
     a, b = M.regression(F.col("gt"), F.col("pred"))
-    return _aligned(s, sf).agg(F.round(a, 6).alias("rmse"), F.round(b, 6).alias("mae"), F.count(F.lit(1)).alias("n"))
+    return _aligned(s, sf).groupBy("itemid").agg(F.round(a, 4).alias("rmse"), F.round(b, 4).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add("clip_minmax_normalize", f"WITH {_ALN}, x AS (SELECT (greatest(lo, least(hi, gt)) - lo) / (hi - lo) AS a, (greatest(lo, least(hi, pred)) - lo) / (hi - lo) AS b FROM w) SELECT round(sqrt(avg(pow(a - b, 2))), 6) AS rmse, round(min(a), 6) AS least, round(max(a), 6) AS most FROM x")
+@R.add("clip_minmax_normalize", f"WITH {_ALN}, x AS (SELECT itemid, (greatest(lo, least(hi, gt)) - lo) / (hi - lo) AS a, (greatest(lo, least(hi, pred)) - lo) / (hi - lo) AS b FROM w WHERE hi > lo) SELECT itemid, round(sqrt(avg(pow(a - b, 2))), 6) AS rmse, round(min(a), 6) AS least, round(max(a), 6) AS most FROM x GROUP BY itemid")
 def clip_minmax_normalize(s: S, sf: str) -> DF:
-    x = _aligned(s, sf).select(min_max(F.col("gt"), F.col("lo"), F.col("hi")).alias("a"), min_max(F.col("pred"), F.col("lo"), F.col("hi")).alias("b"))
-    return x.agg(F.round(M.regression(F.col("a"), F.col("b"))[0], 6).alias("rmse"), F.round(F.min("a"), 6).alias("least"), F.round(F.max("a"), 6).alias("most"))
+    x = _aligned(s, sf).where("hi > lo").select("itemid", min_max(F.col("gt"), F.col("lo"), F.col("hi")).alias("a"), min_max(F.col("pred"), F.col("lo"), F.col("hi")).alias("b"))
+    return x.groupBy("itemid").agg(F.round(M.regression(F.col("a"), F.col("b"))[0], 6).alias("rmse"), F.round(F.min("a"), 6).alias("least"), F.round(F.max("a"), 6).alias("most"))
 
 
 @R.add("accuracy_unknown", "WITH e AS (SELECT stay_id, max(disposition) AS d FROM ed_stays GROUP BY stay_id), p AS (SELECT stay_id, CASE WHEN max(ed_stay_hours) > 6 THEN 'ADMITTED' ELSE 'HOME' END AS d FROM ed_stays WHERE ed_stay_hours IS NOT NULL GROUP BY stay_id) SELECT round(count(*) FILTER (coalesce(e.d, 'UNKNOWN') = coalesce(p.d, 'UNKNOWN')) / count(*), 6) AS accuracy, count(*) AS n FROM e FULL JOIN p USING (stay_id)")
