@@ -17,6 +17,8 @@ from stayline.operators.common import require, ship_package
 
 #: Characters of test text whose index is broadcast at once. More test text is searched for in blocks of this size.
 BLOCK_CHARS = 8_000_000
+#: Words of documents whose pairs are looked up at once.
+CHUNK_WORDS = 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -38,22 +40,23 @@ class LeakRules:
         return min(self.seeds, equal - equal // 2 - 1)
 
 
+def _flat(text: str) -> str:
+    """Lower case, compatibility forms unified, if that leaves every character in its place; else as much of it as does."""
+    low = text.lower()
+    flat = unicodedata.normalize("NFKC", low) if not low.isascii() else low
+    if len(flat) != len(text):
+        flat = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return flat
+
+
 def words(text: str) -> tuple[list[str], list[int], list[int]]:
     """Normalised words of a text with the bounds of each in the text as it was: no case, no punctuation, no spacing.
 
     Compatibility forms are unified first if that leaves every character in its place; else the text is taken as it is.
     A word hyphenated over a line end counts as two.
     """
-    low = text.lower()
-    flat = unicodedata.normalize("NFKC", low) if not low.isascii() else low
-    if len(flat) != len(text):
-        flat = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out, a, b = [], [], []
-    for m in _WORD.finditer(flat):
-        out.append(m.group())
-        a.append(m.start())
-        b.append(m.end())
-    return out, a, b
+    found = list(_WORD.finditer(_flat(text)))
+    return [m.group() for m in found], [m.start() for m in found], [m.end() for m in found]
 
 
 #: Word offsets of two pairs of neighbours, the second of which follows at once (``NEXT``), after a third word (``SKIP``) or right behind (``PAIRS``).
@@ -71,6 +74,7 @@ class ItemIndex:
     ids: list[int]
     items: list[np.ndarray]
     vocab: dict[str, int]
+    places: list[dict[int, list[int]]]
     first: np.ndarray
     patterns: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]
     rules: LeakRules = field(default_factory=LeakRules)
@@ -92,29 +96,59 @@ class ItemIndex:
             order = np.argsort(keys, kind="stable")
             uniq, start = np.unique(keys[order], return_index=True)
             patterns[shape] = uniq, np.append(start, len(keys)), post[order].astype(np.int32)
-        return cls(ids, items, vocab, first, patterns, rules)
+        return cls(ids, items, vocab, [_places(x) for x in items], first, patterns, rules)
 
     def search(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
         """Leaks in a text: (item id, first character, end character, first item word, item words, equal words), one per run."""
-        r = self.rules
-        w, a, b = words(text)
-        if not self.items or not w:
-            return []
-        get = self.vocab.get
-        x = np.fromiter((get(t, 0) for t in w), np.int64, len(w))
-        out = []
-        for i, seeds in self.seeds(x).items():
-            for first, last, lo, hi, equal in _runs(self.items[i], x, seeds, r):
-                out.append((self.ids[i], a[lo], b[hi], first, last - first + 1, equal))
-        return out
-
-    def seeds(self, x: np.ndarray) -> dict[int, list[int]]:
-        """By item worth verifying, the words at which a chain of shared pairs has come to ``chain`` of them."""
+        return [x[1:] for x in self.search_all([text])]
+
+    def search_all(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """:func:`search` over many texts, each leak behind the number of its text. Seeds are looked up for ``CHUNK_WORDS`` words at once,
+        whole texts with unknown words between them; only texts with seeds are read for the bounds of their words."""
+        if not self.items:
+            return
+        get, gap = self.vocab.get, [0] * 8
+        flat: list[int] = []
+        first, owner = [], []
+        for n, t in enumerate(texts):
+            w = _WORD.findall(_flat(t))
+            if w:
+                first.append(len(flat))
+                owner.append(n)
+                flat += [get(x, 0) for x in w]
+                flat += gap
+            if len(flat) > CHUNK_WORDS or (n == len(texts) - 1 and flat):
+                yield from self._search(texts, np.array(flat, np.int64), np.array(first), owner)
+                flat, first, owner = [], [], []
+        if flat:
+            yield from self._search(texts, np.array(flat, np.int64), np.array(first), owner)
+
+    def _search(self, texts: list[str], x: np.ndarray, first: np.ndarray, owner: list[int]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        ends = np.append(first[1:], len(x)) - 8
+        for k, items in self.candidates(x, first).items():
+            doc = x[first[k] : ends[k]]
+            _, a, b = words(texts[owner[k]])
+            for i, seeds in items.items():
+                for start, last, lo, hi, equal in _runs(self.places[i], doc, seeds, self.rules):
+                    yield owner[k], self.ids[i], a[lo], b[hi], start, last - start + 1, equal
+
+    def candidates(self, x: np.ndarray, first: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """By text and item worth verifying, the seeds (item word, word of the text); without a seed, all of both is to be looked at."""
+        if self.rules.chain < 2:  # runs so short that they needn't hold two pairs
+            return {k: {i: [] for i in range(len(self.items))} for k in range(len(first))}
+        by: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        i, p, j = self.seeds(x)
+        text = np.searchsorted(first, j, side="right") - 1
+        for k, i_, p_, j_ in zip(text.tolist(), i.tolist(), p.tolist(), (j - first[text]).tolist()):
+            by.setdefault(k, {}).setdefault(i_, []).append((p_, j_))
+        return by
+
+    def seeds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, item word, word) wherever a chain of shared pairs has come to ``chain`` of them."""
         need = self.rules.chain
-        if need < 2:  # runs so short that they needn't hold two pairs
-            return {i: list(range(len(x))) for i in range(len(self.items))}
+        none = np.zeros(0, np.int64)
         width = len(x) + 8
-        sources, targets = [], []
+        sources, targets = [none], [none]
         for doc, item in MOVES:
             keys, start, post = self.patterns[item]
             g = _keys(x, doc)
@@ -123,30 +157,22 @@ class ItemIndex:
             at = np.searchsorted(keys, g)
             at[at == len(keys)] = 0
             j = np.flatnonzero(keys[at] == g)
-            if not len(j):
-                continue
             at = at[j]
             n = start[at + 1] - start[at]
             j = np.repeat(j, n)
             p = post[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(len(j))].astype(np.int64)
             sources.append(p * width + j)
             targets.append((p + STEP[item]) * width + j + STEP[doc])
-        if sum(map(len, sources)) < need - 1:
-            return {}
         src, dst = np.concatenate(sources), np.concatenate(targets)
         ends = dst
         for _ in range(need - 2):
             go = np.isin(src, ends)
             src, dst = src[go], dst[go]
             ends = dst
-            if not len(ends):
-                return {}
         ends = np.unique(ends)
-        owner = np.searchsorted(self.first, ends // width, side="right") - 1
-        by: dict[int, list[int]] = {}
-        for i, j in zip(owner.tolist(), (ends % width).tolist()):
-            by.setdefault(i, []).append(j)
-        return by
+        p, j = ends // width, ends % width
+        owner = np.searchsorted(self.first, p, side="right") - 1
+        return owner, p - self.first[owner], j
 
 
 def _keys(x: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
@@ -161,28 +187,39 @@ def _keys(x: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _runs(item: np.ndarray, doc: np.ndarray, seeds: list[int], r: LeakRules) -> list[tuple[int, int, int, int, int]]:
+def _places(item: np.ndarray) -> dict[int, list[int]]:
+    """Where each word stands in an item; under -1 how many words it has."""
+    pos: dict[int, list[int]] = {-1: [len(item)]}
+    for p, v in enumerate(item.tolist()):
+        pos.setdefault(v, []).append(p)
+    return pos
+
+
+def _runs(pos: dict[int, list[int]], doc: np.ndarray, seeds: list[tuple[int, int]], r: LeakRules) -> list[tuple[int, int, int, int, int]]:
     """Runs of at least ``min_words`` item words in the document around the seeds: (first, last item word, first, last word, equal).
 
     Over the equal word pairs in reach of a seed, the longest chain ends at each pair, where the next pair follows at once or
-    after one word changed (both skip one), added (the document skips one) or dropped (the item skips one).
+    after one word changed (both skip one), added (the document skips one) or dropped (the item skips one). Within reach of a seed (item
+    word, word) a run leaves its diagonal by one for every third word at most. Without seeds every pair is looked at.
     """
-    pos: dict[int, list[int]] = {}
-    for p, v in enumerate(item.tolist()):
-        pos.setdefault(v, []).append(p)
-    lo, hi = len(doc), 0
-    reach = np.zeros(len(doc) + 1, bool)
-    before = max(r.min_words, 3 * r.chain + 2)  # a chain's first pair stands at most three words a seed before
-    for j in seeds:
-        a, b = max(0, j - before), min(len(doc), j + 2 + r.min_words)
-        reach[a:b] = True
-        lo, hi = min(lo, a), max(hi, b)
+    size = pos[-1][0]
+    before, after = max(r.min_words, 3 * r.chain + 2), 2 + r.min_words  # a chain's first pair stands at most three words a seed before
+    drift = max(before, after) // 3 + 2
+    low, high = np.full(len(doc) + 1, size), np.full(len(doc) + 1, -1)
+    for q, j in seeds:
+        a, b = max(0, j - before), min(len(doc), j + after)
+        line = np.arange(a, b) + (q - j)
+        np.minimum(low[a:b], line - drift, out=low[a:b])
+        np.maximum(high[a:b], line + drift, out=high[a:b])
+    if not seeds:
+        low[:], high[:] = 0, size
+    reached = np.flatnonzero(high[: len(doc)] >= 0)
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}  # pair -> (equal words, edits since a pair, first item word, first word)
     ends: dict[tuple[int, int], tuple[int, int, int]] = {}  # start -> (equal, last item word, last word)
-    for j in range(lo, hi):
-        if not reach[j]:
-            continue
-        for p in pos.get(int(doc[j]), ()):
+    for j, v, lowest, highest in zip(reached.tolist(), doc[reached].tolist(), low[reached].tolist(), high[reached].tolist()):
+        for p in pos.get(v, ()):
+            if not lowest <= p <= highest:
+                continue
             cand = best.get((p - 1, j - 1))
             found = (cand[0] + 1, 0, cand[2], cand[3]) if cand else None
             for q in ((p - 2, j - 2), (p - 1, j - 2), (p - 2, j - 1)):
@@ -235,7 +272,8 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             index = shared.value
             for pdf in batches:
-                found = [(d, *s) for d, t in zip(pdf["d"], pdf["t"]) for s in index.search(t)]
+                ids = pdf["d"].tolist()
+                found = [(ids[k], *s) for k, *s in index.search_all(pdf["t"].tolist())]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_char", "end_char", "item_word", "n_words", "n_equal"])
 
         part = slim.mapInPandas(scan, schema)

@@ -106,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: s
 
     Documents of no target source (a null source too) and documents without tokens are not used. ``targets`` has ``source,
     target_share, max_repeats``, at most ``MAX_SOURCES`` rows; of repeated sources shares add up and the least cap holds. Repeated
-    documents count each. Without any document shares are null. Tokens are counted once, over whole texts. Per source only sums reach the driver. The fractional
+    documents count each. Without any document shares are null. Tokens are counted once, over whole texts. One sum per source reaches the driver. The fractional
     repetition takes documents by a seeded hash: whole hash buckets as far as the wanted tokens go, and in the one bucket
     that passes them documents in hash order; no source is sorted or gathered.
     """
@@ -122,19 +122,20 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: s
     counted = slim.join(F.broadcast(names), "source", "left_semi").select("doc_id", "source", n_tokens(F.col("t"), folder).alias("n_tokens"))
     at = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     counted = cut_lineage(counted.withColumn("u", at).withColumn("bucket", F.pmod("u", F.lit(BUCKETS)).cast("int")).where("n_tokens > 0"))
-    per = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("by")).collect()
-    plan, edges = {s.source: s for s in water_fill(want, {r.source: int(r.n) for r in per}, total)}, []
-    for r in per:
-        s = plan[r.source]
-        whole = int(s.epochs + 1e-9)
-        rest, edge = max(0.0, (s.epochs - whole) * s.size), 0
-        for b in r.by:
-            if b.n > rest:
-                break
-            rest -= b.n
-            edge = b.bucket + 1
-        edges.append((r.source, whole, edge, float(rest)))
-    cut = spark.createDataFrame(edges, "source string, whole int, edge int, rest double")
+    per = cut_lineage(counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")))
+    sizes = {r.source: int(r.n) for r in per.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    plan = {s.source: s for s in water_fill(want, sizes, total)}
+    rows = [(s.source, int(s.epochs + 1e-9), float(max(0.0, (s.epochs - int(s.epochs + 1e-9)) * s.size))) for s in plan.values() if s.size]
+    goal_ = spark.createDataFrame(rows, "source string, whole int, wanted double")
+    # the bucket that passes what is wanted of a source, and what is left for it: found where the buckets' sums are
+    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = per.join(F.broadcast(goal_), "source").withColumn("upto", F.sum("n").over(run))
+    full = F.col("upto") <= F.col("wanted")
+    cut = upto.groupBy("source", "whole", "wanted").agg(F.max(F.when(full, F.col("bucket"))).alias("last"), F.max(F.when(full, F.col("upto"))).alias("had"))
+    # empty buckets lie between full ones: the edge is the first bucket beyond the last full one that has tokens
+    cut = cut.select("source", "whole", F.coalesce(F.col("last") + 1, F.lit(0)).alias("edge"), (F.col("wanted") - F.coalesce("had", F.lit(0))).alias("rest"))
+    nxt = per.join(F.broadcast(cut), "source").where("bucket >= edge").groupBy("source").agg(F.min("bucket").alias("__e"))
+    cut = cut_lineage(cut.join(nxt, "source", "left").withColumn("edge", F.coalesce("__e", "edge")).drop("__e"))
     placed = counted.join(F.broadcast(cut), "source")
     inside = placed.where("bucket <> edge").withColumn("extra", (F.col("bucket") < F.col("edge")).cast("int"))
     w = Window.partitionBy("source").orderBy("u", "doc_id", "n_tokens")

@@ -62,10 +62,10 @@ def test_brute_force_on_random_texts():
 
 
 class Whole(ItemIndex):
-    """Verification of every item over the whole text, without a prefilter."""
+    """Without a prefilter: every pair of words is looked at."""
 
-    def seeds(self, x):
-        return {i: list(range(len(x))) for i in range(len(self.items))}
+    def candidates(self, x, first):
+        return {k: {i: [] for i in range(len(self.items))} for k in range(len(first))}
 
 
 def test_three_words_changed_of_25():
@@ -94,6 +94,22 @@ def test_prefilter_loses_no_run_with_isolated_edits():
     assert runs > 300
 
 
+@pytest.mark.parametrize("every", [4, 5, 7])
+def test_prefilter_loses_no_run_with_a_regular_share_of_edits(every):
+    """Every fourth, fifth, seventh word changed, over runs of 30 to 60 words, and several texts searched at once."""
+    r = random.Random(every)
+    texts, rows = [], [(k, " ".join(f"v{r.randrange(90)}" for _ in range(100))) for k in range(6)]
+    for _ in range(40):
+        _, item = rows[r.randrange(6)]
+        at, n = r.randrange(40), r.randrange(30, 60)
+        run = [("new" if i % every == every - 1 else w) for i, w in enumerate(item.split()[at : at + n])]
+        texts.append(" ".join([f"v{r.randrange(90)}" for _ in range(r.randrange(80))] + run + [f"v{r.randrange(90)}" for _ in range(50)]))
+    texts[5], texts[9] = "", "one"
+    got, want = (sorted(c.build(rows, LeakRules()).search_all(texts)) for c in (ItemIndex, Whole))
+    assert got == want and len({x[0] for x in got}) >= 36
+    assert got == sorted((k, *x) for k, t in enumerate(texts) for x in ItemIndex.build(rows, LeakRules()).search(t))
+
+
 def test_words_keep_their_places():
     t = "Ａ straße İx—don't stop ___ ﬁn"
     w, a, b = words(t)
