@@ -21,6 +21,25 @@ def sections(text: Column) -> Column:
     return F.transform(body, lambda s: F.struct(F.lower(F.split_part(s, F.lit("\u0002"), F.lit(1))).alias("header"), F.trim(F.regexp_replace(F.split_part(s, F.lit("\u0002"), F.lit(2)), r"^\s+|\s+$", "")).alias("body")))
 
 
+#: What the texts of the kidney filtration result are cleared of, in this order. Fixed values.
+GFR_LABEL = "Estimated GFR (MDRD equation)"
+GFR_UNIT = "mL/min/1.73 m2, <60 = Chronic Kidney Disease, <15 = Kidney Failure"
+GFR_PHRASES = [
+    ("Using this patient's age, gender, and ", ""),
+    (" value of", ":"),
+    ("Estimated ", ""),
+    ("if African-American (mL/min/1.73 m2)", "else"),
+    ("For comparison, ", ""),
+    (" (mL/min/1.73 m2)", ""),
+    ("GFR<60 = Chronic Kidney Disease, GFR<15 = Kidney Failure.", ""),
+]
+
+
+def one_of_each(text: Column) -> Column:
+    """Values packed by commas, each once, in order of first appearance."""
+    return F.array_join(F.array_distinct(F.transform(F.split(text, ","), lambda x: F.trim(x))), ", ")
+
+
 def impression(text: Column) -> Column:
     """The last summary section of a report, else its last findings, else all of it, without outer blanks; null for null."""
     s = sections(text)

@@ -67,26 +67,31 @@ def weighted_with_replacement(df: DataFrame, key: str, weight: str, k: int, seed
     return at.join(d, "__b").where((F.col("__p") >= F.col("__lo")) & (F.col("__p") < F.col("__hi"))).select("draw", key)
 
 
-def balance(df: DataFrame, label: str, keys: Sequence[str], seed: str, cap: int | None = None) -> DataFrame:
-    """As many rows of each label as the rarest has (at most ``cap``), chosen by hash.
+def take(df: DataFrame, group: str, keys: Sequence[str], seed: str, want: DataFrame) -> DataFrame:
+    """Of each group as many rows as ``want`` (``group, __k``) says, chosen by hash; all of a group that has fewer, none of one that isn't named.
 
-    A row's rank within its label is settled by a threshold over hash buckets, then exactly in the one bucket that the
-    threshold falls into, so that a label with most of the rows isn't sorted in one task.
+    A row's rank within its group is settled by a threshold over hash buckets, then exactly in the one bucket that the
+    threshold falls into, so that a group with most of the rows isn't sorted in one task.
     """
-    d = df.where(F.col(label).isNotNull()).withColumn("__u", draw(seed, *keys)).withColumn("__b", F.floor(F.col("__u") * 4096).cast("int"))
-    per = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    totals = per.groupBy(label).agg(F.sum("__n").alias("t"))
-    least = totals.agg(F.min("t").alias("__k"))
-    least = least.withColumn("__k", F.least("__k", F.lit(cap))) if cap else least
-    run = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(label).orderBy("__b")) - F.col("__n")).transform(attach, least)
-    edge = run.where(F.col("__before") < F.col("__k")).withColumn("__room", F.col("__k") - F.col("__before")).select(label, "__b", "__n", "__room")
-    kept = d.join(edge, [label, "__b"])
+    d = df.where(F.col(group).isNotNull()).withColumn("__u", draw(seed, *keys)).withColumn("__b", F.floor(F.col("__u") * 4096).cast("int"))
+    per = d.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    run = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__b")) - F.col("__n")).join(F.broadcast(want), group)
+    edge = run.where(F.col("__before") < F.col("__k")).withColumn("__room", F.col("__k") - F.col("__before")).select(group, "__b", "__n", "__room")
+    kept = d.join(edge, [group, "__b"])
     whole = kept.where("__n <= __room")
-    w = Window.partitionBy(label).orderBy("__u", *keys)
+    w = Window.partitionBy(group).orderBy("__u", *keys)
     part = kept.where("__n > __room").withColumn("__r", F.row_number().over(w)).where("__r <= __room").drop("__r")
     return whole.unionByName(part).drop("__u", "__b", "__n", "__room")
 
 
+def balance(df: DataFrame, label: str, keys: Sequence[str], seed: str, cap: int | None = None) -> DataFrame:
+    """As many rows of each label as the rarest has (at most ``cap``), chosen by hash (see :func:`take`)."""
+    totals = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__t"))
+    least = totals.agg(F.min("__t").alias("__k"))
+    least = least.withColumn("__k", F.least("__k", F.lit(cap))) if cap else least
+    return take(df, label, keys, seed, totals.select(label).transform(attach, least))
+
+
 def inverse_prevalence(labels: DataFrame, key: str, label: str) -> DataFrame:
     """Weight per record: the mean of ln(1 + neg / (pos + 1e-5)) over its labels."""
     total = labels.agg(F.countDistinct(key).alias("__t"))
