@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import uniform
-from stayline.operators.common import attach, join_dimension
+from stayline.operators.common import attach, cut_lineage, join_dimension
 
 
 def draw(seed: str, *keys: str) -> Column:
@@ -57,7 +57,7 @@ def weighted_with_replacement(df: DataFrame, key: str, weight: str, k: int, seed
     bounded table), then a row in the bucket by its cumulative weight there, so no running sum spans the whole table."""
     d = df.where(F.col(weight) > 0).select(key, F.col(weight).alias("__w")).withColumn("__b", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
     w = Window.partitionBy("__b").orderBy(key)
-    d = d.withColumn("__hi", F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__lo", F.col("__hi") - F.col("__w"))
+    d = cut_lineage(d.withColumn("__hi", F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__lo", F.col("__hi") - F.col("__w")))
     tot = d.groupBy("__b").agg(F.sum("__w").alias("__t"))
     acc = tot.withColumn("__end", F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)))
     bounds = acc.agg(F.array_sort(F.collect_list(F.struct("__end", "__b", "__t"))).alias("__bounds"), F.max("__end").alias("__all"))  # at most ``buckets`` entries

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.operators import sampling as X
+from stayline.operators.common import cut_lineage
 from stayline.operators.visits import ADM, ED, ICU
 
 #: Sections by name: the part of the visit, the section and the category that belong to it. Fixed values.
@@ -99,7 +100,7 @@ def draw_sections(index: DataFrame, k: int, seed: str, extra: float = 0.1) -> Da
     full = row.where("state <> 'empty'")
     n = full.groupBy("section_name").agg(F.count(F.lit(1)).alias("__n"))
     weighted = full.join(F.broadcast(n), "section_name").withColumn("__w", F.log("__n") / F.col("__n"))
-    drawn = X.weighted_with_replacement(weighted, "__key", "__w", k, seed).join(row, "__key").select("section_name", "visit", "sub", "timepoint", "draw")
+    drawn = cut_lineage(X.weighted_with_replacement(weighted, "__key", "__w", k, seed).join(row, "__key").select("section_name", "visit", "sub", "timepoint", "draw"))
     want = drawn.groupBy("section_name").agg(F.floor(F.count(F.lit(1)) * extra).alias("__k"))
     more = X.take(row.where("state = 'empty'"), "section_name", ["__key"], f"{seed}|empty", want).select("section_name", "visit", "sub", "timepoint", F.lit(None).cast("bigint").alias("draw"))
     return drawn.unionByName(more)

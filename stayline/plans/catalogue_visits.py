@@ -12,6 +12,7 @@ from stayline.operators import evaluation as Z
 from stayline.operators import sections as G
 from stayline.operators import tasks as K
 from stayline.operators import visits as V
+from stayline.operators.common import cut_lineage
 from stayline.operators.simulate import simulate_visits
 from stayline.plans.registry import Registry, table
 from stayline.plans.sql import at, hour, num
@@ -48,7 +49,7 @@ def icu_core(s: S, sf: str) -> DF:
 
 def points(s: S, sf: str) -> DF:
     v = core(s, sf).select("visit", F.col("admittime").alias("adm_in"), F.col("dischtime").alias("adm_out")).join(ed_core(s, sf).select("visit", F.col("intime").alias("ed_in"), F.col("outtime").alias("ed_out")), "visit", "full_outer")
-    return V.visit_points(v)
+    return cut_lineage(C.with_next(V.visit_points(v)))  # read by every part of a description or a change log
 
 
 def history(s: S, sf: str) -> DF:
@@ -80,7 +81,7 @@ _CHART = f"""ch AS (SELECT visit, sub, itemid::VARCHAR AS label, {hour('charttim
 
 @R.add("visit_timepoints", f"WITH {_POINTS} SELECT visit, timepoint, hour_idx, phase, {at('t')} AS t FROM pt")
 def visit_timepoints(s: S, sf: str) -> DF:
-    return points(s, sf).withColumn("t", stamp("t"))
+    return points(s, sf).select("visit", "timepoint", "hour_idx", "phase", stamp("t").alias("t"))
 
 
 def _counted(h: DF) -> DF:
@@ -169,7 +170,7 @@ def codes(s: S, sf: str) -> DF:
 def changes(s: S, sf: str) -> DF:
     icu = icu_core(s, sf).select("visit", "sub", hour_round("intime").alias("intime"), hour_round("outtime").alias("outtime"))
     ends = C.end_cases(ed_core(s, sf).select("visit", "disposition", "outtime"), core(s, sf).select("visit", "discharge_location", "dischtime"))
-    return C.change_facts(history(s, sf), C.with_next(points(s, sf)), icu, ends, codes(s, sf))
+    return cut_lineage(C.change_facts(history(s, sf), points(s, sf), cut_lineage(icu), ends, codes(s, sf)))
 
 
 _CHG = f"""{_POINTS}, {_ICU}, {_LOC}, {_LABS}, {_CHART},
@@ -213,7 +214,7 @@ def change_text_roundtrip(s: S, sf: str) -> DF:
 def fold_changes(s: S, sf: str) -> DF:
     """Readings of visits with those that their change logs bring appended."""
     h = history(s, sf)
-    p = C.with_next(points(s, sf))
+    p = points(s, sf)
     state, _ = C.fold(h.where("kind = 'value' AND section <> 'Outpatient Measurements'"), C.typed_facts(changes(s, sf)).where("kind IN ('value', 'end')"), p)
     return state.groupBy("visit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -221,7 +222,7 @@ def fold_changes(s: S, sf: str) -> DF:
 # -- sections, weights, tasks -----------------------------------------------------------------------------------------------
 def _index(s: S, sf: str) -> DF:
     d = _described(s, sf).unionByName(V.describe_visit(V.build_ed(ed_core(s, sf), {}), points(s, sf)))
-    return G.section_index(d, changes(s, sf), G.dimension(s))
+    return cut_lineage(G.section_index(d, changes(s, sf), G.dimension(s)))
 
 
 _WITH_ICU = f"{_DESC}, {_ICU}, {_CHART}, {_CHG[_CHG.index('nx AS ('):]}"
@@ -264,7 +265,7 @@ def _ed_cohort(s: S, sf: str) -> DF:
     ends = C.end_cases(ed_core(s, sf).select("visit", "disposition", "outtime"), core(s, sf).select("visit", "discharge_location", "dischtime")).where(F.col("part") == V.ED)
     p = points(s, sf)
     w = K.event_weights(C.flat_paths(changes(s, sf)), p).select("visit", "timepoint", F.round("raw", 5).alias("raw"))
-    return p.where("phase = 'ed'").select("visit", "timepoint").join(w, ["visit", "timepoint"]).join(ends, "visit").select("visit", "timepoint", "raw", (F.col("value") == "ADMITTED").cast("int").alias("label"))
+    return cut_lineage(p.where("phase = 'ed'").select("visit", "timepoint").join(w, ["visit", "timepoint"]).join(ends, "visit").select("visit", "timepoint", "raw", (F.col("value") == "ADMITTED").cast("int").alias("label")))
 
 
 @R.add("resample_ed_admission", f"""WITH {_EDCO}, dr AS (SELECT * FROM ec WHERE round(raw, 5) > 0 ORDER BY -ln({_U('ed', 'visit', 'timepoint')}) / round(raw, 5), visit, timepoint LIMIT 500), k AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM dr GROUP BY label)),
@@ -276,7 +277,7 @@ def resample_ed_admission(s: S, sf: str) -> DF:
 @R.add("task_rows_hospital_icd", f"""WITH {_WITH_ICU} SELECT o.visit, o.timepoint, cd.value AS label, (SELECT count(*) FROM de WHERE de.visit = o.visit AND de.timepoint = o.timepoint) AS facts FROM ov o JOIN cd ON cd.visit = o.visit WHERE part = 'Hospital Stay'""")
 def task_rows_hospital_icd(s: S, sf: str) -> DF:
     """The last hour of each hospital stay with its diagnosis categories and what was known."""
-    p = C.with_next(points(s, sf)).where("last AND NOT last_ed")
+    p = points(s, sf).where("last AND NOT last_ed")
     cohort = p.join(codes(s, sf).select("visit", F.col("value").alias("label")), "visit").select("visit", "timepoint", "label")
     return K.task_rows(cohort, _described(s, sf)).select("visit", "timepoint", "label", F.size("desc").cast("bigint").alias("facts"))
 
