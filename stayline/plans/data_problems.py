@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
 from stayline.operators.common import attach, cut_lineage
 from stayline.operators.hot_deck import Feature, Target, hot_deck, missing_codes, number, usable
-from stayline.operators.intervals import interval_gaps, merge_intervals
+from stayline.operators.intervals import merge_intervals
 from stayline.operators.packed_values import infer_delimiters, split_packed
 from stayline.operators.references import count_by_period, late_references, orphan_references
 from stayline.operators.regular_grid import regular_grid
@@ -242,11 +242,11 @@ _AT = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 @R.add("p5_found", PERIODS_SQL + f"SELECT tbl, hadm_id, 'merged' AS kind, {_AT('s')} AS start_at, {_AT('e')} AS end_at FROM n WHERE over = 1 UNION ALL SELECT tbl, hadm_id, 'gap', {_AT('e')}, {_AT('nxt')} FROM n WHERE nxt IS NOT NULL")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    p = periods(spark, sf)
-    bounds = [stamp("start_at").alias("start_at"), stamp("end_at").alias("end_at")]
-    merged = p.where("overlaps").select("tbl", "hadm_id", F.lit("merged").alias("kind"), *bounds)
-    gaps = interval_gaps(p, ["tbl", "hadm_id"]).select("tbl", "hadm_id", F.lit("gap").alias("kind"), *bounds)
-    return merged.unionByName(gaps)
+    # each period gives itself, if rows overlap in it, and the gap behind it, if there is one
+    row = lambda on, kind, a, z: F.when(on, F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(z).alias("z")))
+    both = F.array(row(F.col("overlaps"), "merged", "start_at", "end_at"), row(F.col("next_start").isNotNull(), "gap", "end_at", "next_start"))
+    each = periods(spark, sf).select("tbl", "hadm_id", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"))
+    return each.select("tbl", "hadm_id", "x.kind", stamp("x.a").alias("start_at"), stamp("x.z").alias("end_at"))
 
 
 @R.add("p5_periods", PERIODS_SQL + f"SELECT tbl, hadm_id, {_AT('s')} AS start_at, {_AT('e')} AS end_at, n AS n_rows, over = 1 AS overlaps FROM n")

@@ -31,9 +31,9 @@ def brute(data):
     return merged, gaps
 
 
-def run(spark, data, shard_days=1):
+def run(spark, data, shard_rows=1):
     d = frame(spark, [(*r, "x", 1) for r in data])
-    p = merge_intervals(d, ["k"], "a", "b", "id", shard_days)
+    p = merge_intervals(d, ["k"], "a", "b", "id", shard_rows)
     hour = lambda c: (F.unix_seconds(F.col(c).cast("timestamp")) / 3600).cast("int")
     m = {tuple(r) for r in p.select("k", hour("start_at"), hour("end_at"), "overlaps").collect()}
     g = {tuple(r) for r in interval_gaps(p, ["k"]).select("k", hour("start_at"), hour("end_at")).collect()}
