@@ -60,6 +60,16 @@ def strip_unit(text: Column) -> Column:
     return F.when(text.rlike(r"\d+mm\b"), mm).otherwise(F.regexp_replace(text, r"(\d+)cm\b", "$1"))
 
 
+def unit_of(text: Column, unit: Column) -> Column:
+    """The unit that a text is in: millimetres if a number in it says so, else centimetres, else the given one."""
+    return F.when(text.rlike(r"\d+mm\b"), "mm").when(text.rlike(r"\d+cm\b"), "cm").otherwise(unit)
+
+
+def is_map(text: Column) -> Column:
+    """Whether a text is a written-out map rather than a value; null is none."""
+    return F.coalesce(text.rlike(r"^\s*\{.*\}\s*$"), F.lit(False))
+
+
 def replace_chain(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Literal replacements, one after another."""
     for a, b in pairs:

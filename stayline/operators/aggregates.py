@@ -36,6 +36,14 @@ def pivot_points(df: DataFrame, keys: Sequence[str], label: str, labels: Sequenc
     return per.groupBy(*keys).agg(*agg).dropna(how="all", subset=[f"{prefix}{x}" for x in labels])
 
 
+def pivot_with_info(df: DataFrame, keys: Sequence[str], label: str, labels: Sequence, value: Column, info: dict[str, Column], prefix: str = "") -> DataFrame:
+    """:func:`pivot_points` with further columns per label (``info``: suffix to aggregate), all from one grouping instead of a join of pivots."""
+    per = df.dropna(subset=[*keys, label]).groupBy(*keys, label).agg(value.alias("__v"), *[c.alias(f"__i_{n}") for n, c in info.items()])
+    cols = [F.max(F.when(F.col(label) == x, F.col("__v"))).alias(f"{prefix}{x}") for x in labels]
+    more = [F.max(F.when(F.col(label) == x, F.col(f"__i_{n}"))).alias(f"{prefix}{x}_{n}") for x in labels for n in info]
+    return per.groupBy(*keys).agg(*cols, *more).dropna(how="all", subset=[f"{prefix}{x}" for x in labels])
+
+
 def ordered_text(value: Column, order: Column, sep: str = "; ") -> Column:
     """Texts joined in order; ties by the text."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"]), sep)

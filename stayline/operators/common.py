@@ -57,11 +57,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a table in the shared folder, and what removes it again once nothing reads it any more (rounds of an iteration)."""
+def written(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table in the shared folder (in folders ``by`` columns), and what removes it again once nothing reads it any more (rounds of an iteration)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return spark.read.schema(df.schema).parquet(path), lambda: at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayline.operators import sampling as X
 from stayline.operators.common import attach, join_dimension
-from stayline.operators.visits import ADM, ED, ICU
+from stayline.operators.visits import ADM, ED, ICU, describe_visit, los_facts
 
 #: The ordinary outcome against which the others of its kind are weighed. Fixed values.
 USUAL = {
@@ -86,6 +86,23 @@ def later(points: DataFrame, ends: DataFrame) -> DataFrame:
     return p.select("visit", "timepoint", F.explode(told).alias("f")).select("visit", "timepoint", "f.path", "f.value")
 
 
+def visit_samples(history: DataFrame, points: DataFrame, changes: DataFrame, ends: DataFrame | None = None, mode: str = "24h", level: int = 0, held_out: bool = False, seed: str = "sample") -> DataFrame:
+    """Samples of the points asked for: ``visit, timepoint, desc, change``, facts in path order.
+
+    ``mode``: ``24h`` describes the last 24 hours, ``all`` the whole history, ``los`` only the hours left. The hours left (``ends`` as in
+    :func:`stayline.operators.visits.los_facts`) are blurred or dropped by hash, and never told where ``held_out``.
+    """
+    if mode not in ("24h", "all", "los"):
+        raise ValueError(f"unknown mode: {mode}")
+    told = describe_visit(history, points, 24 if mode == "24h" else None, level) if mode != "los" else None
+    if ends is not None and not held_out:
+        left = los_facts(points, ends, "noise", seed)
+        told = left if told is None else told.unionByName(left)
+    if told is None:
+        told = changes.limit(0)
+    return task_rows(points.select("visit", "timepoint").withColumn("label", F.lit(None).cast("string")), told, changes).select("visit", "timepoint", "desc", F.col("future").alias("change"))
+
+
 def task_rows(cohort: DataFrame, described: DataFrame, future: DataFrame | None = None, label: str = "label") -> DataFrame:
     """One row per cohort point: ``visit, timepoint, label, desc`` (facts in path order) and ``future`` facts. Points without facts have empty lists."""
     key = ["visit", "timepoint"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.functions.codes import in_words
 from stayline.functions.icd import icd_chapter, icd_chapter_sql, ndc_key, ndc_product_key, tagged_parts
 from stayline.functions.numeric import round_half_even, to_number
 from stayline.functions.text import FINDING_HEADERS, SUMMARY_HEADERS, impression, last_match, replace_chain, strip_unit
 from stayline.functions.time import hour_ceil, hour_floor, hour_round, hours_between, stamp
+from stayline.operators.records import visible
 from stayline.plans.registry import Registry, table
 from stayline.plans.sql import at, hour, num
 
@@ -98,11 +100,13 @@ def unit_strip_regex(s: S, sf: str) -> DF:
     return li.select("l_orderkey", "l_linenumber", strip_unit(raw).alias("v"))
 
 
-@R.add("code_to_word_map", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END AS known, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE l_returnflag END AS itself FROM lineitem")
+_WAYS = {"AMBULANCE": "by ambulance", "WALK IN": "on foot", "HELICOPTER": "by air"}
+
+
+@R.add("code_to_word_map", "SELECT DISTINCT stay_id, " + ", ".join(f"CASE arrival_transport {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _WAYS.items())} {e} END AS {n}" for e, n in (("", "known"), ("ELSE arrival_transport", "itself"))) + ", CASE gender WHEN 'F' THEN 'female' WHEN 'M' THEN 'male' END AS sex FROM ed_stays")
 def code_to_word_map(s: S, sf: str) -> DF:
-    words = F.create_map(F.lit("A"), F.lit("accepted"), F.lit("R"), F.lit("returned"))
-    known = F.try_element_at(words, F.col("l_returnflag"))
-    return table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", known.alias("known"), F.coalesce(known, "l_returnflag").alias("itself"))
+    way = F.col("arrival_transport")
+    return table(s, sf, "ed_stays").select("stay_id", in_words(way, _WAYS).alias("known"), in_words(way, _WAYS, keep=True).alias("itself"), in_words(F.col("gender"), {"F": "female", "M": "male"}).alias("sex")).distinct()
 
 
 @R.add("numeric_coercion", f"SELECT itemid, count({num('value')}) AS numeric, count(*) FILTER (value IS NOT NULL AND {num('value')} IS NULL) AS other, count(*) FILTER (value IS NULL) AS absent FROM chartevents GROUP BY itemid")
@@ -120,9 +124,8 @@ def json_props_extract(s: S, sf: str) -> DF:
 def mask_after_time(s: S, sf: str) -> DF:
     """What is known at a moment: of stays begun by then, end facts only if the end has come (no leak of the future)."""
     now = F.lit("2150-01-01 00:00:00").cast("timestamp_ntz")
-    over = F.col("dischtime") <= now
-    a = table(s, sf, "admissions").where(F.col("admittime") <= now)
-    return a.select("hadm_id", F.when(over, F.col("discharge_location")).alias("discharge_location"), F.when(over, F.date_format("dischtime", "yyyy-MM-dd")).alias("discharged"))
+    a = visible(table(s, sf, "admissions").where(F.col("admittime") <= now), now, F.col("dischtime"), ["discharge_location", "dischtime"])
+    return a.select("hadm_id", "discharge_location", F.date_format("dischtime", "yyyy-MM-dd").alias("discharged"))
 
 
 @R.add("icd_category", f"SELECT hadm_id, seq_num, {icd_chapter_sql('trim(icd_code)')} AS category FROM diagnoses_icd WHERE trim(icd_version) = '9'")

@@ -102,9 +102,9 @@ def admission_mortality_label(s: S, sf: str) -> DF:
     return table(s, sf, "admissions").where("hospital_expire_flag IS NOT NULL").groupBy("hadm_id").agg(F.max("hospital_expire_flag").cast("int").alias("label"))
 
 
-@R.add("quarter_shards", "SELECT doc_id, ntile(4) OVER (ORDER BY doc_id) - 1 AS worker FROM documents")
+@R.add("quarter_shards", "SELECT doc_id, least((row_number() OVER (ORDER BY doc_id) - 1) // greatest((count(*) OVER ()) // 4, 1), 3) AS part FROM documents")
 def quarter_shards(s: S, sf: str) -> DF:
-    return B.worker_shards(table(s, sf, "documents").select("doc_id"), "doc_id", 4)
+    return B.position_shards(table(s, sf, "documents").select("doc_id"), "doc_id", 4)
 
 
 @R.add("medication_dedupe_first", f"SELECT subject_id, stay_id, {at('charttime')} AS charttime, itemid, v FROM (SELECT subject_id, stay_id, charttime, itemid, string_agg(DISTINCT value, ';' ORDER BY value) AS v FROM chartevents WHERE value IS NOT NULL AND charttime IS NOT NULL AND stay_id IS NOT NULL GROUP BY ALL)")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.operators.common import written
+
 
 def read_json_map(spark: SparkSession, path: str | list[str], value: str, key: str = "key") -> DataFrame:
     """JSON files that each hold one map, as rows ``key`` and the fields of ``value`` (a schema string), with ``file``.
@@ -24,10 +26,15 @@ def merge_maps(df: DataFrame, key: str, order: str) -> DataFrame:
     return g.select(key, *[F.col("t")[c].alias(c) for c in rest])
 
 
-def write_stays(df: DataFrame, path: str, key: str, buckets: int = 256, mode: str = "overwrite") -> None:
-    """Nested stays as parquet in hash buckets of the key, so that one stay is found in one folder."""
-    b = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", b).repartition("bucket").sortWithinPartitions("bucket", key).write.mode(mode).partitionBy("bucket").parquet(path)
+def write_stays(df: DataFrame, path: str, key: str, buckets: int = 256, mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
+    """Nested stays as parquet in hash buckets of the key, so that one stay is found in one folder.
+
+    A bucket is written by as many tasks as its rows need, a stay always by one.
+    """
+    h = F.xxhash64(key)
+    files = max(1, -(-df.count() // (buckets * rows_per_file)))
+    d = df.withColumn("bucket", F.pmod(h, F.lit(buckets)).cast("int")).withColumn("__file", F.pmod(F.floor(h / buckets), F.lit(files)))
+    d.repartition(buckets * files, "bucket", "__file").drop("__file").sortWithinPartitions("bucket", key).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_stay(spark: SparkSession, path: str, key: str, value: str, buckets: int = 256) -> DataFrame:
@@ -56,19 +63,23 @@ def not_yet_done(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and has a file with rows to read, as told by the file system that the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(p))
+
+
 def resume(spark: SparkSession, todo: DataFrame, keys: Sequence[str], path: str, work: Callable[[DataFrame], DataFrame], batches: int = 8) -> DataFrame:
     """Work off rows in hash batches, each appended to ``path`` when it is done; a second call goes on where the first stopped.
 
-    A batch is the unit of loss: what was appended is never done again.
+    A batch is the unit of loss: what was appended is never done again. The rows still to be done are found, and written by batch, once.
     """
+    left = not_yet_done(todo, spark.read.parquet(path), keys) if exists(spark, path) else todo
+    parts, drop = written(left.withColumn("__batch", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int")), by=["__batch"])
     for k in range(batches):
-        part = todo.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k)
-        try:
-            part = not_yet_done(part, spark.read.parquet(path), keys)
-        except Exception as e:  # no output yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        work(part).write.mode("append").parquet(path)
+        work(parts.where(F.col("__batch") == k).select(*todo.columns)).write.mode("append").parquet(path)
+    drop()
     return spark.read.parquet(path)
 
 

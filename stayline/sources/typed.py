@@ -55,13 +55,15 @@ def typed(df: DataFrame, rules: Sequence[tuple[str, Convert]] = RULES, fill: dic
     return done.fillna({k: v for k, v in (fill or {}).items() if k in done.columns}) if fill else done
 
 
-def read_typed(spark: SparkSession, path: str | list[str], rules: Sequence[tuple[str, Convert]] = RULES, sep: str = ",", encoding: str = "UTF-8", fill: dict[str, str] | None = None, split: int | None = None) -> DataFrame:
+def read_typed(spark: SparkSession, path: str | list[str], rules: Sequence[tuple[str, Convert]] = RULES, sep: str = ",", encoding: str = "UTF-8", fill: dict[str, str] | None = None, split: int | None = None, multi_line: bool | None = None) -> DataFrame:
     """Delimited files with a header, gzipped or not, typed by the rules.
 
     Values are read as text, so a file needs no second pass for its types. Gzip can't be split; ``split`` spreads the rows over
-    so many tasks right behind the scan. Quoted fields may span lines.
+    so many tasks right behind the scan. Quoted fields may span lines where ``multi_line`` says so, which makes each file one task; by default only those of gzipped files do.
     """
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    paths = [path] if isinstance(path, str) else path
+    lines = all(p.endswith((".gz", ".bz2")) for p in paths) if multi_line is None else multi_line
+    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", lines).csv(path)
     return typed(raw.repartition(split) if split else raw, rules, fill)
 
 

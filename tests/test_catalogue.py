@@ -6,10 +6,10 @@ import pytest
 from helpers import duck_of, same_rows
 
 import __spark_entry__
-from stayline.plans import catalogue_history, catalogue_ingest, catalogue_joins, catalogue_more, catalogue_records, catalogue_samples, catalogue_visits, data_problems
+from stayline.plans import catalogue_history, catalogue_ingest, catalogue_joins, catalogue_more, catalogue_records, catalogue_rest, catalogue_samples, catalogue_visits, data_problems
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [data_problems, catalogue_history, catalogue_ingest, catalogue_joins, catalogue_more, catalogue_records, catalogue_samples, catalogue_visits]
+MODULES = [data_problems, catalogue_history, catalogue_ingest, catalogue_joins, catalogue_more, catalogue_records, catalogue_rest, catalogue_samples, catalogue_visits, catalogue_rest]
 QUERIES = {n: f for m in MODULES for n, f in m.R.queries.items()}
 ORACLE = {n: s for m in MODULES for n, s in m.R.oracle.items()}
 

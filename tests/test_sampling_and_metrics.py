@@ -100,7 +100,7 @@ def test_budget_golden_and_cuts(spark):
 
 def test_row_numbers_and_shards(spark):
     d = spark.createDataFrame([(i % 7, i) for i in range(50)], "o int, t int")
-    got = B.row_numbers(d, "o", "t", 5).collect()
+    got = B.row_numbers(d, "o", "t").collect()
     assert [(r.o, r.t) for r in sorted(got, key=lambda r: r.rn)] == sorted((i % 7, i) for i in range(50)) and sorted(r.rn for r in got) == list(range(1, 51))
     w = dict(rows(B.worker_shards(spark.range(10).withColumnRenamed("id", "k"), "k", 4).groupBy("worker").count()))
     assert w == {0: 3, 1: 3, 2: 2, 3: 2}
