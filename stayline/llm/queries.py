@@ -41,13 +41,16 @@ _SCORE = lambda split, w: f"(-{w} / ln({uniform_sql(chr(39) + 'split|' + split +
 _T, _V, _E = (_SCORE(n, w) for n, w in WEIGHTS.items())
 
 
-@R.add("p2_splits", f"""
+SPLITS_SQL = f"""
 WITH RECURSIVE l AS (SELECT subject_id AS p, hadm_id AS a FROM admissions WHERE subject_id IS NOT NULL AND hadm_id IS NOT NULL UNION SELECT patient_id, adm_id FROM stay_to_ids_dict WHERE patient_id IS NOT NULL AND adm_id IS NOT NULL),
 e AS (SELECT DISTINCT x.p, y.p AS q FROM l x JOIN l y ON x.a = y.a AND x.p <> y.p),
 r(p, q) AS (SELECT p, q FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q), m AS (SELECT p, min(q) AS q FROM r GROUP BY p),
 t AS (SELECT 'admissions' AS tbl, hadm_id::VARCHAR AS row_key, subject_id AS patient FROM admissions UNION ALL SELECT 'stay_to_ids_dict', stay_id, patient_id FROM stay_to_ids_dict),
 c AS (SELECT t.*, least(coalesce(m.q, patient), patient) AS component FROM t LEFT JOIN m ON m.p = t.patient)
-SELECT *, CASE WHEN component IS NULL THEN NULL WHEN {_T} >= {_V} AND {_T} >= {_E} THEN 'train' WHEN {_V} >= {_E} THEN 'validation' ELSE 'test' END AS split FROM c""")
+SELECT *, CASE WHEN component IS NULL THEN NULL WHEN {_T} >= {_V} AND {_T} >= {_E} THEN 'train' WHEN {_V} >= {_E} THEN 'validation' ELSE 'test' END AS split FROM c"""
+
+
+@R.add("p2_splits", SPLITS_SQL)
 def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     c = patient_components(spark, sf)
     a = linked_split(table(spark, sf, "admissions"), "subject_id", c, WEIGHTS).select(F.lit("admissions").alias("tbl"), F.col("hadm_id").cast("string").alias("row_key"), F.col("subject_id").alias("patient"), "component", "split")
@@ -55,7 +58,7 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(s)
 
 
-@R.add("p2_split_shares")
+@R.add("p2_split_shares", f"SELECT split, count(*) AS patients, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT DISTINCT patient, split FROM ({SPLITS_SQL}) WHERE patient IS NOT NULL) GROUP BY split")
 def p2_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     p = p2_splits(spark, sf).where("patient IS NOT NULL").select("patient", "split").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("patients"))
     total = p.agg(F.sum("patients").alias("total"))

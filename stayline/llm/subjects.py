@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import require, ship_package
+from stayline.operators.common import cut_lineage, require, ship_package
 
 #: Most labelled documents, and most weakly labelled ones per source, that a model is fitted to (the first by hash).
 MAX_LABELLED = 12_000
@@ -20,6 +20,8 @@ MAX_WEAK = 300
 #: Longest document that a model is fitted to, in characters. Documents to be judged may be of any length.
 MAX_TRAIN_CHARS = 20_000
 BITS = 18
+#: Most areas; a model has 2^18 weights of each.
+MAX_AREAS = 1_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 #: Ends of lines, and of sentences; a German ordinal (`Am 7. Tag`) ends none.
 _CUT = re.compile(r"\s*\n\s*|(?<=[.!?;])(?<!\b[Aa]m \d\.)(?<!\b[Aa]m \d\d\.)['\"]?[ \t]+(?=\S)")
@@ -29,12 +31,14 @@ _KEY = re.compile(r"^\s*(?:[-*>]+\s*)*(?:'[^':]{1,40}':\s*|[A-Z][A-Z /]{2,40}:\s
 
 @dataclass(frozen=True)
 class SubjectRules:
-    """``rounds`` of relabelling sentences, ``epochs`` and ``rate`` of the descent, ``l2`` its shrinkage, ``seed`` its order.
+    """``rounds`` of relabelling sentences, ``epochs`` of the last and ``warm`` of the earlier ones, ``folds`` of the calibration, ``rate`` of the descent, ``l2`` its shrinkage, ``seed`` its order.
     ``share``: part of a document's sentences that makes an area its own, where labels don't calibrate another; the
     calibrated share stays within ``low`` and ``high``."""
 
     rounds: int = 4
     epochs: int = 8
+    warm: int = 3
+    folds: int = 2
     rate: float = 0.5
     l2: float = 1e-6
     seed: int = 7
@@ -124,14 +128,14 @@ def _assigned(logits: np.ndarray) -> np.ndarray:
     return (logits > 0) & (logits >= logits.max(axis=1, keepdims=True) - 2.0)
 
 
-def _descend(feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, dim: int, r: SubjectRules) -> np.ndarray:
+def _descend(feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray, dim: int, r: SubjectRules, epochs: int) -> np.ndarray:
     """One-versus-rest logistic regression by AdaGrad over mini-batches; the last row of the result is the bias."""
     k = y.shape[1]
     w, g2 = np.zeros((dim + 1, k), np.float32), np.full((dim + 1, k), 1e-2, np.float32)
     rng = np.random.default_rng(r.seed)
     size = np.diff(np.append(start, len(feats)))
     scale = (1 / np.sqrt(size)).astype(np.float32)
-    for _ in range(r.epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(start))
         for a in range(0, len(order), 512):
             rows = order[a : a + 512]
@@ -152,17 +156,10 @@ def _descend(feats: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.nda
     return w
 
 
-def fit(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[float] | None = None, rules: SubjectRules = SubjectRules(), bits: int = BITS) -> SubjectModel:
-    """Fit to documents labelled as a whole. ``sure``: weight of each document, 1 by default (less for weak labels).
-
-    Sentences start with their document's labels; each round the classifiers judge them anew: of a labelled area only the
-    sentences keep it that the classifier grants it (the best one always), and a document whose sentences mostly speak
-    of an area that it isn't labelled with, as with a wrong label, is left out of the next round. Shares are then
-    calibrated for the best F1 over the labelled documents, held near ``rules.share`` where positives are few.
-    """
+def _prepare(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[float] | None) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray]:
+    """(sentences of each document, its labels as a row of zeros and ones, its weight); documents without words fall out."""
     col = {a: i for i, a in enumerate(areas)}
-    docs, y0 = [], []
-    conf = []
+    docs, y0, conf = [], [], []
     for t, ls, c in zip(texts, labels, sure or [1.0] * len(texts)):
         s = sentences(t or "")
         if s:
@@ -171,18 +168,29 @@ def fit(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[f
             row = np.zeros(len(areas), np.float32)
             row[[col[x] for x in ls if x in col]] = 1
             y0.append(row)
+    return docs, np.array(y0, np.float32).reshape(len(docs), len(areas)), np.array(conf, np.float32)
+
+
+def _learn(docs: list[list[list[str]]], y0: np.ndarray, conf: np.ndarray, areas: list[str], rules: SubjectRules, bits: int) -> SubjectModel:
+    """Classifiers of sentences from documents labelled as a whole, with ``rules.share`` as the share of every area.
+
+    Sentences start with their document's labels; each round the classifiers judge them anew: of a labelled area only the
+    sentences keep it that the classifier grants it (the best one always), and a document whose sentences mostly speak
+    of an area that it isn't labelled with, as with a wrong label, is left out of the next round.
+    """
+    model = SubjectModel(areas, np.zeros(((1 << bits) + 1, len(areas)), np.float32), np.full(len(areas), rules.share), bits)
     if not docs:
-        return SubjectModel(areas, np.zeros(((1 << bits) + 1, len(areas)), np.float32) - 1, np.full(len(areas), rules.share), bits)
-    y0, conf = np.array(y0), np.array(conf, np.float32)
+        model.weights -= 1
+        return model
     size = np.array([len(d) for d in docs])
     doc = np.repeat(np.arange(len(docs)), size)
-    hasher = Hasher(bits)
-    feats, start = hasher([s for d in docs for s in d])
+    feats, start = Hasher(bits)([s for d in docs for s in d])
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     y, weight = y0[doc].copy(), (conf[doc] / np.maximum(1, y0.sum(axis=1))[doc])[:, None] * np.ones((1, len(areas)), np.float32)
-    model = SubjectModel(areas, np.zeros(((1 << bits) + 1, len(areas)), np.float32), np.full(len(areas), rules.share), bits)
     for k in range(rules.rounds):
-        model.weights = _descend(feats, start, y, weight, 1 << bits, rules)
+        model.weights = _descend(feats, start, y, weight, 1 << bits, rules, rules.epochs if k == rules.rounds - 1 else rules.warm)
+        if k == rules.rounds - 1:
+            break
         z = model.logits(feats, start)
         best = np.maximum.reduceat(z, first, axis=0)[doc]
         grants = (z > 0) | (z >= best - 1e-6)
@@ -190,11 +198,45 @@ def fit(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[f
         said = np.add.reduceat(_assigned(z).astype(np.float32), first, axis=0) / size[:, None]
         odd = ((said * (1 - y0)).max(axis=1) > 0.4) | ((y0.sum(axis=1) > 0) & ((said * y0).max(axis=1) < 0.1) & (k > 0))
         weight = (np.where(odd, 0.0, conf)[doc])[:, None] * np.ones((1, len(areas)), np.float32)
-    said = np.add.reduceat(_assigned(model.logits(feats, start)).astype(np.float32), first, axis=0) / size[:, None]
-    model.share = _calibrate(said, y0, conf >= 1, rules)
     return model
 
 
+def _said(model: SubjectModel, docs: list[list[list[str]]]) -> np.ndarray:
+    """Per document the part of its sentences that deals with each area."""
+    if not docs:
+        return np.zeros((0, len(model.areas)), np.float32)
+    size = np.array([len(d) for d in docs])
+    hit = _assigned(model.logits(*Hasher(model.bits)([s for d in docs for s in d]))).astype(np.float32)
+    return np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+
+
+def _held_out(docs: list, y0: np.ndarray, conf: np.ndarray, areas: list[str], rules: SubjectRules, bits: int, fold: int) -> np.ndarray:
+    """What a model fitted to the other folds says of the documents of one (every ``rules.folds``-th)."""
+    out = np.arange(len(docs)) % rules.folds == fold
+    model = _learn([d for d, o in zip(docs, out) if not o], y0[~out], conf[~out], areas, rules, bits)
+    return _said(model, [d for d, o in zip(docs, out) if o])
+
+
+def _calibrated(model: SubjectModel, y0: np.ndarray, conf: np.ndarray, held: list[np.ndarray], rules: SubjectRules) -> SubjectModel:
+    said = np.zeros_like(y0)
+    for f, h in enumerate(held):
+        said[np.arange(len(y0)) % rules.folds == f] = h
+    if len(y0):
+        model.share = _calibrate(said, y0, conf >= 1, rules)
+    return model
+
+
+def fit(texts: list[str], labels: list[set[str]], areas: list[str], sure: list[float] | None = None, rules: SubjectRules = SubjectRules(), bits: int = BITS) -> SubjectModel:
+    """Fit to documents labelled as a whole (see :func:`_learn`). ``sure``: weight of each document, 1 by default (less for weak labels).
+
+    Shares are calibrated for the best F1 over the labelled documents as judged by models that were not fitted to them, held near ``rules.share``
+    where positives are few.
+    """
+    docs, y0, conf = _prepare(texts, labels, areas, sure)
+    held = [_held_out(docs, y0, conf, areas, rules, bits, f) for f in range(rules.folds)]
+    return _calibrated(_learn(docs, y0, conf, areas, rules, bits), y0, conf, held, rules)
+
+
 def _calibrate(said: np.ndarray, y0: np.ndarray, use: np.ndarray, r: SubjectRules) -> np.ndarray:
     """Per area the share that gives the best F1 on labelled documents, pooled over areas first, then drawn to the pooled one."""
     grid = np.arange(r.low, r.high + 1e-9, 0.005)
@@ -217,27 +259,56 @@ def _calibrate(said: np.ndarray, y0: np.ndarray, use: np.ndarray, r: SubjectRule
 
 def training_rows(docs: DataFrame, labels: DataFrame, weak: dict[str, str], doc_id: str, text: str, source: str) -> list[tuple[str, set[str], float]]:
     """(text, labels, weight) of at most ``MAX_LABELLED`` labelled and ``MAX_WEAK`` weakly labelled documents per source, whole,
-    of at most ``MAX_TRAIN_CHARS`` characters each."""
+    of at most ``MAX_TRAIN_CHARS`` characters each; the first by hash. The texts are read in one pass."""
     per = labels.dropna().distinct().groupBy("doc_id").agg(F.collect_set("subject_area").alias("areas"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.lower(F.trim(F.col(source))).alias("s")).where(F.length("t") <= MAX_TRAIN_CHARS)
-    known = base.join(per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED), "doc_id").select("doc_id", "t", "areas")
-    rows = [(r.t, set(r.areas), 1.0) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    per = cut_lineage(per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
+    kind = F.lower(F.trim(F.col(source)))
+    n = {r.s: r.n for r in docs.select(kind.alias("s")).where(F.col("s").isin(*weak)).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()} if weak else {}
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), kind.alias("s")).where(F.length("t") <= MAX_TRAIN_CHARS)
+    # of each weak source the low end of the hashes, three times as many as are taken
+    place = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    low = F.lit(False)
+    for s, c in n.items():
+        low = low | ((F.col("s") == s) & (place <= min(1.0, 3 * MAX_WEAK / c + 30 / c)))
+    got = base.join(F.broadcast(per), "doc_id", "left").where(F.col("areas").isNotNull() | low).select("doc_id", "t", "s", "areas", F.xxhash64("doc_id").alias("h")).collect()
+    got.sort(key=lambda r: (r.h, r.doc_id))
+    rows = [(r.t, set(r.areas), 1.0) for r in got if r.areas is not None]
     for s, area in sorted(weak.items()):
-        more = base.where(F.col("s") == s).join(per, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_WEAK)
-        rows += [(r.t, {area}, 0.5) for r in more.collect()]
+        rows += [(r.t, {area}, 0.5) for r in got if r.areas is None and r.s == s][:MAX_WEAK]
     return rows
 
 
 def train(docs: DataFrame, labels: DataFrame, areas: DataFrame, weak: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", rules: SubjectRules = SubjectRules()) -> SubjectModel:
     """Fit a model from a labelled sample (``doc_id, subject_area``) and, weakly, from the area that a source is mostly about.
 
-    The driver holds the bounded sample only; the bounds are ``MAX_LABELLED``, ``MAX_WEAK`` and ``MAX_TRAIN_CHARS``.
+    The driver holds the bounded sample only; the bounds are ``MAX_LABELLED``, ``MAX_WEAK`` and ``MAX_TRAIN_CHARS``. The model and those of the folds that
+    calibrate it are fitted by tasks of their own; weights, of features x areas floats, and the folds' shares come back.
     """
     require(docs, [doc_id, text, source])
     require(labels, ["doc_id", "subject_area"])
-    names = sorted(r[0] for r in areas.select("subject_area").dropna().distinct().limit(10_000).collect())
+    spark = docs.sparkSession
+    names = sorted(r[0] for r in areas.select("subject_area").dropna().distinct().limit(MAX_AREAS + 1).collect())
+    if len(names) > MAX_AREAS:
+        raise ValueError(f"more than {MAX_AREAS} areas: the weights would outgrow a task")
     rows = training_rows(docs, labels, {k: v for k, v in (weak or {}).items() if v in names}, doc_id, text, source)
-    return fit([t for t, _, _ in rows], [ls for _, ls, _ in rows], names, [c for _, _, c in rows], rules)
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(rows)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, sets, sure = zip(*shared.value) if shared.value else ((), (), ())
+        made = None
+        for b in batches:
+            for job in b["id"].tolist():
+                made = made or _prepare(list(texts), list(sets), names, list(sure))
+                got = _learn(*made, names, rules, BITS).weights if job == rules.folds else _held_out(*made, names, rules, BITS, job)
+                yield pd.DataFrame({"job": [job], "rows": [len(got)], "data": [got.astype(np.float32).tobytes()]})
+
+    jobs = spark.range(0, rules.folds + 1, 1, rules.folds + 1).mapInPandas(work, "job long, rows long, data binary").collect()
+    parts = {r.job: np.frombuffer(r.data, np.float32).reshape(r.rows, len(names)) for r in jobs}
+    shared.unpersist()
+    _, y0, conf = _prepare([t for t, _, _ in rows], [ls for _, ls, _ in rows], names, [c for _, _, c in rows])
+    model = SubjectModel(names, parts[rules.folds], np.full(len(names), rules.share), BITS)
+    return _calibrated(model, y0, conf, [parts[f] for f in range(rules.folds)], rules)
 
 
 def subject_areas(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

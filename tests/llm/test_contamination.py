@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -140,3 +141,23 @@ def test_removal(spark):
     s = spark.createDataFrame([(1, 0, 3), (1, 2, 6), (1, 9, 12)], "doc_id long, start_char int, end_char int")
     one = spark.createDataFrame([(1, "abcdefghijkl")], "doc_id long, text string")
     assert remove_spans(one, s).first().text == "ghi"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_the_tables_give_what_verification_of_every_pair_gives(spark):
+    """All documents of the smallest tables against all items without a prefilter; and every verbatim run of 25 words is among the leaks found."""
+    from stayline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "text").collect() if r.text]
+    got = {(r.doc_id, r.item_id) for r in queries.R.queries["p8_found"](spark, sf).collect()}
+    whole = Whole.build(items, LeakRules())
+    assert got == {(docs[k][0], i) for k, i, *_ in whole.search_all([t for _, t in docs])}
+    grams = {}
+    for i, t in items:
+        w = words(t)[0]
+        for a in range(len(w) - 24):
+            grams.setdefault(tuple(w[a : a + 25]), set()).add(i)
+    exact = {(d, i) for d, t in docs for w in [words(t)[0]] for a in range(len(w) - 24) for i in grams.get(tuple(w[a : a + 25]), ())}
+    assert exact and exact <= got

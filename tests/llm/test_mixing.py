@@ -51,3 +51,31 @@ def test_mixture(spark):
     assert again == {(r.doc_id, r.repeats) for r in got}
     m, report = mix(d.limit(0), t)
     assert m.count() == 0 and {r.actual_share for r in report.collect()} == {None}
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB) or not os.path.isdir("/root/testdata/sf0.01"), reason="no vocabulary or tables")
+def test_shares_reached_on_the_tables(spark):
+    """Feasible shares equal those of a plain bisection over the fill level; what is reached differs by a document's size at most; no cap is passed."""
+    from stayline.llm import queries
+
+    e, sf = encoding(VOCAB), "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    size, longest = {}, 0
+    for r in docs:
+        if r.source is not None and r.text is not None:
+            n = len(e.encode_ordinary(r.text))
+            size[r.source.strip().lower()] = size.get(r.source.strip().lower(), 0) + n
+            longest = max(longest, n)
+    want = {r.source.strip().lower(): (r.target_share, r.max_repeats) for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    total, lo, hi = sum(size.get(s, 0) for s in want), 0.0, 1e12
+    fill = lambda x: {s: min(w * x, r * size.get(s, 0)) for s, (w, r) in want.items()}
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(fill(mid).values()) < total else (lo, mid)
+    level = fill(lo)
+    rep = {r.source: r for r in queries.R.queries["p9_report"](spark, sf).collect()}
+    assert set(rep) == set(want)
+    for s, tokens in level.items():
+        assert rep[s].tokens_there == size.get(s, 0) and abs(rep[s].feasible_share - tokens / sum(level.values())) < 1e-5
+        assert -1 <= tokens - rep[s].tokens_used <= longest and rep[s].most_repeats <= want[s][1]
+        assert abs(rep[s].actual_share - rep[s].feasible_share) < 2 * longest / total

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -69,3 +70,26 @@ def test_spark_end_to_end(spark):
     assert subject_areas(docs.limit(0), m).count() == 0
     with pytest.raises(ValueError):
         subject_areas(docs.drop("text"), m)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_held_out_labels_of_the_tables():
+    """A quarter of the labelled documents held out: precision and recall against the labels as given, some of which are wrong."""
+    import pandas as pd
+
+    from stayline.llm.queries import SOURCE_AREAS
+
+    sf = "/root/testdata/sf0.1"
+    d = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text", "source"]).dropna(subset=["text"])
+    per = pd.read_parquet(f"{sf}/subject_labels.parquet").dropna().drop_duplicates().groupby("doc_id").subject_area.agg(set)
+    areas = sorted(pd.read_parquet(f"{sf}/subject_areas.parquet").subject_area.unique())
+    rows = [(t, per[i], 1.0) for i, t in zip(d.doc_id, d.text) if i in per.index]
+    learn, test = [r for k, r in enumerate(rows) if k % 4], rows[::4]
+    kind = d.source.str.lower().str.strip()
+    for s, a in SOURCE_AREAS.items():
+        learn += [(t, {a}, 0.5) for t in d[(kind == s) & ~d.doc_id.isin(per.index)].head(300).text]
+    m = fit([t for t, _, _ in learn], [x for _, x, _ in learn], areas, [c for _, _, c in learn])
+    got = m.shares([t for t, _, _ in test], Hasher()) >= m.share - 1e-6
+    want = np.array([[a in x for a in areas] for _, x, _ in test])
+    tp = (got & want).sum()
+    assert tp / got.sum() > 0.9 and tp / want.sum() > 0.9, (tp / got.sum(), tp / want.sum())
