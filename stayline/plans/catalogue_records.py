@@ -53,13 +53,13 @@ def sample_records(s: S, sf: str) -> DF:
     return x.select("stay_id", stamp("t").alias("t"), F.size("desc").cast("bigint").alias("n_desc"), F.size("change").cast("bigint").alias("n_change"))
 
 
-@R.add("yaml_roundtrip")
+@R.add("yaml_roundtrip", "SELECT stay_id, timepoint, len(map_keys(lab_results)) AS n, true AS same FROM patient_yaml")
 def yaml_roundtrip(s: S, sf: str) -> DF:
     """Labs as nested text and read back: the share of facts that return unchanged (all of them)."""
     y = table(s, sf, "patient_yaml").select("stay_id", "timepoint", F.transform(F.array_sort(F.map_entries("lab_results")), lambda e: F.struct(F.array(F.lit("Hospital Stay"), F.lit("Lab Results"), e["key"]).alias("path"), e["value"].alias("value"))).alias("facts"))
     t = y.withColumn("text", nested_text(F.col("facts")))
     back = t.withColumn("back", nested_facts(F.col("text")))
-    return back.select("stay_id", "timepoint", "text", F.size("back").alias("n"), (F.col("back") == F.col("facts")).alias("same"))
+    return back.select("stay_id", "timepoint", F.size("back").cast("bigint").alias("n"), (F.col("back") == F.col("facts")).alias("same"))
 
 
 @R.add("state_integrate", f"WITH {READINGS}, g AS (SELECT stay_id, hour, itemid FROM readings GROUP BY ALL) SELECT stay_id, count(*) AS n FROM (SELECT stay_id FROM readings UNION ALL SELECT stay_id FROM g) GROUP BY stay_id")

@@ -148,7 +148,7 @@ def _bag(texts: list[str]) -> np.ndarray:
     return out
 
 
-@R.add("embed_sections")
+@R.add("embed_sections", "SELECT hadm_id, count(*)::INT AS docs, (8 * count(*))::INT AS states FROM documents WHERE hadm_id IS NOT NULL AND text IS NOT NULL GROUP BY hadm_id")
 def embed_sections(s: S, sf: str) -> DF:
     """Documents of an admission embedded, their eight summary states cut out and put together in the order of the documents."""
     d = table(s, sf, "documents").where("hadm_id IS NOT NULL AND text IS NOT NULL").select("hadm_id", "doc_id", "text")

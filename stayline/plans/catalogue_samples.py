@@ -299,7 +299,10 @@ def baseline_frequency_hash(s: S, sf: str) -> DF:
     return g.where(u < F.col("i.p")).groupBy("stay_id").agg(F.count(F.lit(1)).alias("events"))
 
 
-@R.add("corpus_bleu")
+_GRAMS = " UNION ALL ".join(f"SELECT id, {k} AS k, '{s}' AS side, array_to_string({s}[i:i + {k - 1}], ' ') AS g FROM d, unnest(range(1, len({s}) - {k} + 2)) AS u(i)" for k in range(1, 5) for s in "rc")
+
+
+@R.add("corpus_bleu", r"WITH d AS (SELECT row_number() OVER () AS id, regexp_split_to_array(lower(trim(text)), '\s+') AS r, regexp_split_to_array(lower(trim(regexp_replace(text, '\d+', '0', 'g'))), '\s+') AS c FROM documents WHERE text IS NOT NULL), g AS (" + _GRAMS + "), n AS (SELECT id, k, g, count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 'c') AS c FROM g GROUP BY ALL), p AS (SELECT k, sum(least(r, c)) AS hit, sum(c) AS total FROM n GROUP BY k), l AS (SELECT sum(len(r)) AS r, sum(len(c)) AS c FROM d) SELECT round((SELECT CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END FROM l) * exp(sum(ln(hit / total)) / 4), 6) AS bleu FROM p")
 def corpus_bleu(s: S, sf: str) -> DF:
     d = table(s, sf, "documents").where("text IS NOT NULL").select("text", F.regexp_replace("text", r"\d+", "0").alias("other"))
     return M.corpus_bleu(d, "text", "other").select(F.round("bleu", 6).alias("bleu"))
