@@ -145,11 +145,11 @@ def _points(s: S, sf: str) -> DF:
 _PTS = f"WITH {READINGS}, pts AS (SELECT stay_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS t FROM readings GROUP BY stay_id)"
 
 
-@R.add("trailing_24h", _PTS + f" SELECT p.stay_id, {at('p.t')} AS t, r.itemid, count(*) AS n, round(avg(v), 4) AS mean FROM pts p JOIN readings r ON r.stay_id = p.stay_id AND r.hour <= p.t AND r.hour > p.t - INTERVAL 24 HOUR WHERE v IS NOT NULL GROUP BY p.stay_id, p.t, r.itemid")
+@R.add("trailing_24h", _PTS + f" SELECT p.stay_id, {at('p.t')} AS t, r.itemid, count(*) AS n, round(round(avg(v), 9), 4) AS mean FROM pts p JOIN readings r ON r.stay_id = p.stay_id AND r.hour <= p.t AND r.hour > p.t - INTERVAL 24 HOUR WHERE v IS NOT NULL GROUP BY p.stay_id, p.t, r.itemid")
 def trailing_24h(s: S, sf: str) -> DF:
     e = readings(s, sf).where("v IS NOT NULL").select("stay_id", "itemid", "hour", "v")
     u = N.until(e, _points(s, sf), ["stay_id"], "hour", trailing_hours=24)
-    return u.groupBy("stay_id", "t", "itemid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean")).withColumn("t", stamp("t"))
+    return u.groupBy("stay_id", "t", "itemid").agg(F.count(F.lit(1)).alias("n"), F.round(F.round(F.avg("v"), 9), 4).alias("mean")).withColumn("t", stamp("t"))  # rounded twice: the first takes off what the order of summation leaves
 
 
 @R.add("as_of_snapshot", f"WITH {READINGS}, p AS (SELECT stay_id, max(hour) - INTERVAL 24 HOUR AS t FROM readings GROUP BY stay_id) SELECT p.stay_id, itemid, count(*) AS n, round(arg_max(v, struct_pack(a := charttime, b := v)), 4) AS last FROM p JOIN readings r ON r.stay_id = p.stay_id AND r.hour <= p.t WHERE v IS NOT NULL GROUP BY p.stay_id, itemid")
