@@ -74,6 +74,30 @@ def run_text(runs: DataFrame, keys: Sequence[str], now: Column, unit: str = "")
     return runs.withColumn("__t", t).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "__t"))), lambda x: x["__t"]), ", ").alias("values"))
 
 
+def run_text_of(entries: Column, now: Column, tail: int = 5) -> Column:
+    """What :func:`value_runs` and :func:`run_text` give, of an array of ``(h, s)`` structs: for groups of bounded size, such as the hours of a trailing window.
+
+    Entries are put in order first; those without ``s`` are skipped; none give null.
+    """
+    known = F.sort_array(F.filter(entries, lambda x: x["s"].isNotNull()))
+    # the inner lambda sees the sorted array as a variable, so that it is sorted once
+    flagged = F.get(F.transform(F.array(known), lambda k: F.transform(k, lambda x, i: F.struct(x["h"].alias("h"), x["s"].alias("s"), (i >= F.size(k) - tail).alias("r")))), F.lit(0))
+    none = lambda t: F.lit(None).cast(t)
+    zero = F.struct(F.array().cast("array<string>").alias("out"), none("string").alias("s"), none("boolean").alias("r"), none("bigint").alias("a"), none("bigint").alias("b"), none("string").alias("hs"))
+
+    def token(acc: Column) -> Column:
+        span = F.when(acc["a"] == acc["b"], acc["a"].cast("string")).otherwise(F.concat_ws("-", acc["a"].cast("string"), acc["b"].cast("string")))
+        return F.concat(F.when(acc["r"], acc["hs"]).otherwise(span), F.lit(": "), acc["s"])
+
+    def step(acc: Column, x: Column) -> Column:
+        goes_on, ago = (acc["s"] == x["s"]) & (acc["r"] == x["r"]), (now - x["h"]).cast("bigint")
+        went_on = F.struct(acc["out"].alias("out"), acc["s"].alias("s"), acc["r"].alias("r"), acc["a"].alias("a"), ago.alias("b"), F.concat(acc["hs"], F.lit("/"), ago.cast("string")).alias("hs"))
+        begun = F.struct(F.when(acc["s"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(token(acc)))).alias("out"), x["s"].alias("s"), x["r"].alias("r"), ago.alias("a"), ago.alias("b"), ago.cast("string").alias("hs"))
+        return F.when(F.coalesce(goes_on, F.lit(False)), went_on).otherwise(begun)
+
+    return F.aggregate(flagged, zero, step, lambda acc: F.when(acc["s"].isNotNull(), F.array_join(F.concat(acc["out"], F.array(token(acc))), ", ")))
+
+
 def last_with_rest(df: DataFrame, keys: Sequence[str], hour: str, num: str, now: Column, keep: int = 1) -> DataFrame:
     """``past: max-min, mean: m, recent: h: v``: the latest ``keep`` values, the rest summed up once there are more than ``keep + 3``.
 

@@ -19,11 +19,17 @@ def describe(readings: DataFrame, points: DataFrame, keys: Sequence[str], label:
     ``readings`` has ``hour, charttime, v`` (number) and ``value`` (text), ``points`` has ``t``. Numbers of an hour are averaged; an hour
     without numbers has its last text. Nothing dated after ``t`` gets in; points without any reading give no rows.
     """
-    known = until(readings, points, keys, "hour", trailing_hours=trailing_hours)
     k = [*keys, "t", label]
-    h = known.groupBy(*k, "hour").agg(F.avg("v").alias("m"), F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("charttime", "value"))).alias("x"))
-    h = h.select(*k, hour_index("hour").alias("h"), hour_index("t").alias("now"), F.coalesce(text_of(F.round("m", 6)), "x").alias("s"))
-    runs = E.run_text(E.value_runs(h, [*k, "now"], "h", "s", tail=keep), [*k, "now"], F.col("now"))
+    # an hour's value is the same at whatever point it is seen, so it is worked out before hours meet points
+    h = readings.groupBy(*keys, label, "hour").agg(F.avg("v").alias("m"), F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("charttime", "value"))).alias("x"))
+    h = h.select(*keys, label, "hour", F.coalesce(text_of(F.round("m", 6)), "x").alias("s")).where("s IS NOT NULL")
+    h = until(h, points, keys, "hour", trailing_hours=trailing_hours)
+    if trailing_hours is None:
+        h = h.select(*k, hour_index("hour").alias("h"), hour_index("t").alias("now"), "s")
+        runs = E.run_text(E.value_runs(h, [*k, "now"], "h", "s", tail=keep), [*k, "now"], F.col("now"))
+    else:  # at most one entry an hour
+        g = h.groupBy(*k).agg(F.collect_list(F.struct(hour_index("hour").alias("h"), "s")).alias("e"))
+        runs = g.select(*k, E.run_text_of(F.col("e"), hour_index("t"), keep).alias("values")).where("values IS NOT NULL")
     return runs.select(*keys, "t", F.array(*[F.lit(r) for r in root], F.col(label).cast("string")).alias("path"), F.col("values").alias("value"))
 
 

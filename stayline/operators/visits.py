@@ -226,23 +226,33 @@ def describe_visit(history: DataFrame, points: DataFrame, trailing: int | None =
     of all labels together; reports and procedures by age. Labels carry their first unit and normal range. Nothing after ``t`` gets in.
     """
     keep = 5 if level == 2 else 1 if level >= 3 else None
-    known = _window(history, points.select("visit", "timepoint", "t"), trailing)
+    known = _window(history.where("kind <> 'value'"), points.select("visit", "timepoint", "t"), trailing)
     key = ["visit", "timepoint", "part", "sub", "section", "category", "label"]
     out = known.where("kind = 'fixed'").select("visit", "timepoint", path_of().alias("path"), F.col("text").alias("value")).where("value IS NOT NULL")
-    # readings: mean of an hour's numbers, else its last text
-    v = known.where("kind = 'value'").groupBy(*key, "hour").agg(F.avg("num").alias("m"), F.max("text").alias("x"), F.min("unit").alias("unit"), F.min("low").alias("low"), F.min("high").alias("high"), F.first("t").alias("t"))
+    # readings: mean of an hour's numbers, else its last text; worked out before hours meet points
+    base = ["visit", "part", "sub", "section", "category", "label"]
+    v = history.where("kind = 'value'").groupBy(*base, "kind", "hour").agg(F.avg("num").alias("m"), F.max("text").alias("x"), F.min("unit").alias("unit"), F.min("low").alias("low"), F.min("high").alias("high"))
+    word = F.when(F.col("label") == GFR_LABEL, replace_chain(F.col("x"), GFR_PHRASES)).otherwise(one_of_each(F.col("x")))
+    v = v.withColumn("m", F.round("m", 6)).withColumn("s", F.coalesce(text_of(F.col("m")), word)).where("s IS NOT NULL").drop("x")
+    v = _window(v, points.select("visit", "timepoint", "t"), trailing)
     days = F.col("section").isin(*BY_DATE)
     age = F.when(days, F.datediff("t", "hour").cast("bigint")).otherwise(hour_index("t") - hour_index("hour"))
-    v = v.select(*key, (-age).alias("h"), F.lit(0).cast("bigint").alias("now"), F.round("m", 6).alias("m"), F.coalesce(text_of(F.round("m", 6)), F.when(F.col("label") == GFR_LABEL, replace_chain(F.col("x"), GFR_PHRASES)).otherwise(one_of_each(F.col("x")))).alias("s"), "hour", "unit", "low", "high").where("s IS NOT NULL")
-    unit = v.groupBy(*key).agg(F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("hour"))).alias("unit"), F.min_by("low", F.when(F.col("low").isNotNull(), F.col("hour"))).alias("low"), F.min_by("high", F.when(F.col("high").isNotNull(), F.col("hour"))).alias("high"), F.count("m").alias("nums"), F.count(F.lit(1)).alias("n"))
-    if keep is None:
-        text = E.run_text(E.value_runs(v, [*key, "now"], "h", "s"), [*key, "now"], F.col("now")).drop("now")
+    v = v.select(*key, (-age).alias("h"), F.lit(0).cast("bigint").alias("now"), "m", "s", "hour", "unit", "low", "high")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("hour"))).alias(c)
+    unit = [first("unit"), first("low"), first("high"), F.count("m").alias("nums"), F.count(F.lit(1)).alias("n")]
+    if keep is None and trailing is not None:  # at most one entry an hour
+        text = v.groupBy(*key).agg(*unit, F.collect_list(F.struct("h", "s")).alias("e")).withColumn("values", E.run_text_of(F.col("e"), F.lit(0).cast("bigint"))).drop("e")
     else:
-        nums = v.join(unit.where("nums = n").select(*key), key, "left_semi")
-        words = v.join(unit.where("nums < n").select(*key), key, "left_semi")
-        text = E.last_with_rest(nums, key, "h", "m", F.lit(0).cast("bigint"), keep).unionByName(E.majority_with_recent(words, key, "h", "s", F.lit(0).cast("bigint"), keep))
+        unit = v.groupBy(*key).agg(*unit)
+        if keep is None:
+            text = E.run_text(E.value_runs(v, [*key, "now"], "h", "s"), [*key, "now"], F.col("now")).drop("now")
+        else:
+            nums = v.join(unit.where("nums = n").select(*key), key, "left_semi")
+            words = v.join(unit.where("nums < n").select(*key), key, "left_semi")
+            text = E.last_with_rest(nums, key, "h", "m", F.lit(0).cast("bigint"), keep).unionByName(E.majority_with_recent(words, key, "h", "s", F.lit(0).cast("bigint"), keep))
+        text = text.join(unit, key)
     shown = F.concat_ws(", ", "unit", F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.concat(F.lit("normal range: "), text_of(F.col("low")), F.lit("-"), text_of(F.col("high")))))
-    written = text.join(unit, key).withColumn("values", F.when(F.col("section").isin(*BY_DATE), F.replace("values", F.lit(": "), F.lit(" days: "))).otherwise(F.col("values")))
+    written = text.withColumn("values", F.when(F.col("section").isin(*BY_DATE), F.replace("values", F.lit(": "), F.lit(" days: "))).otherwise(F.col("values")))
     # millimetres, failing them centimetres, move from the values to the label
     mm, cm = F.col("values").rlike(r"\d+mm\b"), F.col("values").rlike(r"\d+cm\b")
     chart = F.col("section") == "Chart Events"
