@@ -17,7 +17,7 @@ def interval_ends(df: DataFrame, keys: Sequence[str], start: str, tie: str, last
 
 
 def islands(df: DataFrame, keys: Sequence[str], hour: str) -> DataFrame:
-    """Runs of consecutive hours per key: ``keys, first, last``. ``hour`` is an integer; repeated hours count once."""
+    """Runs of consecutive hours per key: ``keys, first, last``. ``hour`` is an integer; repeated hours count once, before the shuffle, so a key has no more rows than time has hours."""
     one = df.select(*keys, F.col(hour).alias("h")).dropna(subset=["h"]).distinct()
     w = Window.partitionBy(*keys).orderBy("h")
     return one.withColumn("g", F.col("h") - F.row_number().over(w)).groupBy(*keys, "g").agg(F.min("h").alias("first"), F.max("h").alias("last")).drop("g")

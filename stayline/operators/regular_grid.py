@@ -49,7 +49,11 @@ def regular_grid(df: DataFrame, keys: Sequence[str], period: str, value: str, ti
         .withColumn("prev", F.coalesce(F.lag("period").over(inside), F.col("carry_period")))
         .withColumn("old", F.coalesce(F.last("value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry_value")))
     )
-    grid = state.withColumn("p", F.explode(F.sequence(F.coalesce(F.col("prev") + 1, F.col("period")), F.col("period"))))
+    # shard by shard, so that no list is longer than a shard or a source's shards, however long a gap is
+    first = F.coalesce(F.col("prev") + 1, F.col("period"))
+    over = state.withColumn("first", first).withColumn("sh", F.explode(F.sequence(F.floor(F.col("first") / shard_size), F.col("shard"))))
+    low, high = F.greatest(F.col("first"), F.col("sh") * shard_size), F.least(F.col("period"), F.col("sh") * shard_size + (shard_size - 1))
+    grid = over.withColumn("p", F.explode(F.sequence(low, high)))
     here = F.col("p") == F.col("period")
     return grid.select(
         *show, F.col("p").alias("period"), F.when(here, F.col("value")).alias("value"), F.when(here, F.col("n_readings")).otherwise(F.lit(0)).alias("n_readings"),

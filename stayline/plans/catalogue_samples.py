@@ -109,12 +109,13 @@ def section_presence(s: S, sf: str) -> DF:
     return C.sections_of(f, s.createDataFrame(_SECTIONS, "section string, prefix string"), ["stay_id"], "path")
 
 
-@R.add("section_changed_empty", f"WITH {READINGS}, h AS (SELECT stay_id, hour, count(DISTINCT itemid) AS n, max(CASE WHEN itemid = 240045 THEN v END) AS hr FROM readings GROUP BY stay_id, hour), l AS (SELECT *, lag(hr) OVER (PARTITION BY stay_id ORDER BY hour) AS old FROM h) SELECT stay_id, {at('hour')} AS hour, CASE WHEN hr IS NULL THEN 'vitals-empty' WHEN hr IS DISTINCT FROM old THEN 'vitals-changed' ELSE 'vitals' END AS section FROM l")
+@R.add("section_changed_empty", f"WITH {READINGS}, h AS (SELECT stay_id, itemid, hour, max(v) AS v FROM readings WHERE itemid IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT * FROM (SELECT DISTINCT stay_id, hour FROM h) JOIN (SELECT DISTINCT stay_id, itemid FROM h) USING (stay_id)), l AS (SELECT g.*, v, lag(v) OVER (PARTITION BY g.stay_id, g.itemid ORDER BY g.hour) AS old FROM g LEFT JOIN h ON h.stay_id = g.stay_id AND h.itemid = g.itemid AND h.hour = g.hour) SELECT stay_id, itemid, {at('hour')} AS hour, CASE WHEN v IS NULL THEN 'empty' WHEN v IS DISTINCT FROM old THEN 'changed' ELSE 'same' END AS section FROM l")
 def section_changed_empty(s: S, sf: str) -> DF:
-    h = readings(s, sf).groupBy("stay_id", "hour").agg(F.max(F.when(F.col("itemid") == 240045, F.col("v"))).alias("hr"))
-    old = F.lag("hr").over(Window.partitionBy("stay_id").orderBy("hour"))
-    l = h.withColumn("old", old)  # noqa: E741
-    return l.select("stay_id", stamp("hour").alias("hour"), F.when(F.col("hr").isNull(), "vitals-empty").when(~F.col("hr").eqNullSafe(F.col("old")), "vitals-changed").otherwise("vitals").alias("section"))
+    """Of every item of a stay, at each of its hours: no reading, one other than the hour before, or the same."""
+    h = readings(s, sf).where("itemid IS NOT NULL").groupBy("stay_id", "itemid", "hour").agg(F.max("v").alias("v"))
+    g = h.select("stay_id", "hour").distinct().join(h.select("stay_id", "itemid").distinct(), "stay_id")
+    l = g.join(h, ["stay_id", "itemid", "hour"], "left").withColumn("old", F.lag("v").over(Window.partitionBy("stay_id", "itemid").orderBy("hour")))  # noqa: E741
+    return l.select("stay_id", "itemid", stamp("hour").alias("hour"), F.when(F.col("v").isNull(), "empty").when(~F.col("v").eqNullSafe(F.col("old")), "changed").otherwise("same").alias("section"))
 
 
 # -- sampling ---------------------------------------------------------------------------------------------------------------
@@ -210,28 +211,25 @@ def macro_micro(s: S, sf: str) -> DF:
     return m.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
 
 
-_TWO = "WITH l AS (SELECT doc_id, list(DISTINCT subject_area) AS a FROM subject_labels GROUP BY doc_id), d AS (SELECT l.doc_id, l.a, coalesce(text, '') AS t FROM l JOIN documents USING (doc_id))"
+_TWO = f"WITH d AS (SELECT hadm_id, list(DISTINCT {icd_chapter_sql('trim(icd_code)')}) AS a, list(DISTINCT {icd_chapter_sql('trim(icd_code)')}) FILTER (seq_num <= 3) AS b FROM diagnoses_icd WHERE trim(icd_version) = '9' GROUP BY hadm_id), x AS (SELECT area, coalesce(list_contains(a, area), false) AS g, coalesce(list_contains(b, area), false) AS p FROM d, (SELECT unnest([{', '.join(repr(n) for n in _NAMES)}]) AS area)), c AS (SELECT area, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM x GROUP BY area)"
 
 
 def _two(s: S, sf: str) -> DF:
-    lab = table(s, sf, "subject_labels").groupBy("doc_id").agg(F.collect_set("subject_area").alias("a"))
-    return lab.join(table(s, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id")
+    """Per admission and class of diagnoses whether it is among its codes (g), and whether among its first three (p), taken as a guess."""
+    c = icd_chapter(F.trim("icd_code"))
+    d = table(s, sf, "diagnoses_icd").where(F.trim("icd_version") == "9").groupBy("hadm_id").agg(F.collect_set(c).alias("a"), F.collect_set(F.when(F.col("seq_num") <= 3, c)).alias("b"))
+    v = F.explode(F.array(*[F.lit(n) for n in _NAMES]))
+    return d.select("a", "b", v.alias("area")).select("area", F.array_contains("a", F.col("area")).alias("g"), F.array_contains("b", F.col("area")).alias("p"))
 
 
-_GUESS = {"cardiac": "amiodarone", "renal": "hemodialysis", "psychiatric": "sertraline", "oncology": "radiation"}
-
-
-@R.add("list_prf_tn", _TWO + " SELECT area, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM (SELECT area, list_contains(a, area) AS g, contains(lower(t), word) AS p FROM d, (VALUES " + ", ".join(f"('{a}', '{w}')" for a, w in _GUESS.items()) + ") v(area, word)) GROUP BY area")
+@R.add("list_prf_tn", _TWO + " SELECT * FROM c")
 def list_prf_tn(s: S, sf: str) -> DF:
-    v = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(w).alias("word")) for a, w in _GUESS.items()]))
-    d = _two(s, sf).select("a", "t", v.alias("v")).select("v.area", F.array_contains("a", F.col("v.area")).alias("g"), F.contains(F.lower("t"), F.col("v.word")).alias("p"))
-    return d.groupBy("area").agg(*[c.alias(n) for n, c in M.confusion(F.col("g"), F.col("p")).items()])
+    return _two(s, sf).groupBy("area").agg(*[c.alias(n) for n, c in M.confusion(F.col("g"), F.col("p")).items()])
 
 
-@R.add("multilabel_report", _TWO + ", x AS (SELECT area, list_contains(a, area) AS g, contains(lower(t), word) AS p FROM d, (VALUES " + ", ".join(f"('{a}', '{w}')" for a, w in _GUESS.items()) + ") v(area, word)), c AS (SELECT area, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM x GROUP BY area) SELECT area, " + f"round({_PRF}, 6) AS precision, round({_REC}, 6) AS recall, round((tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2, 6) AS auc FROM c WHERE tp + fn > 0 AND tn + fp > 0")
+@R.add("multilabel_report", _TWO + f" SELECT area, round({_PRF}, 6) AS precision, round({_REC}, 6) AS recall, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS auc FROM c WHERE tp + fn > 0 AND tn + fp > 0")
 def multilabel_report(s: S, sf: str) -> DF:
-    v = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(w).alias("word")) for a, w in _GUESS.items()]))
-    d = _two(s, sf).select("a", "t", v.alias("v")).select("v.area", F.array_contains("a", F.col("v.area")).alias("g"), F.contains(F.lower("t"), F.col("v.word")).cast("int").alias("p"))
+    d = _two(s, sf).withColumn("p", F.col("p").cast("int"))
     c = d.groupBy("area").agg(*[c.alias(n) for n, c in M.confusion(F.col("g"), F.col("p") == 1).items()])
     p, r, _ = M.prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return c.join(M.auc_by_rank(d, ["area"], "g", "p"), "area").where(~F.isnan("auc")).select("area", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round("auc", 6).alias("auc"))

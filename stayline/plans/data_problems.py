@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.time import from_micros, hour_index, micros, month_index, month_start, stamp
-from stayline.operators.common import attach, cut_lineage
+from stayline.operators.common import attach, cut_lineage, salted_join
 from stayline.operators.hot_deck import Feature, Target, hot_deck, missing_codes, number, usable
 from stayline.operators.intervals import merge_intervals
 from stayline.operators.packed_values import infer_delimiters, split_packed
@@ -148,7 +148,7 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
     lost = orphan_references(d, ["version", "code"], known, ["version", "code"], required=["code"])
     began = adm.groupBy("hadm_id").agg(F.min("admittime").alias("admittime"))
     key = [F.lit("diagnoses_icd").alias("tbl"), F.concat_ws(":", F.col("hadm_id").cast("string"), F.col("seq_num").cast("string")).alias("row_key"), F.concat_ws(":", "version", "code").alias("ref_key")]
-    icd = lost.join(began, "hadm_id", "left").select(*key, F.lit("absent").alias("kind"), F.date_format("admittime", "yyyy-MM").alias("month"))
+    icd = salted_join(lost, began, ["hadm_id"], "left").select(*key, F.lit("absent").alias("kind"), F.date_format("admittime", "yyyy-MM").alias("month"))
     return absent.unionByName(later).unionByName(icd).distinct()
 
 
