@@ -57,3 +57,45 @@ def rank_split(keys: DataFrame, key: str, seed: str, train: float = 0.95, val: f
     r = row_numbers(p, "__u", key).transform(attach, p.agg(F.count(F.lit(1)).alias("__n")))
     a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
     return r.select(key, F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test").alias("split"))
+
+
+# -- cohorts of tasks: which points, with which label ----------------------------------------------------------------------
+def ed_admission(ed: DataFrame) -> DataFrame:
+    """Emergency stays with hours that ended in an admission (1) or at home (0), at their first point: ``stay_id, label``."""
+    e = ed.where(F.col("disposition").isin("ADMITTED", "HOME") & (F.col("ed_stay_hours") > 0))
+    return e.select("stay_id", (F.col("disposition") == "ADMITTED").cast("int").alias("label")).distinct()
+
+
+def icu_long_stay(icu: DataFrame, after_hours: int = 24, limit_hours: int = 72) -> DataFrame:
+    """ICU stays still going on after ``after_hours``, and whether they last for more than ``limit_hours`` from then: ``stay_id, t, label``."""
+    t = F.col("intime") + F.expr(f"INTERVAL {after_hours} HOURS")
+    return icu.where(F.col("outtime") > t).select("stay_id", t.alias("t"), (F.col("outtime") - t > F.expr(f"INTERVAL {limit_hours} HOURS")).alias("label")).distinct()
+
+
+def icu_long_stay_path(icu: DataFrame, first: int = 24, last: int = 96) -> DataFrame:
+    """Every hour of an ICU stay from ``first`` to ``last`` hours in, as far as it lasts: ``stay_id, t``. Open stays have none."""
+    h = lambda n: F.col("intime") + F.expr(f"INTERVAL {n} HOURS")
+    i = icu.where("outtime IS NOT NULL").select("stay_id", "intime", "outtime").distinct()
+    return every(i, h(first), F.least("outtime", h(last)), 1).select("stay_id", "t")
+
+
+def icu_mortality(icu: DataFrame, deaths: DataFrame, step: int = 10, horizon: int = 24) -> DataFrame:
+    """Points every ``step`` hours from an ICU stay's first hour to its end or the death, and whether the patient dies within ``horizon`` hours and
+    before the stay is over: ``stay_id, t, label``. ``deaths``: ``hadm_id, death``."""
+    i = icu.where("outtime > intime").select("stay_id", "hadm_id", "intime", "outtime").distinct().join(deaths, "hadm_id", "left")
+    p = every(i, F.col("intime") + F.expr("INTERVAL 1 HOUR"), F.least("outtime", F.coalesce("death", "outtime")), step)
+    soon = (F.col("death") <= F.col("t") + F.expr(f"INTERVAL {horizon} HOURS")) & (F.col("death") <= F.col("outtime"))
+    return p.select("stay_id", "t", F.coalesce(soon, F.lit(False)).alias("label"))
+
+
+def random_hours(stays: DataFrame, key: str, hours: str, seed: str) -> DataFrame:
+    """One hour of each stay, drawn by hash from its whole hours (0 for shorter ones): ``key, hour_idx``. Stays of unknown length have none."""
+    from stayline.operators.sampling import draw
+
+    d = stays.where(F.col(hours).isNotNull())
+    return d.select(key, F.floor(draw(seed, key) * F.greatest(F.floor(hours), F.lit(1))).alias("hour_idx")).distinct()
+
+
+def hospital_mortality(admissions: DataFrame) -> DataFrame:
+    """Admissions whose end is known, and whether the patient died: ``hadm_id, label``."""
+    return admissions.where("hospital_expire_flag IS NOT NULL").groupBy("hadm_id").agg(F.max("hospital_expire_flag").cast("int").alias("label"))

@@ -16,6 +16,16 @@ _KEY = ["visit", "timepoint", "part", "sub", "section", "category", "label"]
 
 
 
+def variable_bounds(history: DataFrame) -> DataFrame:
+    """Per reading of a history (:mod:`stayline.operators.visits`) what its numbers range over: ``section, category, label, least, most, p1, p2, p98, p99, low, high``.
+
+    ``low`` and ``high`` are the 1 % and 99 % again, under the names that the scores take. Over all visits; readings without a number have no row.
+    """
+    v = history.where("kind = 'value' AND num IS NOT NULL").groupBy("section", "category", "label")
+    q = v.agg(F.min("num").alias("least"), F.max("num").alias("most"), F.percentile("num", F.array(*[F.lit(x) for x in (0.01, 0.02, 0.98, 0.99)])).alias("q"))
+    return q.select("section", "category", "label", "least", "most", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p2", "p98", "p99"))], F.col("q")[0].alias("low"), F.col("q")[3].alias("high"))
+
+
 def change_metrics(gt: DataFrame, pred: DataFrame, bounds: DataFrame) -> DataFrame:
     """Scores of predicted changes, long: ``level, domain, kind, metric, value``.
 

@@ -99,7 +99,7 @@ def outcome_rules(s: S, sf: str) -> DF:
 
 @R.add("admission_mortality_label", "SELECT hadm_id, max(hospital_expire_flag)::INT AS label FROM admissions WHERE hospital_expire_flag IS NOT NULL GROUP BY hadm_id")
 def admission_mortality_label(s: S, sf: str) -> DF:
-    return table(s, sf, "admissions").where("hospital_expire_flag IS NOT NULL").groupBy("hadm_id").agg(F.max("hospital_expire_flag").cast("int").alias("label"))
+    return C.hospital_mortality(table(s, sf, "admissions"))
 
 
 @R.add("quarter_shards", "SELECT doc_id, least((row_number() OVER (ORDER BY doc_id) - 1) // greatest((count(*) OVER ()) // 4, 1), 3) AS part FROM documents")

@@ -33,8 +33,7 @@ def patient_split(s: S, sf: str) -> DF:
 
 @R.add("first_timepoint_label", "SELECT DISTINCT stay_id, CASE WHEN disposition = 'ADMITTED' THEN 1 ELSE 0 END AS label FROM ed_stays WHERE disposition IN ('ADMITTED', 'HOME') AND ed_stay_hours > 0")
 def first_timepoint_label(s: S, sf: str) -> DF:
-    e = table(s, sf, "ed_stays").where(F.col("disposition").isin("ADMITTED", "HOME") & (F.col("ed_stay_hours") > 0))
-    return e.select("stay_id", (F.col("disposition") == "ADMITTED").cast("int").alias("label")).distinct()
+    return C.ed_admission(table(s, sf, "ed_stays"))
 
 
 _CHAP = f"CASE WHEN trim(icd_version) = '9' THEN {icd_chapter_sql('trim(icd_code)')} END"
@@ -50,16 +49,12 @@ def one_hot_labels(s: S, sf: str) -> DF:
 
 @R.add("los_over_3d", f"SELECT DISTINCT stay_id, {at('intime + INTERVAL 24 HOUR')} AS t, (outtime - (intime + INTERVAL 24 HOUR) > INTERVAL 72 HOUR) AS label FROM icustays WHERE outtime > intime + INTERVAL 24 HOUR")
 def los_over_3d(s: S, sf: str) -> DF:
-    t = F.col("intime") + F.expr("INTERVAL 24 HOURS")
-    i = table(s, sf, "icustays").where(F.col("outtime") > t)
-    return i.select("stay_id", stamp(t).alias("t"), (hours_between(t, F.col("outtime")) > 72).alias("label")).distinct()
+    return C.icu_long_stay(table(s, sf, "icustays")).withColumn("t", stamp("t"))
 
 
 @R.add("los_band", "SELECT stay_id, count(*) AS n FROM (SELECT stay_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM (SELECT DISTINCT stay_id, intime + INTERVAL 24 HOUR AS a, least(outtime, intime + INTERVAL 96 HOUR) AS b FROM icustays WHERE outtime IS NOT NULL) WHERE b >= a) GROUP BY stay_id")
 def los_band(s: S, sf: str) -> DF:
-    i = table(s, sf, "icustays").where("outtime IS NOT NULL").select("stay_id", "intime", "outtime").distinct()
-    h = lambda n: F.col("intime") + F.expr(f"INTERVAL {n} HOURS")
-    return C.every(i, h(24), F.least("outtime", h(96)), 1).groupBy("stay_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.icu_long_stay_path(table(s, sf, "icustays")).groupBy("stay_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("mortality_every_10h", f"""WITH i AS (SELECT DISTINCT stay_id, hadm_id, intime, outtime FROM icustays WHERE outtime > intime), a AS (SELECT hadm_id, max(deathtime) AS death FROM admissions GROUP BY hadm_id),
@@ -67,17 +62,13 @@ p AS (SELECT stay_id, outtime, death, intime + INTERVAL 1 HOUR AS a, least(outti
 t AS (SELECT stay_id, outtime, death, unnest(generate_series(a, b, INTERVAL 10 HOUR)) AS t FROM p WHERE b >= a)
 SELECT stay_id, {at('t')} AS t, coalesce(death <= t + INTERVAL 24 HOUR AND death <= outtime, false) AS label FROM t""")
 def mortality_every_10h(s: S, sf: str) -> DF:
-    i = table(s, sf, "icustays").where("outtime > intime").select("stay_id", "hadm_id", "intime", "outtime").distinct()
-    a = table(s, sf, "admissions").groupBy("hadm_id").agg(F.max("deathtime").alias("death"))
-    p = C.every(i.join(a, "hadm_id", "left"), F.col("intime") + F.expr("INTERVAL 1 HOUR"), F.least("outtime", F.coalesce("death", "outtime")), 10)
-    soon = (F.col("death") <= F.col("t") + F.expr("INTERVAL 24 HOURS")) & (F.col("death") <= F.col("outtime"))
-    return p.select("stay_id", stamp("t").alias("t"), F.coalesce(soon, F.lit(False)).alias("label"))
+    deaths = table(s, sf, "admissions").groupBy("hadm_id").agg(F.max("deathtime").alias("death"))
+    return C.icu_mortality(table(s, sf, "icustays"), deaths).withColumn("t", stamp("t"))
 
 
 @R.add("random_timepoint_hash", f"SELECT DISTINCT stay_id, CAST(floor({_U('tp', 'stay_id')} * greatest(floor(hosp_stay_hours), 1)) AS BIGINT) AS hour_idx FROM stay_to_ids_dict WHERE hosp_stay_hours IS NOT NULL")
 def random_timepoint_hash(s: S, sf: str) -> DF:
-    d = table(s, sf, "stay_to_ids_dict").where("hosp_stay_hours IS NOT NULL")
-    return d.select("stay_id", F.floor(X.draw("tp", "stay_id") * F.greatest(F.floor("hosp_stay_hours"), F.lit(1))).alias("hour_idx")).distinct()
+    return C.random_hours(table(s, sf, "stay_to_ids_dict"), "stay_id", "hosp_stay_hours", "tp")
 
 
 @R.add("future_24h_window", f"WITH {READINGS}, p AS (SELECT DISTINCT stay_id, intime AS t FROM icustays WHERE intime IS NOT NULL) SELECT p.stay_id, itemid, count(*) AS n FROM p JOIN readings r ON r.stay_id = p.stay_id AND r.charttime > p.t AND r.charttime <= p.t + INTERVAL 26 HOUR GROUP BY p.stay_id, p.t, itemid")

@@ -296,6 +296,11 @@ def los_left(s: S, sf: str) -> DF:
     return V.los_facts(points(s, sf), ends, mode="exact").select("visit", "timepoint", "value")
 
 
+@R.add("variable_bounds", f"WITH {_CORE}, {_ICU}, {_LABS}, {_OMR}, {_CHART}, x AS (SELECT 'Lab Results' AS section, label, num FROM lab UNION ALL SELECT 'Outpatient Measurements', label, num FROM om UNION ALL SELECT 'Chart Events', label, num FROM ch) SELECT section, label, min(num) AS least, max(num) AS most, round(quantile_cont(num, 0.01), 5) AS p1, round(quantile_cont(num, 0.99), 5) AS p99 FROM x WHERE num IS NOT NULL GROUP BY section, label")
+def variable_bounds(s: S, sf: str) -> DF:
+    return Z.variable_bounds(history(s, sf)).select("section", "label", "least", "most", F.round("p1", 5).alias("p1"), F.round("p99", 5).alias("p99"))
+
+
 # -- evaluation and simulation ----------------------------------------------------------------------------------------------
 def _typed(s: S, sf: str) -> tuple[DF, DF]:
     """Changes of the ICU stays, and as predictions those of the hour before."""
