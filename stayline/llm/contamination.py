@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.common import require, ship_package
+from stayline.operators.common import cut_lineage, require, ship_package
 
 #: Characters of test text whose index is broadcast at once. More test text is searched for in blocks of this size.
 BLOCK_CHARS = 8_000_000
@@ -242,13 +242,13 @@ def _runs(pos: dict[int, list[int]], doc: np.ndarray, seeds: list[tuple[int, int
     return out
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of at most ``chars`` characters; each is collected only when its turn comes."""
+def _blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """The number of blocks, and the test items in blocks of about ``chars`` characters; each is collected only when its turn comes."""
     sized = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-int(total) * 2 // chars)) if total > chars else 1
     for k in range(n):
-        yield [(r.i, r.t) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i").collect()]
+        yield n, [(r.i, r.t) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i").collect()]
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: LeakRules = LeakRules(), block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -266,7 +266,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_char int, end_char int, item_word int, n_words int, n_equal int"
     slim = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     out = None
-    for rows in _blocks(items, item_id, item_text, block_chars):
+    for blocks, rows in _blocks(items, item_id, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex.build(rows, rules))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
@@ -277,6 +277,9 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_char", "end_char", "item_word", "n_words", "n_equal"])
 
         part = slim.mapInPandas(scan, schema)
+        if blocks > 1:  # one block at a time is held
+            part = cut_lineage(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 

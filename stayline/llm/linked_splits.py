@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.hashing import uniform
-from stayline.operators.common import cut_lineage, require, salted_join
+from stayline.operators.common import require, salted_join, written
 
 
 def shared_key_edges(links: DataFrame, node: str, key: str) -> DataFrame:
@@ -25,12 +25,12 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Hash-to-min: every node keeps a cluster of nodes; each round it sends the cluster to its least member and that least
     member to all others, until nothing changes, after a number of rounds of the order of the logarithm of the diameter.
-    Clusters are rows (node, member), never arrays, so a large component is spread over tasks, and a round cuts its lineage.
+    Clusters are rows (node, member), never arrays, so a large component is spread over tasks, and each round is written to the shared folder and removed after the next.
     Self loops and repeated edges do no harm; rows with a null are left out; no edges give no rows.
     """
     e = edges.select(F.col(a).alias("n"), F.col(b).alias("m")).dropna()
     own = e.select("n", F.col("n").alias("m")).union(e.select(F.col("m").alias("n"), "m"))
-    rows = cut_lineage(e.union(e.select(F.col("m").alias("n"), F.col("n").alias("m"))).union(own).distinct())
+    rows, drop = written(e.union(e.select(F.col("m").alias("n"), F.col("n").alias("m"))).union(own).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("n", "m").cast("decimal(38,0)"))).first())
@@ -39,10 +39,12 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:  # members only ever become smaller, so it ends
         least = rows.groupBy("n").agg(F.min("m").alias("least"))
         sent = salted_join(rows, least, ["n"])
-        rows = cut_lineage(sent.select(F.col("least").alias("n"), "m").union(sent.select(F.col("m").alias("n"), F.col("least").alias("m"))).distinct())
-        if (now := state(rows)) == old:
+        new, drop_new = written(sent.select(F.col("least").alias("n"), "m").union(sent.select(F.col("m").alias("n"), F.col("least").alias("m"))).distinct())
+        if (now := state(new)) == old:
+            drop_new()
             return rows.groupBy("n").agg(F.min("m").alias("component")).withColumnRenamed("n", "node")
-        old = now
+        drop()  # a round's table is read by the next round only
+        rows, drop, old = new, drop_new, now
 
 
 def rendezvous(key: Column, weights: dict[str, float], seed: str = "split") -> Column:
