@@ -53,7 +53,7 @@ def stays_written_and_read(s: S, sf: str) -> DF:
     path = f"{shared_folder(s)}/stays-{uuid.uuid4().hex}"
     write_stays(nested, path, "stay", buckets=16)
     last = str(c.agg(F.max("stay_id")).first()[0])
-    one = read_stay(s, path, "stay", last, buckets=16)
+    one = read_stay(s, path, "stay", last, buckets=16, schema=nested.schema)
     return one.select("stay_id", F.explode("events").alias("e")).groupBy("stay_id").agg(F.max("e.itemid").alias("itemid"), F.count(F.lit(1)).alias("n"))
 
 

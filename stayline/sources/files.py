@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stayline.operators.common import written
 
@@ -37,10 +38,11 @@ def write_stays(df: DataFrame, path: str, key: str, buckets: int = 256, mode: st
     d.repartition(buckets * files, "bucket", "__file").drop("__file").sortWithinPartitions("bucket", key).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def read_stay(spark: SparkSession, path: str, key: str, value: str, buckets: int = 256) -> DataFrame:
-    """The rows of one stay: only its bucket's files are read."""
+def read_stay(spark: SparkSession, path: str, key: str, value: str, buckets: int = 256, schema: StructType | None = None) -> DataFrame:
+    """The rows of one stay: only its bucket's files are read. With the ``schema`` that was written a folder without rows can be read too."""
     b = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int").alias("b")).first().b
-    return spark.read.parquet(path).where((F.col("bucket") == b) & (F.col(key) == value)).drop("bucket")
+    read = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])) if schema else spark.read
+    return read.parquet(path).where((F.col("bucket") == b) & (F.col(key) == value)).drop("bucket")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
