@@ -29,7 +29,7 @@ def describe(readings: DataFrame, points: DataFrame, keys: Sequence[str], label:
         runs = E.run_text(E.value_runs(h, [*k, "now"], "h", "s", tail=keep), [*k, "now"], F.col("now"))
     else:  # at most one entry an hour
         g = h.groupBy(*k).agg(F.collect_list(F.struct(hour_index("hour").alias("h"), "s")).alias("e"))
-        runs = g.select(*k, E.run_text_of(F.col("e"), hour_index("t"), keep).alias("values")).where("values IS NOT NULL")
+        runs = g.select(*k, E.run_text_of(F.col("e"), hour_index("t"), keep).alias("values"))
     return runs.select(*keys, "t", F.array(*[F.lit(r) for r in root], F.col(label).cast("string")).alias("path"), F.col("values").alias("value"))
 
 
