@@ -38,7 +38,7 @@ class SubjectRules:
     rounds: int = 4
     epochs: int = 8
     warm: int = 3
-    folds: int = 2
+    folds: int = 4
     rate: float = 0.5
     l2: float = 1e-6
     seed: int = 7
