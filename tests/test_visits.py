@@ -159,3 +159,67 @@ def test_draws_by_section(spark):
     extra = d.where("draw IS NULL")
     assert extra.count() == min(100, int(0.1 * n["big"])) == extra.select("visit").distinct().count() and extra.where("section_name = 'small'").count() == 0
     assert rows(G.draw_sections(i.repartition(5), 2000, "t")) == rows(d)
+
+
+def shuffled(spark, df):
+    """Bytes that running a frame writes to shuffles, and its rows."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    none = sc._gateway.new_array(sc._gateway.jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, n = total(), df.count()
+    return total() - before, n
+
+
+def test_descriptions_of_all_hours_dont_carry_readings_by_hour(spark):
+    """A reading is shuffled a few times, not once for each hour from which it is seen."""
+    n = 4000
+    hist = spark.range(n).selectExpr("'v' AS visit", "'Hospital Stay' AS part", "'' AS sub", "'Lab Results' AS section", "'' AS category", "'Sodium' AS label", "'value' AS kind", "timestamp_ntz'2150-01-01' + make_dt_interval(0, CAST(id AS INT)) AS hour", "CAST(id * 7 % 1000 AS DOUBLE) AS num", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS unit", "CAST(NULL AS DOUBLE) AS low", "CAST(NULL AS DOUBLE) AS high")
+    pts = V.visit_points(spark.createDataFrame([("v", h(0), h(n - 1))], "visit string, adm_in timestamp_ntz, adm_out timestamp_ntz").withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("ed_in", "ed_out")}))
+    size, facts = shuffled(spark, V.describe_visit(hist, pts).withColumn("n", F.length("value")).where("n > 0"))
+    assert facts == n
+    assert size < 150 * n
+
+
+def test_texts_over_the_edges_of_stretches(spark):
+    """All hours of a long visit as runs and periods, against what is worked out hour by hour here."""
+    at = [i for i in range(300) if i % 7 not in (3, 4)]
+    word = lambda i: str(i // 3 % 2)
+    like = "visit string, part string, sub string, section string, category string, label string, kind string, hour timestamp_ntz, num double, text string, unit string, low double, high double"
+    read = [("v", V.ADM, "", "Lab Results", "", "X", "value", h(i), float(word(i)), None, "u" if i % 50 == 0 else None, None, None) for i in at]
+    where = [("v", V.ADM, "", "Patient Location", "", "Ward", "active", h(i), None, None, None, None, None) for i in at]
+    drug = [("v", V.ADM, "", "Prescriptions", "", "D", "active", h(i), None, None, None, None, None) for i in at]
+    pts = V.visit_points(spark.createDataFrame([("v", h(0), h(299))], "visit string, adm_in timestamp_ntz, adm_out timestamp_ntz").withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("ed_in", "ed_out")}))
+    got = {(r.timepoint, r.path[1], r.path[-1]): r.value for r in V.describe_visit(spark.createDataFrame(read + where + drug, like), pts).collect()}
+
+    def periods(hours, now, single):
+        runs = []
+        for i in hours:
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        return [str(now - a) if a == b and single else f"{now - a}-{now - b}" for a, b in runs]
+
+    want = {}
+    for now in range(300):
+        seen = [i for i in at if now - 24 < i <= now]
+        tokens = []
+        for k, i in enumerate(seen):
+            recent = k >= len(seen) - 5
+            if tokens and tokens[-1][0] == (word(i), recent):
+                tokens[-1][1].append(now - i)
+            else:
+                tokens.append([(word(i), recent), [now - i]])
+        text = ", ".join(f"{'/'.join(map(str, a)) if r else a[0] if len(a) == 1 else f'{a[0]}-{a[-1]}'}: {w}" for (w, r), a in tokens)
+        label = "X (u)" if any(i % 50 == 0 for i in seen) else "X"
+        want[now + 1, "Lab Results", label] = text
+        want[now + 1, "Prescriptions", "D"] = ",".join(periods(seen, now, True))
+        closed = [i for i in at if now - 24 <= i <= now]
+        want[now + 1, "Patient Location", "Patient Location"] = ", ".join(f"{p}: Ward" for p in periods(closed, now, False))
+    assert got == want
