@@ -133,3 +133,21 @@ def test_embeddings_in_bytes(spark):
     g = B.group_embeddings(e, ["k"], ["i"]).first()
     assert [x.i for x in g.sections] == [0, 1, 2] and g.embedding[1] == [[0, -128]]
     assert ED
+
+
+def test_task_rows_describe_their_cohort_only(spark, monkeypatch):
+    """The description of a task's rows is made for its points, not for all hours and cut down afterwards."""
+    import os
+
+    import pytest
+
+    from stayline.operators import visits as V
+    from stayline.plans import catalogue_visits
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    asked, describe = [], V.describe_visit
+    monkeypatch.setattr(V, "describe_visit", lambda h, p, *a, **k: asked.append(p) or describe(h, p, *a, **k))
+    n = catalogue_visits.task_rows_hospital_icd(spark, sf).count()
+    assert n > 0 and [p.count() for p in asked] == [n]
