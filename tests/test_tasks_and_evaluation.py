@@ -151,3 +151,17 @@ def test_task_rows_describe_their_cohort_only(spark, monkeypatch):
     monkeypatch.setattr(V, "describe_visit", lambda h, p, *a, **k: asked.append(p) or describe(h, p, *a, **k))
     n = catalogue_visits.task_rows_hospital_icd(spark, sf).count()
     assert n > 0 and [p.count() for p in asked] == [n]
+
+
+def test_samples_find_their_changes_in_all_stretches(spark):
+    """Changes stand beside the description of their point, wherever a stretch of time or of points ends."""
+    import datetime as dt
+
+    from stayline.operators import visits as V
+
+    t0, n = dt.datetime(2150, 1, 1, 7), 230
+    pts = spark.createDataFrame([("v", i + 1, t0 + dt.timedelta(hours=i)) for i in range(n)], "visit string, timepoint int, t timestamp_ntz")
+    hist = V.build_ed(spark.createDataFrame([("v", 1, t0, t0, "M", "BLACK", "AMBULANCE")], "visit string, stay_id int, intime timestamp_ntz, outtime timestamp_ntz, gender string, race string, arrival_transport string"), {})
+    new = spark.createDataFrame([("v", i, ["A", x], str(i)) for i in range(1, n + 1) if i % 3 for x in "yx"], "visit string, timepoint int, path array<string>, value string")
+    got = V.known_at(hist, pts, 24, new).collect()
+    assert sorted((r.timepoint, len(r.facts), tuple((".".join(f.path), f.value) for f in r.future)) for r in got) == [(i, 1, (("A.x", str(i)), ("A.y", str(i))) if i % 3 else ()) for i in range(1, n + 1)]
